@@ -92,7 +92,7 @@ def conv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVT_EVENTS_SQL = """evt_events AS (
   SELECT user_id AS session_id,
          row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS event_index,
-         epoch_ms(ts) AS ts_ms, event_id, event_type,
+         epoch_us(ts) // 1000 AS ts_ms, event_id, event_type,
          CASE event_type WHEN 'signup' THEN 'user_message' WHEN 'view' THEN 'token_count'
               WHEN 'click' THEN 'function_call' WHEN 'purchase' THEN 'agent_message'
               WHEN 'error' THEN 'task_failed' ELSE event_type END AS kind,
