@@ -71,19 +71,27 @@ def first_present(value: Column, paths: Sequence[str]) -> Column:
     return F.coalesce(*[field(value, p) for p in paths])
 
 
+NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def number(value: Column) -> Column:
-    """A JSON value as a number: booleans are 0 or 1, an empty text or null is 0, other texts must be numeric.
+    """A JSON value as a number: booleans are 0 or 1, an empty text or JSON null is 0, other texts must be numeric.
 
-    NULL stands both for 'absent' and for 'not a number'.
+    NULL stands both for 'absent' and for 'not a number'. Pass a field with JSON null kept (raw_field).
     """
     text = F.trim(text_of(value))
-    numeric = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
-    flag = F.when(text == "true", 1.0).when(text == "false", 0.0)
-    return F.when(F.is_variant_null(value), 0.0).otherwise(
-        F.when(F.schema_of_variant(value) == "BOOLEAN", flag).when(~is_object(value) & ~is_array(value), numeric)
+    return (
+        F.when(F.is_variant_null(value), 0.0).when(text == "", 0.0).when(text == "true", 1.0).when(text == "false", 0.0)
+        .when(text.rlike(NUMERIC), text.try_cast("double"))
     )
 
 
+def first_number(value: Column, keys: Sequence[str]) -> Column:
+    """First finite, non-negative number under the keys."""
+    found = F.array_compact(F.transform(F.array_compact(F.array(*[raw_field(value, k) for k in keys])), number))
+    return F.get(F.filter(found, lambda n: n >= 0), 0)
+
+
 def raw_field(value: Column, path: str) -> Column:
     """The VARIANT under a path, JSON null included."""
     return F.try_variant_get(value, "$." + path, "variant")

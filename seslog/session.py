@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A JSON record may repeat a key; the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
