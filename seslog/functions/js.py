@@ -19,6 +19,11 @@ def field(value: Column, path: str) -> Column:
     return F.when(~F.is_variant_null(got), got)
 
 
+def text_at(value: Column, path: str) -> Column:
+    """Text of the value under a path (NULL for absent or JSON null)."""
+    return F.try_variant_get(value, "$." + path, "string")
+
+
 def text_of(value: Column) -> Column:
     """Scalars as text, objects and arrays as their JSON text."""
     return F.try_variant_get(value, "$", "string")
@@ -35,11 +40,11 @@ def as_array(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return as_object(value).isNotNull()
+    return F.schema_of_variant(value).startswith("OBJECT")
 
 
 def is_array(value: Column) -> Column:
-    return as_array(value).isNotNull()
+    return F.schema_of_variant(value).startswith("ARRAY")
 
 
 def kind_of(value: Column) -> Column:
@@ -54,7 +59,7 @@ def kind_of(value: Column) -> Column:
 
 def scalar_text(value: Column) -> Column:
     """Text of a scalar; NULL for objects and arrays."""
-    return F.when(~is_object(value) & ~is_array(value), text_of(value))
+    return F.when(~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), text_of(value))
 
 
 def string_only(value: Column) -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from seslog.functions.js import (
     as_array, field, first_number, is_array, is_object, kind_of, nonempty_text, number, raw_field, scalar_text, string_only,
-    text_of, time_millis,
+    text_at, text_of, time_millis,
 )
+from seslog.functions.memo import build_once
 from seslog.functions.redact import (
     clean_user_text, data_bytes, data_media, is_data_uri, redact_data_uris, redact_json,
 )
@@ -133,7 +134,7 @@ def _dialect(df: DataFrame) -> DataFrame:
     """Dialect, payload and the values a dialect puts over its payload."""
     raw = F.col("raw")
     df = df.withColumns({
-        "raw_type": nonempty_text(field(raw, "type")),
+        "raw_type": nonempty(text_at(raw, "type")),
         "__message": F.when(is_object(field(raw, "message")), field(raw, "message")),
     })
     has_message = F.col("__message").isNotNull()
@@ -156,8 +157,8 @@ def _dialect(df: DataFrame) -> DataFrame:
 def _overlay(df: DataFrame) -> DataFrame:
     raw, payload, message = F.col("raw"), F.col("payload"), F.col("__message")
     pi, claude = F.col("format") == "pi-agent", F.col("format") == "claude-code"
-    results = F.filter(elements(F.col("__content")), lambda p: text_of(field(p, "type")) == "tool_result")
-    said = F.lower(F.coalesce(text_of(field(message, "role")), F.lit("")))
+    results = F.filter(elements(F.col("__content")), lambda p: text_at(p, "type") == "tool_result")
+    said = F.lower(F.coalesce(text_at(message, "role"), F.lit("")))
     pi_role = F.when(said.isin("toolresult", "tool"), "tool").otherwise(nonempty(said))
     df = df.withColumns({
         "tool_results": F.when(claude, F.transform(results, _tool_result)).otherwise(F.array().cast(TOOL_RESULT_TYPE)),
@@ -166,24 +167,24 @@ def _overlay(df: DataFrame) -> DataFrame:
     only_results = claude & (F.size("tool_results") > 0) & (F.size("tool_results") == F.size(elements(F.col("__content"))))
     df = df.withColumn("__tool_record", (pi & F.coalesce(F.col("__pi_role") == "tool", F.lit(False))) | only_results)
     tool = F.col("__tool_record")
-    generic_role = _first(text_of(field(payload, "role")), text_of(field(raw, "role")), text_of(field(raw, "message.role")))
+    generic_role = _first(text_at(payload, "role"), text_at(raw, "role"), text_at(raw, "message.role"))
     role = (
         F.when(claude & tool, "tool").when(claude, _first(string_only(field(message, "role")), F.col("raw_type")))
-        .when(pi, _first(F.col("__pi_role"), text_of(field(raw, "role")), text_of(field(message, "role")))).otherwise(generic_role)
+        .when(pi, _first(F.col("__pi_role"), text_at(raw, "role"), text_at(message, "role"))).otherwise(generic_role)
     )
     first_result = F.get("tool_results", 0)
     return df.withColumns({
-        "payload_type": F.when(F.col("format") == "generic", nonempty_text(field(payload, "type")))
+        "payload_type": F.when(F.col("format") == "generic", nonempty(text_at(payload, "type")))
         .when(tool, "function_call_output").otherwise("message"),
         "role": normalize_role(role),
-        "__call_id": F.when(pi & tool, _first(*[text_of(field(message, k)) for k in ("toolCallId", "call_id", "callId")]))
-        .when(claude & tool, first_result["call_id"]).otherwise(text_of(field(payload, "call_id"))),
-        "__id": F.when(pi, _first(text_of(field(message, "id")), text_of(field(raw, "id")))).otherwise(text_of(field(payload, "id"))),
+        "__call_id": F.when(pi & tool, _first(*[text_at(message, k) for k in ("toolCallId", "call_id", "callId")]))
+        .when(claude & tool, first_result["call_id"]).otherwise(text_at(payload, "call_id")),
+        "__id": F.when(pi, _first(text_at(message, "id"), text_at(raw, "id"))).otherwise(text_at(payload, "id")),
         "__success": F.when(pi & tool, field(message, "isError").cast("boolean") == False)  # noqa: E712
         .when(claude & tool, first_result["success"]).otherwise(F.try_variant_get(payload, "$.success", "boolean")),
         "__output": F.when(pi & tool, content_text(field(message, "content"), ("text", "value", "output")))
         .when(claude & tool, first_result["output"]),
-        "__name": F.when(pi & tool, _first(text_of(field(message, "toolName")), text_of(field(message, "name")))),
+        "__name": F.when(pi & tool, _first(text_at(message, "toolName"), text_at(message, "name"))),
     })
 
 
@@ -194,7 +195,7 @@ TOOL_CALL_TYPE = "array<struct<call_id:string,name:string,arguments:string>>"
 def _tool_result(part: Column) -> Column:
     content = field(part, "content")
     output = F.when(is_array(content) | (F.schema_of_variant(content) == "STRING"), content_text(content, ("text", "value")))
-    failed = (text_of(field(part, "is_error")) == "true") | (text_of(field(part, "isError")) == "true")
+    failed = (text_at(part, "is_error") == "true") | (text_at(part, "isError") == "true")
     return F.struct(
         nonempty(string_only(_first(field(part, "tool_use_id"), field(part, "toolUseId")))).alias("call_id"),
         nonempty(F.coalesce(output, F.to_json(content), F.lit(""))).alias("output"),
@@ -203,7 +204,7 @@ def _tool_result(part: Column) -> Column:
 
 
 def _tool_call(part: Column) -> Column:
-    used = text_of(field(part, "type")) == "tool_use"
+    used = text_at(part, "type") == "tool_use"
     names = lambda *keys: nonempty_text(_first(*[field(part, k) for k in keys]))
     own = _first(field(part, "arguments"), field(part, "input"), field(part, "args"))
     return F.struct(
@@ -213,11 +214,24 @@ def _tool_call(part: Column) -> Column:
     )
 
 
+@build_once
+def tool_calls() -> Column:
+    """Tool calls inside the content of a message."""
+    kind = lambda p: text_at(p, "type")
+    wanted = lambda p: (kind(p) == "toolCall") | ((kind(p) == "tool_use") & (F.col("format") == "claude-code"))
+    return F.transform(F.filter(elements(F.col("__content")), wanted), _tool_call)
+
+
+@build_once
+def record_time() -> Column:
+    return time_millis(F.col("raw"))
+
+
 def _identity(df: DataFrame) -> DataFrame:
     raw, payload = F.col("raw"), F.col("payload")
     pi, claude = F.col("format") == "pi-agent", F.col("format") == "claude-code"
     tool = F.col("__tool_record")
-    get = lambda value, key: text_of(field(value, key))
+    get = lambda value, key: text_at(value, key)
     adapted = F.when(
         pi, F.when(tool, _first(get(payload, "message_id"), F.col("__id")))
         .otherwise(_first(get(payload, "message_id"), get(raw, "id"), F.col("__id")))
@@ -237,10 +251,11 @@ def _identity(df: DataFrame) -> DataFrame:
         "is_delta": truthy,
         "delta_index": number(delta_index),
         "kind": classify_kind(F.col("raw_type"), F.col("payload_type"), F.col("role")),
-        "ts_ms": time_millis(raw),
+        "ts_ms": record_time(),
     }).withColumn("semantic_kind", classify_semantic(F.col("kind"), F.col("role")))
 
 
+@build_once
 def text_parts() -> Column:
     """Texts of a record in source order: content parts, then the payload's and the record's own text fields."""
     raw, payload, content = F.col("raw"), F.col("payload"), F.col("__content")
@@ -259,6 +274,7 @@ def _part_text(part: Column) -> Column:
     return F.when(is_object(part), scalar_text(_first(field(part, "text"), field(part, "value")))).otherwise(string_only(part))
 
 
+@build_once
 def token_usage() -> Column:
     """First place with usable output tokens; counts are rounded, generated = output + reasoning."""
     places = F.array(*[field(F.col(base), path) for base, path in USAGE_PLACES])
@@ -279,6 +295,7 @@ def token_usage() -> Column:
     )
 
 
+@build_once
 def attachments() -> Column:
     """Images and files a record carries: from content parts, then five keys of the payload, then of the record."""
     raw, payload = F.col("raw"), F.col("payload")
@@ -287,7 +304,7 @@ def attachments() -> Column:
         F.filter(elements(F.col("__content")), is_object),
         lambda p: F.array(
             entry(field(p, "image_url"), "content.image_url"), entry(field(p, "image_file"), "content.image_file"),
-            entry(F.when(text_of(field(p, "type")) == "input_image", field(p, "url")), "content.url"),
+            entry(F.when(text_at(p, "type") == "input_image", field(p, "url")), "content.url"),
         ),
     ))
 
@@ -304,9 +321,9 @@ def attachments() -> Column:
 
 def _image_reference(e: Column) -> Column:
     value, source = e["v"], e["s"]
-    url = F.when(F.schema_of_variant(value) == "STRING", text_of(value)).otherwise(nonempty_text(field(value, "url")))
-    file_id = _first(nonempty_text(field(value, "file_id")), nonempty_text(field(value, "id")))
-    path = nonempty_text(field(value, "path"))
+    url = F.when(F.schema_of_variant(value) == "STRING", text_of(value)).otherwise(nonempty(text_at(value, "url")))
+    file_id = _first(nonempty(text_at(value, "file_id")), nonempty(text_at(value, "id")))
+    path = nonempty(text_at(value, "path"))
     last = lambda p: F.coalesce(nonempty(F.element_at(F.split(p, r"[\\/]"), -1)), F.lit("file"))
 
     def row(kind: str, label: Column, media=None, size=None, link=None, fid=None, place=None, redacted=False) -> Column:
@@ -335,11 +352,12 @@ def _image_reference(e: Column) -> Column:
     )
 
 
+@build_once
 def reasoning() -> Column:
     """Summary of a reasoning record and whether (and how long) its content is encrypted."""
     raw, payload = F.col("raw"), F.col("payload")
     thinking = F.get(
-        F.filter(elements(field(raw, "message.content")), lambda p: text_of(field(p, "type")) == "thinking"), 0
+        F.filter(elements(field(raw, "message.content")), lambda p: text_at(p, "type") == "thinking"), 0
     )
     source = F.when(F.col("payload_type") == "reasoning", payload).when(
         is_object(field(raw, "reasoning")), field(raw, "reasoning")
@@ -363,7 +381,7 @@ def _entry_text(value: Column, depth: int = 2) -> Column:
     """Readable text of one history value: texts of parts, images and encrypted content as markers."""
     hidden = F.when(field(value, "encrypted_content").isNotNull(), "[encrypted_content redacted]").when(
         nonempty_text(_first(field(value, "image_url"), field(value, "image_file"))).isNotNull()
-        | (text_of(field(value, "type")) == "input_image"), "[image]",
+        | (text_at(value, "type") == "input_image"), "[image]",
     )
     scalar = scalar_text(value)
     if depth == 0:
@@ -396,7 +414,7 @@ def _history_entry(entry: Column, index: Column) -> Column:
     whole = F.when(is_object(entry), F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")).otherwise(_joined_or_text(entry, 1))
     preview = F.trim(redact_data_uris(F.coalesce(whole, F.lit(""))))
     content = field(entry, "content")
-    kinds = F.transform(elements(content), lambda p: F.when(is_object(p), nonempty_text(field(p, "type"))).otherwise(kind_of(p)))
+    kinds = F.transform(elements(content), lambda p: F.when(is_object(p), nonempty(text_at(p, "type"))).otherwise(kind_of(p)))
     return F.struct(
         (index + 1).alias("index"), F.coalesce(pick("type"), kind_of(entry)).alias("type"), pick("role").alias("role"),
         pick("name").alias("name"), pick("call_id", "callId").alias("call_id"),
@@ -411,6 +429,7 @@ def _history_entry(entry: Column, index: Column) -> Column:
     )
 
 
+@build_once
 def compaction() -> Column:
     """Context-compaction record of either dialect, with a preview of every replaced history entry."""
     raw, payload = F.col("raw"), F.col("payload")
@@ -418,7 +437,7 @@ def compaction() -> Column:
     is_pi = F.col("raw_type") == "compaction"
     is_generic = F.col("kind").isin("compacted", "context_compacted")
     history = F.coalesce(as_array(field(payload, "replacement_history")), as_array(field(raw, "replacement_history")), _no_variants())
-    message = F.when(is_pi, nonempty_text(field(raw, "summary"))).otherwise(nonempty_text(both("message")))
+    message = F.when(is_pi, nonempty(text_at(raw, "summary"))).otherwise(nonempty_text(both("message")))
     generic = F.when(~is_pi, F.lit(True))
     tail = F.when(is_pi, F.size(elements(field(raw, "retainedTail"))))
     return F.when(
@@ -434,15 +453,16 @@ def compaction() -> Column:
             F.when(generic, nonempty_text(both("previous_window_id", "previousWindowId"))).alias("previous_window_id"),
             F.when(generic, nonempty_text(both("window_id", "windowId"))).alias("window_id"),
             F.when(is_pi, number(field(raw, "tokensBefore"))).alias("tokens_before"), tail.alias("retained_tail_count"),
-            F.when(is_pi, nonempty_text(field(raw, "firstKeptEntryId"))).alias("first_kept_entry_id"),
-            F.when(is_pi, F.coalesce(text_of(field(raw, "fromHook")) == "true", F.lit(False))).alias("from_hook"),
+            F.when(is_pi, nonempty(text_at(raw, "firstKeptEntryId"))).alias("first_kept_entry_id"),
+            F.when(is_pi, F.coalesce(text_at(raw, "fromHook") == "true", F.lit(False))).alias("from_hook"),
         ),
     )
 
 
+@build_once
 def tool_name() -> Column:
     payload = F.col("payload")
-    truthy = lambda path: nonempty_text(field(payload, path))
+    truthy = lambda path: nonempty(text_at(payload, path))
     invocation = nonempty(F.concat_ws(".", truthy("invocation.server"), truthy("invocation.tool")))
     return F.coalesce(
         truthy("tool"), nonempty(F.col("__name")), truthy("name"), truthy("function.name"), truthy("execution"), invocation,
@@ -450,6 +470,7 @@ def tool_name() -> Column:
     )
 
 
+@build_once
 def tool_input() -> Column:
     payload = F.col("payload")
     value = _first(*[field(payload, k) for k in ("arguments", "function.arguments", "arguments_json", "input", "invocation.arguments")])
@@ -459,13 +480,14 @@ def tool_input() -> Column:
     )
 
 
+@build_once
 def tool_output() -> Column:
     payload = F.col("payload")
-    streams = joined_text(text_of(field(payload, "stdout")), text_of(field(payload, "stderr")))
+    streams = joined_text(text_at(payload, "stdout"), text_at(payload, "stderr"))
     result = field(payload, "result")
     ok = as_array(field(result, "Ok.content"))
     parts = F.array_join(
-        F.filter(F.transform(ok, lambda p: F.coalesce(text_of(field(p, "text")), F.to_json(p))), lambda t: t != ""), "\n\n"
+        F.filter(F.transform(ok, lambda p: F.coalesce(text_at(p, "text"), F.to_json(p))), lambda t: t != ""), "\n\n"
     )
     rendered = F.when(ok.isNotNull(), parts).otherwise(F.to_json(_first(field(result, "Err"), result)))
     verdict = F.when(F.col("__success"), "Success").when(~F.col("__success"), "Failed")
@@ -473,6 +495,7 @@ def tool_output() -> Column:
     return redact_data_uris(F.coalesce(nonempty(streams), F.when(result.isNotNull(), rendered), own, verdict))
 
 
+@build_once
 def search_text() -> Column:
     user = (F.col("role") == "user") | (F.col("kind") == "user_message")
     said = F.when(F.coalesce(user, F.lit(False)), clean_user_text(F.col("text"))).otherwise(F.col("text"))
@@ -504,6 +527,7 @@ def with_detail(title: str, detail: Column) -> Column:
     return F.when(text.isNull(), title).otherwise(F.concat(F.lit(f"{title}："), text))
 
 
+@build_once
 def event_title() -> Column:
     kind, semantic, raw_type, ptype = (F.col(c) for c in ("kind", "semantic_kind", "raw_type", "payload_type"))
     known = _lookup(kind, KIND_TITLES)
@@ -526,6 +550,7 @@ def event_title() -> Column:
     )
 
 
+@build_once
 def event_preview() -> Column:
     compact = F.col("compact")
     window = F.regexp_replace(compact["window_number"].cast("string"), r"\.0$", "")
@@ -539,7 +564,7 @@ def event_preview() -> Column:
     user = F.coalesce((F.col("role") == "user") | (F.col("kind") == "user_message"), F.lit(False))
     hidden = F.when(F.col("reasoning.encrypted"), F.concat(
         F.lit("加密推理内容（"), F.col("reasoning.encrypted_length").cast("string"), F.lit(" 字符）")))
-    last = nonempty(redact_data_uris(text_of(field(F.col("payload"), "stdout"))))
+    last = nonempty(redact_data_uris(text_at(F.col("payload"), "stdout")))
     other = F.coalesce(
         nonempty(F.col("text")), nonempty(F.col("tool_input")), nonempty(F.col("tool_output")), labels, hidden,
         nonempty(F.col("diagnostic.preview")), last, F.lit(""),
@@ -572,19 +597,13 @@ def normalize(raw_events: DataFrame) -> DataFrame:
     semantic = F.col("semantic_kind")
     diagnostic = semantic == "diagnostic"
     preview = redact_data_uris(F.coalesce("__preview", F.lit("")))
-    used = F.transform(
-        F.filter(elements(F.col("__content")), lambda p: text_of(field(p, "type")).isin("toolCall", "tool_use")), _tool_call
-    )
-    called = F.transform(
-        F.filter(elements(F.col("__content")), lambda p: text_of(field(p, "type")) == "toolCall"), _tool_call
-    )
     df = df.withColumns({
         "text_parts": F.when(diagnostic, F.filter(F.array(preview), lambda t: t != "")).otherwise(text_parts()),
         "tool_name": F.when(semantic.isin("tool_call", "tool_result"), tool_name()),
         "tool_input": F.when(semantic == "tool_call", tool_input()),
         "tool_output": F.when(semantic == "tool_result", tool_output()),
         "success": F.col("__success"),
-        "tool_calls": F.when(F.col("format") == "claude-code", used).otherwise(called),
+        "tool_calls": tool_calls(),
         "attachments": attachments(),
         "reasoning": reasoning(),
         "token_usage": token_usage(),
