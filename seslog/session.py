@@ -31,6 +31,7 @@ def local_session(cores: int | str = 8, app: str = "seslog-local", **extra: str)
     local = {
         "spark.sql.shuffle.partitions": str(cores),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("SESLOG_DRIVER_MEMORY", "12g"),
         "spark.driver.extraJavaOptions": "-Djava.net.preferIPv4Stack=true",
     }
