@@ -39,7 +39,7 @@ def estimate_tokens(columns: Sequence[str]) -> Column:
     """Explicit tokens, else a quarter of the record size, else a quarter of its visible text."""
     size = F.coalesce(F.nullif(F.col("raw_size"), F.lit(0)), F.nullif(F.col("payload_size"), F.lit(0))) if "payload_size" in columns else F.nullif(F.col("raw_size"), F.lit(0))
     text = joined_text(*[F.col(c) for c in TEXT_FIELDS if c in columns])
-    explicit = F.greatest(F.lit(0), half_up(F.col("tokens"))) if "tokens" in columns else F.lit(None)
+    explicit = F.when(F.col("tokens").isNotNull(), F.greatest(F.lit(0), half_up(F.col("tokens")))) if "tokens" in columns else F.lit(None)
     return F.coalesce(explicit, F.when(size > 0, F.greatest(F.lit(1), F.ceil(size / 4))), char_tokens(text)).cast("long")
 
 

@@ -136,9 +136,9 @@ def d10(spark, sf):
 
 @query("d9_child_to_turn", """WITH t AS (SELECT o_custkey AS session_id, o_orderkey AS turn_id, epoch_ms(o_orderdate) AS start_ms,
    epoch_ms(o_orderdate) + 20 * 86400000 AS end_ms FROM orders),
- c AS (SELECT l_suppkey * 13 % 1500 AS session_id, l_orderkey AS child_id, l_linenumber AS child_no, epoch_ms(l_shipdate) AS anchor_ms FROM lineitem)
- SELECT c.session_id, child_id, child_no, arg_min(turn_id, (start_ms, turn_id)) AS turn_id FROM c LEFT JOIN t ON t.session_id = c.session_id
- AND anchor_ms >= start_ms AND anchor_ms <= end_ms GROUP BY ALL""")
+ c AS (SELECT row_number() OVER () AS rid, l_suppkey * 13 % 1500 AS session_id, l_orderkey AS child_id, l_linenumber AS child_no, epoch_ms(l_shipdate) AS anchor_ms FROM lineitem)
+ SELECT session_id, child_id, child_no, turn_id FROM (SELECT rid, c.session_id, child_id, child_no, arg_min(turn_id, (start_ms, turn_id)) AS turn_id
+ FROM c LEFT JOIN t ON t.session_id = c.session_id AND anchor_ms >= start_ms AND anchor_ms <= end_ms GROUP BY ALL)""")
 def d9(spark, sf):
     """Turns of a session in time order; a child goes to the first turn that holds its anchor, else to the root (NULL)."""
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("interval_id"), millis("o_orderdate").alias("start_ms"))
@@ -164,15 +164,17 @@ def d11(spark, sf):
     return tj.nearest(targets, snaps, ["session_id"], ["percent", "snap_ms"], WIDE).drop("t")
 
 
-PIECES_SQL = f"""p AS (SELECT o_custkey AS session_id, o_orderkey AS turn_id, l_linenumber AS no, l_partkey AS part,
-  epoch_ms(o_orderdate) + l_linenumber * {DAY_MS} AS day_ms, l_quantity, l_suppkey, l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+PIECES_SQL = f"""p AS (SELECT o_custkey AS session_id, o_orderkey AS turn_id, l_linenumber AS no, epoch_ms(o_orderdate) + l_linenumber * {DAY_MS} AS day_ms,
+  max(l_quantity) AS l_quantity, max(l_suppkey) AS l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
  seg AS (SELECT session_id, turn_id, no AS segment_id, day_ms + (l_suppkey % 6) * {HOUR} AS s, day_ms + (l_suppkey % 6 + 18) * {HOUR} AS e FROM p),
  resp AS (SELECT session_id, turn_id, no AS span_id, no AS ord, day_ms - 10 * {HOUR} AS s, day_ms - 10 * {HOUR} + CAST(l_quantity AS BIGINT) * 1200000 AS e FROM p)"""
 
 
 def _pieces(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("turn_id"), millis("o_orderdate").alias("d"))
-    rows = orders.join(table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "turn_id"), "turn_id").withColumn("day_ms", F.col("d") + F.col("l_linenumber") * DAY_MS)
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("turn_id"), "l_linenumber").agg(
+        F.max("l_quantity").alias("l_quantity"), F.max("l_suppkey").alias("l_suppkey"))
+    rows = orders.join(lines, "turn_id").withColumn("day_ms", F.col("d") + F.col("l_linenumber") * DAY_MS)
     keys = ["session_id", "turn_id"]
     hour = F.col("l_suppkey") % 6
     seg = rows.select(*keys, F.col("l_linenumber").alias("segment_id"), (F.col("day_ms") + hour * HOUR).alias("start_ms"), (F.col("day_ms") + (hour + 18) * HOUR).alias("end_ms"))
@@ -191,8 +193,8 @@ def d12(spark, sf):
     return tj.greatest_overlap(seg, resp, ["session_id", "turn_id"], TOOL_WIDTH_MS)
 
 
-@query("d13_tool_tokens_in_response", with_ctes(TOOL_INTERVALS_SQL, """SELECT r.turn_id, r.line_no, CAST(coalesce(sum(
-   greatest(1, ceil(octet_length(encode(t.tool || chr(10) || t.part_id)) / 4.0))), 0) AS BIGINT) AS tool_call_tokens
+@query("d13_tool_tokens_in_response", with_ctes(TOOL_INTERVALS_SQL, """SELECT r.turn_id, r.line_no, CAST(coalesce(sum(CASE WHEN t.tool IS NOT NULL
+   THEN greatest(1, ceil(octet_length(encode(t.tool || chr(10) || t.part_id)) / 4.0)) END), 0) AS BIGINT) AS tool_call_tokens
   FROM tool_intervals r LEFT JOIN tool_intervals t ON t.session_id = r.session_id AND t.bucket = 'tool_execution'
    AND t.start_ms >= r.start_ms AND t.start_ms <= r.end_ms
   WHERE r.bucket = 'llm_wait' AND r.end_ms >= r.start_ms GROUP BY ALL"""))
@@ -334,8 +336,8 @@ def h8(spark, sf):
         "session_id", "event_index", "kind", "percent")
 
 
-@query("s4_json_path", """SELECT event_id, CASE WHEN json_extract(src, '$.k') IS NULL THEN NULL ELSE json_extract_string(src, '$.k') END AS value,
-  CASE WHEN trim(src) = '' THEN 'empty' WHEN NOT json_valid(src) THEN 'not-json' WHEN json_extract(src, '$.k') IS NULL THEN 'not-found' END AS reason
+@query("s4_json_path", """SELECT event_id, TRY(json_extract_string(src, '$.k')) AS value,
+  CASE WHEN trim(src) = '' THEN 'empty' WHEN NOT json_valid(src) THEN 'not-json' WHEN TRY(json_extract(src, '$.k')) IS NULL THEN 'not-found' END AS reason
   FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{bad' WHEN 2 THEN ' ' ELSE '{"a":1}' END AS src FROM events)""")
 def s4(spark, sf):
     from seslog.functions.jsonpath import extract
