@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seslog.functions.text import trim_space
+
 # The keys under which records carry their time, in order of preference.
 TIME_KEYS = ("timestamp", "time", "ts", "created", "created_at", "datetime", "date", "event_time", "when", "at")
 SECONDS_BELOW = 1e11
@@ -84,7 +86,7 @@ def number(value: Column) -> Column:
 
     NULL stands both for 'absent' and for 'not a number'. Pass a field with JSON null kept (raw_field).
     """
-    text = F.trim(text_of(value))
+    text = trim_space(text_of(value))
     return (
         F.when(F.is_variant_null(value), 0.0).when(text == "", 0.0).when(text == "true", 1.0).when(text == "false", 0.0)
         .when(text.rlike(NUMERIC), text.try_cast("double"))
@@ -112,7 +114,7 @@ def epoch_millis(value: Column) -> Column:
 
 def millis_of_text(text: Column) -> Column:
     """Epoch milliseconds of a numeric or ISO text."""
-    trimmed = F.trim(text)
+    trimmed = trim_space(text)
     numeric = F.when(trimmed.rlike(r"^-?\d+(\.\d+)?$"), trimmed.try_cast("double"))
     return F.when(trimmed == "", None).otherwise(
         F.when(numeric.isNotNull(), epoch_millis(numeric)).otherwise(F.unix_millis(trimmed.try_cast("timestamp")))

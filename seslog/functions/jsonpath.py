@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seslog.functions.text import trim_space
+
 
 def segments(path: str) -> list[str | int]:
     """Parts of a path like ``$.a[0]["b"]``."""
@@ -25,7 +27,7 @@ def extract(source: Column, path: str) -> tuple[Column, Column]:
     found = F.try_variant_get(document, variant_path, "variant")
     value = F.try_variant_get(document, variant_path, "string")
     reason = (
-        F.when(source.isNull() | (F.trim(source) == ""), "empty").when(document.isNull(), "not-json")
+        F.when(source.isNull() | (trim_space(source) == ""), "empty").when(document.isNull(), "not-json")
         .when(found.isNull(), "not-found")
     )
     return value, reason

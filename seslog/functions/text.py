@@ -18,8 +18,18 @@ def first_nonempty(*values: Column) -> Column:
     return F.coalesce(*[nonempty(v) for v in values])
 
 
+# Fixed value: the same white space as single characters.
+SPACE_CHARS = (
+    " \t\n\r\x0b\x0c\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+
 def trim_space(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(value, F.lit(SPACE_CHARS))
+
+
+def rtrim_space(value: Column) -> Column:
+    return F.rtrim(value, F.lit(SPACE_CHARS))
 
 
 def normalize_text(value: Column) -> Column:
@@ -153,7 +163,7 @@ def clean_filled(value: Column) -> Column:
     """Collapse white space and drop the punctuation an empty value leaves behind."""
     text = F.regexp_replace(value, f"{SPACE}+", " ")
     text = F.regexp_replace(text, r" +([：:，,。;；])", "$1")
-    return F.trim(F.regexp_replace(text, r"[：:，,;；]\s*$", ""))
+    return trim_space(F.regexp_replace(text, r"[：:，,;；]\s*$", ""))
 
 
 def readable_output(output: Column, label: str, preview: int = 160) -> Column:
@@ -194,7 +204,7 @@ def evidence_id(source, session, thread=None, turn=None, event=None, node=None,
 
 def redact_secrets(message: Column) -> Column:
     """First non-blank line (240 characters) with URL credentials, bearer tokens and token values removed."""
-    lines = F.filter(F.split(message, "\r?\n"), lambda line: F.trim(line) != "")
+    lines = F.filter(F.split(message, "\r?\n"), lambda line: trim_space(line) != "")
     text = F.substring(trim_space(F.coalesce(F.get(lines, 0), F.lit(""))), 1, 240)
     held = "__HELD_BEARER__"
     for pattern, target in (

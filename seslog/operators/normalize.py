@@ -17,7 +17,7 @@ from seslog.functions.memo import build_once
 from seslog.functions.redact import (
     clean_user_text, data_bytes, data_media, is_data_uri, redact_data_uris, redact_json,
 )
-from seslog.functions.text import first_line, joined_text, nonempty
+from seslog.functions.text import first_line, joined_text, nonempty, trim_space
 
 # Record and payload type names of the logs.
 TOOL_CALL_KINDS = ("function_call", "tool_search_call", "custom_tool_call")
@@ -412,7 +412,7 @@ def _history_entry(entry: Column, index: Column) -> Column:
         F.array_compact(F.array(*[field(entry, k) for k in HISTORY_KEYS])), lambda v: _joined_or_text(v, 1)
     )
     whole = F.when(is_object(entry), F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")).otherwise(_joined_or_text(entry, 1))
-    preview = F.trim(redact_data_uris(F.coalesce(whole, F.lit(""))))
+    preview = trim_space(redact_data_uris(F.coalesce(whole, F.lit(""))))
     content = field(entry, "content")
     kinds = F.transform(elements(content), lambda p: F.when(is_object(p), nonempty(text_at(p, "type"))).otherwise(kind_of(p)))
     return F.struct(
@@ -523,7 +523,7 @@ def search_text() -> Column:
 
 
 def with_detail(title: str, detail: Column) -> Column:
-    text = nonempty(F.trim(F.coalesce(detail, F.lit(""))))
+    text = nonempty(trim_space(F.coalesce(detail, F.lit(""))))
     return F.when(text.isNull(), title).otherwise(F.concat(F.lit(f"{title}："), text))
 
 

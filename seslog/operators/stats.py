@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seslog.functions.text import char_tokens, joined_text, normalize_text, slashes, strip_long_path_prefix
+from seslog.functions.text import char_tokens, joined_text, normalize_text, slashes, strip_long_path_prefix, trim_space
 from seslog.operators.timing import half_up
 
 ERROR_WORDS = "(?i)error|failed|失败|错误"
@@ -117,7 +117,7 @@ def error_counts(events: DataFrame, items: DataFrame) -> DataFrame:
 
 def directory_tree(sessions: DataFrame) -> DataFrame:
     """Sessions and latest time below every directory of their working directories; those without one under 'none'."""
-    raw = slashes(strip_long_path_prefix(F.trim(F.coalesce("cwd", F.lit("")))))
+    raw = slashes(strip_long_path_prefix(trim_space(F.coalesce("cwd", F.lit("")))))
     parts = F.filter(F.split(raw, "/"), lambda p: p != "")
     head = F.when(raw.startswith("/"), "/").otherwise("")
     prefixes = F.transform(F.sequence(F.lit(1), F.size("__parts")), lambda n: F.concat(F.col("__head"), F.array_join(F.slice("__parts", 1, n), "/")))

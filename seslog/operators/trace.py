@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seslog.functions.js import text_at
 from seslog.functions.ordered import DAY_MS, ordered_scan, running_sum, time_block
-from seslog.functions.text import first_line, nonempty
+from seslog.functions.text import first_line, nonempty, trim_space
 
 HANDOFF_TOOLS = ("spawn_agent", "wait_agent", "handoff")
 # Node types shown without a filter.
@@ -149,8 +149,8 @@ NOTICE_KEYS = ("agent_path", "agentPath", "agent_id", "agentId", "thread_id", "t
 
 def notification_payload(text: Column) -> Column:
     """The notification object of a text: bare JSON or inside its tag; NULL for other texts."""
-    trimmed = F.trim(F.coalesce(text, F.lit("")))
-    wrapped = F.trim(F.regexp_extract(trimmed, r"(?is)<subagent_notification>\s*(.*?)\s*</subagent_notification>", 1))
+    trimmed = trim_space(F.coalesce(text, F.lit("")))
+    wrapped = trim_space(F.regexp_extract(trimmed, r"(?is)<subagent_notification>\s*(.*?)\s*</subagent_notification>", 1))
     candidates = F.array(trimmed, wrapped)
 
     def usable(t: Column) -> Column:
@@ -168,7 +168,7 @@ def notification_matches(events: DataFrame, children: DataFrame) -> DataFrame:
     """
     payload = F.coalesce(notification_payload(F.col("text")), notification_payload(F.col("record")))
     doc = F.try_parse_json("__payload")
-    ids = F.array_distinct(F.array_compact(F.array(*[nonempty(F.trim(text_at(doc, k))) for k in NOTICE_KEYS])))
+    ids = F.array_distinct(F.array_compact(F.array(*[nonempty(trim_space(text_at(doc, k))) for k in NOTICE_KEYS])))
     rows = events.withColumn("__payload", payload).withColumn("__ids", F.coalesce(ids, F.array().cast("array<string>")))
     by_id = rows.select("session_id", "event_index", "ts_ms", F.explode("__ids").alias("child_id")).join(
         children.select("session_id", "child_id"), ["session_id", "child_id"])
@@ -195,9 +195,9 @@ def notification_summary(payload: Column) -> Column:
         .when(words.rlike("(?i)running|pending|started|in[-_ ]?progress|waiting|运行|等待|处理中"), "running").otherwise("unknown"))
     places = [f"status.{k}" for k in ("completed", "failed", "error", "message", "summary")] + [
         "completed", "failed", "error", "message", "summary", "output", "result"]
-    text = lambda p: F.when(text_at(doc, p) != "false", nonempty(F.trim(text_at(doc, p))))
+    text = lambda p: F.when(text_at(doc, p) != "false", nonempty(trim_space(text_at(doc, p))))
     body = F.coalesce(*[text(p) for p in places], F.lit(""))
-    agent = F.coalesce(*[nonempty(F.trim(text_at(doc, k))) for k in NOTICE_KEYS])
+    agent = F.coalesce(*[nonempty(trim_space(text_at(doc, k))) for k in NOTICE_KEYS])
     return F.struct(state.alias("state"), agent.alias("agent_id"), body.alias("body"), F.length(body).alias("body_length"))
 
 
@@ -216,7 +216,7 @@ def child_nodes(children: DataFrame, spawns: DataFrame, notices: DataFrame) -> D
 
 # --- embedded sub-agents and skills -----------------------------------------------------------------------------------------
 def _stripped(value: Column) -> Column:
-    return nonempty(F.trim(value))
+    return nonempty(trim_space(value))
 
 
 def embedded_requests(calls: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def embedded_results(calls: DataFrame) -> DataFrame:
     given = some.select(
         "session_id", "call_id", "task_index", F.coalesce(_stripped(text_at(r, "agent")), F.lit("未指定代理")).alias("agent"), status.alias("status"),
         F.coalesce(failure, F.get(F.array_compact(said), 0), F.lit("")).alias("summary"))
-    text = F.trim("output")
+    text = trim_space(F.col("output"))
     invalid = text.rlike(r"(?i)^Invalid parameters\.")
     none = rows.filter((F.size("__rs") == 0) & (invalid | (F.col("status") == "failed"))).select(
         "session_id", "call_id", F.lit(0).alias("task_index"), F.lit("未指定代理").alias("agent"),
@@ -287,12 +287,12 @@ def skill_declaration(text: Column) -> Column:
     found = text.rlike(pattern) & attribute("name").isNotNull() & attribute("location").isNotNull()
     return F.when(found, F.struct(
         attribute("name").alias("name"), F.regexp_replace(F.replace(attribute("location"), F.lit("\\"), F.lit("/")), "/+$", "").alias("location"),
-        F.trim(F.regexp_extract(text, pattern, 2)).alias("instruction"), F.trim(F.regexp_extract(text, pattern, 3)).alias("user_text")))
+        trim_space(F.regexp_extract(text, pattern, 2)).alias("instruction"), trim_space(F.regexp_extract(text, pattern, 3)).alias("user_text")))
 
 
 def skill_read(name: Column, arguments: Column) -> Column:
     """Skill name hint and path where a read call opens a SKILL.md."""
-    path = F.regexp_replace(F.replace(F.trim(F.coalesce(F.get_json_object(arguments, "$.path"), F.lit(""))), F.lit("\\"), F.lit("/")), "/+$", "")
+    path = F.regexp_replace(F.replace(trim_space(F.coalesce(F.get_json_object(arguments, "$.path"), F.lit(""))), F.lit("\\"), F.lit("/")), "/+$", "")
     parts = F.split(path, "/")
     is_skill = (name == "read") & (F.lower(F.element_at(parts, -1)) == "skill.md")
     return F.when(F.coalesce(is_skill, F.lit(False)), F.struct(nonempty(F.get(parts, F.size(parts) - 2)).alias("skill"), path.alias("location")))

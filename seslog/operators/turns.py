@@ -13,7 +13,7 @@ from seslog.functions.ordered import (
 )
 from seslog.functions.redact import clean_user_text, is_machine_only
 from seslog.functions.staging import stage
-from seslog.functions.text import nonempty, normalize_text
+from seslog.functions.text import nonempty, normalize_text, trim_space
 from seslog.operators import segment
 from seslog.operators.context import payload_context_usage
 
@@ -37,7 +37,7 @@ def is_assistant_message() -> Column:
 
 def merge_output(previous: Column, following: Column) -> Column:
     """Two outputs of one call: the longer one if it contains the other, else both with a blank line between."""
-    left, right = F.trim(previous), F.trim(following)
+    left, right = trim_space(previous), trim_space(following)
     return (
         F.when(nonempty(following).isNull(), previous).when(nonempty(previous).isNull(), following)
         .when((right == "") | F.contains(left, right), previous).when(F.contains(right, left), following)
