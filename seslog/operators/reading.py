@@ -254,19 +254,19 @@ def entry_targets(entries: DataFrame, items: DataFrame) -> DataFrame:
     own_id = F.concat(F.lit("item-"), F.col("item_index").cast("string"))
     by_id = lambda column, wanted_id, rank: base.join(
         slim.withColumn("__key", F.coalesce(column, own_id)).groupBy(*TURN, "__key").agg(F.min("item_index").alias("item_index")).withColumnRenamed("__key", wanted_id),
-        [*TURN, wanted_id]).select(*key, *TURN, "item_index", F.lit(rank).alias("rank"), F.lit(0).cast("long").alias("pos"))
+        [*TURN, wanted_id]).select(*key, "turn_index", "item_index", F.lit(rank).alias("rank"), F.lit(0).cast("long").alias("pos"))
     first = by_id(F.col("message_id"), "__mid", 0).unionByName(by_id(F.col("call_id"), "__cid", 1))
     open_entries = base.join(first.select(*key).distinct(), key, "left_anti")
     # Items of one turn against the entries of one compaction that point into it.
     candidates = open_entries.join(slim.filter("item_type IN ('user-message', 'assistant-message', 'tool-call', 'reasoning')"), TURN).filter(
         F.col("__wanted").isNull() | (F.col("__wanted") == F.col("item_type")))
     holds = (F.col("__preview") != "") & (F.contains("__text", F.col("__preview")) | F.contains(F.col("__preview"), F.substring("__text", 1, 80)))
-    picked = candidates.groupBy(*key, *TURN).agg(
+    picked = candidates.groupBy(*key, "turn_index").agg(
         F.min(F.when(holds, F.col("item_index"))).alias("held"), F.count(F.lit(1)).alias("n"), F.min("item_index").alias("lo"), F.max("item_index").alias("hi"),
         F.max(F.when(F.col("ts_ms") <= F.col("__ts"), F.col("item_index"))).alias("before"), F.max("__role").alias("role"))
     chosen = F.coalesce("held", F.when(F.col("n") == 1, F.col("lo")), "before", F.when(F.col("role") == "assistant", F.col("hi")).otherwise(F.col("lo")))
-    second = picked.select(*key, *TURN, chosen.alias("item_index"))
-    best = first.groupBy(*key, *TURN).agg(F.min_by("item_index", "rank").alias("item_index"))
+    second = picked.select(*key, "turn_index", chosen.alias("item_index"))
+    best = first.groupBy(*key, "turn_index").agg(F.min_by("item_index", "rank").alias("item_index"))
     return best.unionByName(second)
 
 

@@ -200,6 +200,8 @@ def classify(calls: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame
         values[f"match{index}"] = chain
         if index == 0:
             values["match"] = chain
+    templates = " ".join(r.title + r.summary for r, _ in usable)
+    values = {k: v for k, v in values.items() if "{" + k + "}" in templates}
     rows = rows.withColumn("rule_title", clean_filled(fill_template(pick("title"), values)))
     fallback = first_line(first_nonempty(F.col("command"), F.coalesce("arguments", F.lit("")), opt("summary")), 220)
     filled = clean_filled(fill_template(pick("summary"), {**values, "title": F.col("rule_title")}))

@@ -64,10 +64,17 @@ def with_share(statistics: DataFrame) -> DataFrame:
         half_up(F.col("approx_tokens") / F.col("n"), 1).alias("average_tokens"))
 
 
+def _known_rule() -> Column:
+    """Marks groups of matched calls. A filter on rule_id itself would be pushed below the projection that computes it
+    and evaluate every rule a second time."""
+    return F.max(F.col("rule_id").isNotNull()).alias("__known")
+
+
 def operation_breakdown(outputs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Tool outputs per kind and matched rule."""
-    return outputs.filter(F.col("kind").isin(*OUTPUT_KINDS) & F.col("rule_id").isNotNull()).groupBy(*keys, "kind", "rule_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("approx_tokens").alias("approx_tokens"), F.sum("approx_bytes").alias("approx_bytes"))
+    grouped = outputs.filter(F.col("kind").isin(*OUTPUT_KINDS)).groupBy(*keys, "kind", "rule_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("approx_tokens").alias("approx_tokens"), F.sum("approx_bytes").alias("approx_bytes"), _known_rule())
+    return grouped.filter("__known").drop("__known")
 
 
 def tool_context_statistics(calls: DataFrame, window: Column, keys: Sequence[str] = (), text: str | None = None) -> DataFrame:
@@ -77,7 +84,7 @@ def tool_context_statistics(calls: DataFrame, window: Column, keys: Sequence[str
     one is the primary.
     """
     output, arguments = F.coalesce("output", F.lit("")), F.coalesce("arguments", F.lit(""))
-    rows = calls.filter("rule_id IS NOT NULL")
+    rows = calls
     if text:
         rows = rows.filter(F.lower(F.concat_ws("\n", "rule_title", "target", output)).contains(text.strip().lower()))
     size = F.octet_length(output)
@@ -86,7 +93,7 @@ def tool_context_statistics(calls: DataFrame, window: Column, keys: Sequence[str
         F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(arguments)).alias("argument_bytes"), F.sum(size).alias("output_bytes"),
         F.sum(char_tokens(arguments) + out_tokens).alias("context_tokens"), F.max(size).alias("max_output_bytes"),
         F.max(out_tokens).alias("max_output_tokens"), F.max_by("event_index", F.struct(size, F.col("ord"))).alias("primary_event"),
-        F.count_distinct("event_index").alias("n_events"))
+        F.count_distinct("event_index").alias("n_events"), _known_rule()).filter("__known").drop("__known")
     share = lambda c: F.when(window > 0, F.col(c) / window * 100)
     return grouped.withColumns({"window_share": share("context_tokens"), "max_output_share": share("max_output_tokens")})
 
