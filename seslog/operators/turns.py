@@ -290,8 +290,8 @@ def assemble(slim: DataFrame, block_size: int = EVENTS_PER_BLOCK, goals: DataFra
 
     ``goals`` (session_id, event_index, goal_kind, goal_text) replaces control packets by their objective.
     """
-    merged = coalesce_deltas(slim)
-    events = drop_fork_replay(merged)
+    # Written once: every later step branches, and must not repeat the normalization expressions in its plan.
+    events = drop_fork_replay(coalesce_deltas(stage(slim)))
     if goals is not None:
         events = events.join(goals, ["session_id", "event_index"], "left").filter(
             ~_true(F.col("goal_kind").isin("suppress", "suppress-state"))

@@ -61,7 +61,7 @@ def events(spark, sf):
 
 @cached("assembly")
 def assembly(spark, sf):
-    return tn.assemble(stage(tn.slim_events(events(spark, sf))))
+    return tn.assemble(tn.slim_events(events(spark, sf)))
 
 
 # Independent recomputation: turns open at the first spoken row and at each user row after an answer.
