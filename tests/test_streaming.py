@@ -7,12 +7,21 @@ from seslog.operators.pairing import pair
 from seslog.streaming import live
 
 
-def run(stream, mode, name):
+def run(stream, mode, name, wait=True):
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"/tmp/seslog-{name}-{time.time_ns()}").start()
-    query.processAllAvailable()
+    if wait:
+        query.processAllAvailable()
     return query
 
 
+def until(name, condition, seconds=60):
+    """Queries with processing-time timeouts run batches all the time, so they are watched, not awaited."""
+    deadline = time.time() + seconds
+    while time.time() < deadline and not condition():
+        time.sleep(0.3)
+    assert condition(), name
+
+
 def write(path, name, rows):
     path.mkdir(exist_ok=True, parents=True)
     (path / name).write_text("\n".join(json.dumps(r) for r in rows) + "\n")
@@ -32,9 +41,10 @@ def test_pairing_and_deltas_equal_batch(spark, tmp_path):
     rows = [{"session_id": f"s{i % 2}", "turn_id": "t", "call_id": f"c{i % 3}", "event_index": i, "is_call": i % 4 == 0} for i in range(60)]
     schema = "session_id string, turn_id string, call_id string, event_index long, is_call boolean"
     write(tmp_path / "calls", "1.json", rows[:25])
-    query = run(live.pair_calls(spark.readStream.schema(schema).json(str(tmp_path / "calls"))), "append", "paired")
+    query = run(live.pair_calls(spark.readStream.schema(schema).json(str(tmp_path / "calls"))), "append", "paired", wait=False)
+    until("first segment", lambda: spark.table("paired").count() == sum(not r["is_call"] for r in rows[:25]))
     write(tmp_path / "calls", "2.json", rows[25:])
-    query.processAllAvailable()
+    until("second segment", lambda: spark.table("paired").count() == sum(not r["is_call"] for r in rows))
     query.stop()
     batch = pair(spark.createDataFrame(rows, schema), ["session_id", "turn_id", "call_id"], "event_index", 8).filter("result_pos IS NOT NULL")
     columns = ["session_id", "call_id", "call_pos", "result_pos"]
@@ -43,9 +53,10 @@ def test_pairing_and_deltas_equal_batch(spark, tmp_path):
     chunks = [{"session_id": "s", "message_id": f"m{i % 2}", "role": "assistant", "kind": "agent_message", "event_index": i, "text": f"<{i}>"} for i in range(10)]
     schema = "session_id string, message_id string, role string, kind string, event_index long, text string"
     write(tmp_path / "deltas", "1.json", chunks[:5])
-    query = run(live.merge_deltas(spark.readStream.schema(schema).json(str(tmp_path / "deltas"))), "update", "merged")
+    query = run(live.merge_deltas(spark.readStream.schema(schema).json(str(tmp_path / "deltas"))), "update", "merged", wait=False)
+    until("first chunks", lambda: spark.table("merged").count() == 2)
     write(tmp_path / "deltas", "2.json", chunks[4:])
-    query.processAllAvailable()
+    until("all chunks", lambda: spark.table("merged").count() == 4)
     query.stop()
     last = spark.table("merged").groupBy("message_id").agg(F.max_by("text", "chunks").alias("text"), F.max("chunks").alias("n"))
     assert {r.message_id: (r.text, r.n) for r in last.collect()} == {"m0": ("<0><2><4><6><8>", 5), "m1": ("<1><3><5><7><9>", 5)}
@@ -55,15 +66,8 @@ def test_status_stops_after_silence(spark, tmp_path):
     row = lambda s, i, kind: {"session_id": s, "event_index": i, "kind": kind, "role": None}
     write(tmp_path / "st", "1.json", [row("a", 0, "task_started"), row("b", 0, "task_started"), row("b", 1, "task_complete")])
     stream = spark.readStream.schema("session_id string, event_index long, kind string, role string").json(str(tmp_path / "st"))
-    query = run(live.live_status(stream, stale_ms=500), "update", "statuses")
-    time.sleep(1.5)
-    write(tmp_path / "st", "2.json", [row("c", 0, "user_message")])
-    deadline = time.time() + 30
-    while time.time() < deadline:
-        query.processAllAvailable()
-        if spark.table("statuses").filter("session_id = 'a' AND status = 'stopped'").count():
-            break
-        write(tmp_path / "st", f"{time.time_ns()}.json", [row("d", 0, "user_message")])
+    query = run(live.live_status(stream, stale_ms=500), "update", "statuses", wait=False)
+    until("stopped", lambda: spark.table("statuses").filter("session_id = 'a' AND status = 'stopped'").count())
     query.stop()
     seen = {(r.session_id, r.status) for r in spark.table("statuses").collect()}
     assert {("a", "running"), ("a", "stopped"), ("b", "completed")} <= seen and ("b", "stopped") not in seen
