@@ -71,7 +71,7 @@ def event(kind, **payload):
 
 
 def test_fork_replay_resume_and_repeats(spark):
-    fork = [event("user_message", message="old"), event("agent_message", message="old answer"), event("task_started", turn_id="t"), event("user_message", message="new"), event("agent_message", message="answer")]
+    fork = [event("user_message", message="old"), event("user_message", message="older"), event("agent_message", message="old answer"), event("task_started", turn_id="t"), event("user_message", message="new"), event("agent_message", message="answer")]
     resume = [event("task_started", turn_id="a"), event("user_message", message="go  on"), event("turn_aborted"), event("task_started", turn_id="b"), event("user_message", message="go on"), event("agent_message", message="ok")]
     repeat = [event("user_message", message="same"), event("user_message", message="same"), event("agent_message", message="x"), event("agent_message", message="x")]
     rows = [(s, i, line) for s, block in (("fork", fork), ("resume", resume), ("repeat", repeat)) for i, line in enumerate(block)]
