@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seslog.llm import bitmap as bits_of
 from seslog.llm.arrowtext import ALNUM_WORDS, Words, blocks
 from seslog.llm.common import fresh_name, sha256_text, stage
 
 WINDOW, SHINGLE = 10, 3
-BITS = 23
 
 
 def _item_bits(window: int):
-    """(word, bits) parts of the bitmap, and the sizes of shingles and windows that occur."""
+    """(slot, size, shortest): bits of shingles, their number of words and the shortest window of their items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -42,25 +42,19 @@ def _item_bits(window: int):
                 value, at = words.shingles(hashes, size)
                 if size < SHINGLE:  # only items of just so many words
                     value = value[counts[words.rows[at]] == size]
-                slots = np.unique(value >> np.uint64(64 - BITS)).astype(np.int64)
+                slots = np.unique(bits_of.slots(value))
                 if len(slots):
                     fits = np.minimum(counts[counts >= size], window) if size == SHINGLE else np.array([size])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(slots >> 6), pa.array(np.int64(1) << (slots & 63)), pa.array(np.full(len(slots), size)), pa.array(np.full(len(slots), int(fits.min())))],
-                        ["slot", "bits", "size", "shortest"],
-                    )
+                    shortest = np.full(len(slots), int(fits.min()))
+                    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(slots), size)), pa.array(shortest)], ["slot", "size", "shortest"])
 
     return run
 
 
 def _bitmap(items: DataFrame, window: int) -> tuple[np.ndarray, list[int], int]:
-    bits = items.mapInArrow(_item_bits(window), "slot long, bits long, size long, shortest long")
-    found = stage(bits.groupBy("slot").agg(F.bit_or("bits").alias("bits"), F.collect_set("size").alias("sizes"), F.min("shortest").alias("shortest")))
-    facts = found.select(F.explode("sizes").alias("size"), "shortest").agg(F.collect_set("size").alias("sizes"), F.min("shortest").alias("shortest")).first()
-    rows = found.select("slot", "bits").toPandas()  # at most 2^23 / 64 rows
-    words = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    words[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
-    return words, sorted(facts.sizes or []), int(facts.shortest or 1)
+    found = stage(items.mapInArrow(_item_bits(window), "slot long, size long, shortest long").groupBy("slot", "size").agg(F.min("shortest").alias("shortest")))
+    facts = found.agg(F.collect_set("size").alias("sizes"), F.min("shortest").alias("shortest")).first()
+    return bits_of.collect(found), sorted(facts.sizes), int(facts.shortest or 1)
 
 
 def _passages(bitmap, sizes: list[int], shortest: int):
@@ -74,8 +68,7 @@ def _passages(bitmap, sizes: list[int], shortest: int):
             covered = np.zeros(len(hashes) + 1, dtype=np.int32)
             for size in sizes:
                 value, at = words.shingles(hashes, size)
-                slot = (value >> np.uint64(64 - BITS)).astype(np.int64)
-                hit = at[(table[slot >> 6] >> (slot & 63)) & 1 == 1]
+                hit = at[bits_of.is_set(table, bits_of.slots(value))]
                 np.add.at(covered, hit, 1)
                 np.add.at(covered, hit + size, -1)
             inside = np.cumsum(covered[:-1]) > 0

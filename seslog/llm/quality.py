@@ -19,7 +19,7 @@ from seslog.llm.common import fresh_name, stage
 
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 LEAST_CHARS_FOR_CLASSES, LEAST_WORDS_FOR_COMMON = 200, 100
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.35, 0.75
+MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.28, 0.285
 MOST_BROADCAST_LANGUAGES = 10_000
 
 BLANKS = " \t\n\x0b\x0c\r"
