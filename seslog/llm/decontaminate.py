@@ -107,14 +107,17 @@ def _shingled(df: DataFrame, words: str, size) -> DataFrame:
     return df.withColumn("at", F.explode(places)).withColumn("shingle", F.array_join(F.slice(words, F.col("at") + 1, size), " "))
 
 
-def passage_hits(passages: DataFrame, windows: DataFrame) -> DataFrame:
-    """Distinct passages -> (passage, hits: sorted disjoint word ranges, items). Only passages with a hit are returned."""
+def passage_hits(passages: DataFrame, windows: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """(pid, passage) -> (pid, n_hit: words inside a window, items). Only passages with a hit are returned.
+
+    sizes: the sizes of shingles that windows have. A place of a shingle carries only the words a window there can reach.
+    """
     size = F.least(F.size("words"), F.lit(SHINGLE))
-    distinct_windows = windows.select("words").distinct()
-    parts = _shingled(distinct_windows, "words", size).select("words", "at", "shingle")
-    split = passages.select("passage", F.split("passage", " ").alias("p"))
-    sizes = F.explode(F.sequence(F.lit(1), F.lit(SHINGLE)))
-    places = _shingled(split.withColumn("size", sizes), "p", F.col("size")).select("passage", "p", F.col("at").alias("p_at"), "shingle")
+    parts = _shingled(windows.select("words").distinct(), "words", size).select("words", "at", "shingle")
+    split = passages.select("pid", F.split("passage", " ").alias("p"), F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size"))
+    base = F.greatest(F.col("at") - (window - 1), F.lit(0))
+    near = F.slice("p", base + 1, F.lit(2 * window + SHINGLE))
+    places = stage(_shingled(split, "p", F.col("size")).select("pid", F.col("at").alias("p_at"), "shingle", base.alias("base"), near.alias("near")))
     rarity = places.groupBy("shingle").agg(F.count("*").alias("n"))
     # a window with a shingle that no passage has occurs nowhere; the others keep their rarest
     ranked = parts.join(rarity, "shingle", "left").groupBy("words").agg(
@@ -122,14 +125,13 @@ def passage_hits(passages: DataFrame, windows: DataFrame) -> DataFrame:
     )
     prefix = ranked.filter("n > 0").select("words", F.col("rarest.shingle").alias("shingle"), F.col("rarest.at").alias("at"))
     start = F.col("p_at") - F.col("at")
-    fits = (start >= 0) & (start + F.size("words") <= F.size("p"))
-    joined = places.join(prefix, "shingle").filter(fits).filter(F.slice("p", start + 1, F.size("words")) == F.col("words"))
-    found = joined.select("passage", "words", start.alias("start"), (start + F.size("words")).alias("end"))
-    reach = Window.partitionBy("passage").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    joined = places.join(prefix, "shingle").filter(start >= F.col("base")).filter(F.slice("near", start - F.col("base") + 1, F.size("words")) == F.col("words"))
+    found = stage(joined.select("pid", "words", start.alias("start"), (start + F.size("words")).alias("end")))
+    reach = Window.partitionBy("pid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(reach), F.lit(0))), F.lit(0))
-    hits = found.select("passage", "start", "end").distinct().withColumn("new", new).groupBy("passage").agg(F.sum("new").cast("long").alias("n_hit"))
-    items = found.select("passage", "words").distinct().join(windows, "words").groupBy("passage").agg(F.collect_set("item_id").alias("items"))
-    return hits.join(items, "passage")
+    hits = found.select("pid", "start", "end").distinct().withColumn("new", new).groupBy("pid").agg(F.sum("new").cast("long").alias("n_hit"))
+    items = found.select("pid", "words").distinct().join(windows, "words").groupBy("pid").agg(F.collect_set("item_id").alias("items"))
+    return hits.join(items, "pid")
 
 
 def match(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -151,7 +153,9 @@ def match(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     rows = scanned.filter(F.size("passages") > 0)
     # equal texts have equal passages: from here on, one row per text
     by_text = rows.dropDuplicates(["text_sha256"]).select("text_sha256", F.explode("passages.passage").alias("passage"))
-    hits = stage(passage_hits(by_text.select("passage").distinct(), windows))
+    # the ids are written with the passages once, so that every reader sees the same
+    distinct = stage(by_text.select("passage").distinct().withColumn("pid", F.monotonically_increasing_id()))
+    hits = stage(passage_hits(distinct, windows, sizes or [SHINGLE], window)).join(distinct, "pid").drop("pid")
     counted = by_text.join(hits, "passage").groupBy("text_sha256").agg(F.sum("n_hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     clean = scanned.filter(F.size("passages") == 0).select("doc_id", "text_sha256", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast(f"array<{dict(windows.dtypes)['item_id']}>").alias("items"))
     touched = rows.select("doc_id", "text_sha256", "n_words").join(counted, "text_sha256", "left")
