@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seslog.llm import bpe, decontaminate, linededup, minhash, quality, sharding, token_lengths, vocabulary
-from seslog.llm.common import sha256_text, table
+from seslog.llm import bpe, decontaminate, linededup, lm, minhash, quality, sharding, token_lengths, vocabulary
+from seslog.llm.common import checksum_of_id, sha256_text, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +64,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op4_lm_score")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), checksum_of_id("doc_id") % 7 == 2)
+
+
 @query("op5_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
