@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seslog.llm import bpe, decontaminate, linededup, lm, minhash, quality, sharding, token_lengths, vocabulary
+from seslog.llm import bpe, decontaminate, langid, linededup, lm, minhash, quality, secrets, sharding, token_lengths, vocabulary
 from seslog.llm.common import checksum_of_id, sha256_text, table
 
 QUERIES = {}
@@ -106,3 +106,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
     cut = linededup.dedup_lines(docs, deleted="n_deleted")
     return cut.select("doc_id", "n_bytes", "n_deleted", F.octet_length("text").cast("long").alias("n_bytes_left"), sha256_text("text").alias("text_sha256"))
+
+
+@query("op2_secrets")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    spans = F.col("secrets")
+    base = F.filter(spans, lambda s: s["kind"] != "guess")
+    written = lambda rows: F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
+@query("op8_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), checksum_of_id("doc_id") % 5 == 0)
