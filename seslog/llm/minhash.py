@@ -4,12 +4,14 @@ Words are runs of other than space and ASCII control blanks, A-Z lower-cased; a
 of `size` words (the whole sequence if it has fewer). Texts with equal sets are one node.
 
 The forest has 24 trees, each an order of the 96 signature values in groups of four. Nodes below the same branch at
-depth four are a region. A region of at most eight nodes gives all its pairs. A larger one is followed down, branch by
-branch to depths 8, 16, 32 and 96, and at each depth every node is a candidate with the first node of its branch.
-So the depth adapts to how crowded a region is, and no region is emitted as all its pairs. Candidates are confirmed in
-rounds: first one pair per node, then those whose ends are not connected yet. Crowded regions in which more than one
-component is left are then compared block by block (256 nodes each): sizes and signatures decide which pairs are
-confirmed. This last step misses no link that its regions hold, and there is no cap on members or partners.
+depth four are a region. A region of at most eight nodes gives all its pairs; in a larger one every node is a candidate
+with the region's first node. Candidates are confirmed in rounds: first one pair per node, then those whose ends are not
+connected yet. A crowded region that is one component by now is done. The others are followed down to depths 8, 16 and
+32, branch by branch, where again small branches give their pairs and large ones stars, between different components
+only: the depth adapts to how crowded a region is. Nodes of regions that are still of several components are then
+compared exactly: regions that share nodes form a group, a group is cut into blocks by the size of its sets, and a task
+counts all common shingles between two blocks as matrix products, and returns only links that connect something.
+No link that the regions hold is missed, and there is no cap on members or partners; no pairs leave a task.
 
 Two texts at similarity 0.8 share no region with probability (1 - 0.8^4)^24 = 3e-6, less above.
 
@@ -35,9 +37,8 @@ SIZE, PERCENT = 5, 80
 TREES, STEP = 24, 4
 VALUES = TREES * STEP
 SMALL = 8
-DEPTHS = (8, 16, 32, 96)
-BLOCK = 256
-LEAST_AGREEMENT = 0.6  # 96 values agree in fewer than 58 with probability 2e-6 at similarity 0.8
+DEPTHS = (8, 16, 32)
+BLOCK_SHINGLES, COLUMNS = 1 << 18, 4096
 
 _odd = np.random.default_rng(20240607).integers(0, 1 << 63, size=(2, VALUES), dtype=np.uint64)
 FACTORS, SHIFTS = _odd[0] * np.uint64(2) + np.uint64(1), _odd[1]
@@ -201,38 +202,80 @@ def _confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "u string, v string"))
 
 
-def _block_pairs(percent: int):
-    """Pairs of different components inside a block, or between two, whose sizes and signatures allow a link."""
+def _block_links(percent: int):
+    """Links between nodes of different components inside a block, or between two blocks, as far as they connect."""
 
     def run(rows: pa.Table) -> pa.Table:
-        node, root = np.array(rows.column("node").to_pylist(), dtype=object), np.unique(np.array(rows.column("root").to_pylist()), return_inverse=True)[1]
-        n, side = rows.column("n").to_numpy(), rows.column("block").to_numpy()
-        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
-        low = int(side.min()) if len(side) else 0
-        a = np.flatnonzero(side == low)
-        b = np.flatnonzero(side != low) if (side != low).any() or rows.column("other")[0].as_py() != low else a
-        left, right = [], []
-        for i in a:
-            other = b[(root[b] != root[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))]
-            near = other[(signature[other] == signature[i]).mean(axis=1) >= LEAST_AGREEMENT] if len(other) else other
-            left += [node[i]] * len(near)
-            right += node[near].tolist()
-        pairs = {(min(x, y), max(x, y)) for x, y in zip(left, right)}
-        return pa.table({"a": pa.array([x for x, _ in pairs], pa.string()), "b": pa.array([y for _, y in pairs], pa.string())})
+        nodes, side = rows.column("node").to_pylist(), rows.column("block").to_numpy()
+        root = np.unique(np.array(rows.column("root").to_pylist()), return_inverse=True)[1]
+        n = rows.column("n").to_numpy()
+        value = np.frombuffer(b"".join(rows.column("members").to_pylist()), dtype=np.uint64)
+        owner = np.repeat(np.arange(len(n)), n)
+        _, column, copies = np.unique(value, return_inverse=True, return_counts=True)
+        shared = copies > 1
+        place = np.cumsum(shared) - 1
+        some = shared[column]
+        owner, column = owner[some], place[column[some]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        a = np.flatnonzero(side == rows.column("cell")[0].as_py()["i"])
+        b = np.flatnonzero(side == rows.column("cell")[0].as_py()["j"])
+        common = np.zeros((len(a), len(b)), dtype=np.float32)
+        for low in range(0, int(shared.sum()), COLUMNS):
+            i, j = np.searchsorted(column, (low, low + COLUMNS))
+            has = np.zeros((len(n), COLUMNS), dtype=np.float32)
+            has[owner[i:j], column[i:j] - low] = 1
+            common += has[a] @ has[b].T
+        linked = (100 * common >= percent * (n[a][:, None] + n[b][None, :] - common)) & (root[a][:, None] != root[b][None, :])
+        group = np.arange(int(root.max()) + 1 if len(root) else 0)
+
+        def top(x: int) -> int:
+            while group[x] != x:
+                group[x] = x = group[group[x]]
+            return x
+
+        found: list[tuple[str, str]] = []
+        for i, j in zip(*np.nonzero(linked)):
+            x, y = top(root[a[i]]), top(root[b[j]])
+            if x != y:
+                group[x] = y
+                found.append((nodes[a[i]], nodes[b[j]]))
+        return pa.table({"u": pa.array([x for x, _ in found], pa.string()), "v": pa.array([y for _, y in found], pa.string())})
 
     return run
 
 
-def _rest(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the crowded regions that hold more than one component."""
-    rooted = crowded.select("branch", "node").join(roots, "node", "left").select("branch", "node", F.coalesce("root", "node").alias("root"))
-    mixed = stage(rooted.groupBy("branch").agg(F.count("*").alias("n_members"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high"))
-    members = rooted.join(mixed, "branch").join(nodes.select("node", "n", "signature"), "node")
-    total = F.ceil(F.col("n_members") / BLOCK)
-    block = F.pmod(F.xxhash64("node"), total)
-    paired = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)))
+def _mixed(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of the crowded regions that hold more than one component: (branch, node, tree, root, n_members)."""
+    rooted = crowded.select("branch", "node", "tree").join(roots, "node", "left").select("branch", "node", "tree", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("branch").agg(F.count("*").alias("n_members"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return stage(rooted.join(several.select("branch", "n_members"), "branch"))
+
+
+def _deeper(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidates of different components from the branches below mixed regions."""
+    rooted = mixed.select("node", "root").distinct()
+    below = mixed.select("node", "tree").join(nodes.select("node", "signature"), "node").select("node", "signature", "tree")
+    branches = below.mapInArrow(_trees(DEPTHS), "branch long, node string").join(rooted, "node")
+    several = branches.groupBy("branch").agg(F.count("*").alias("n"), F.min(F.struct("node", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    members = branches.join(several.select("branch", "n", "first"), "branch")
+    stars = members.filter(F.col("root") != F.col("first.root")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    few = members.filter(F.col("n") <= SMALL).groupBy("branch").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("nodes"))
+    left = few.select("nodes", F.posexplode("nodes").alias("i", "a"))
+    pairs = left.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(SMALL))).alias("b")).filter("a.root <> b.root").select("a.node", "b.node")
+    return stars.union(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _by_blocks(mixed: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """All links that connect components of mixed regions: regions that share nodes are compared as one group."""
+    tied = mixed.join(mixed.groupBy("branch").agg(F.min("node").alias("least")), "branch").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    group = components(tied).withColumnRenamed("root", "group")
+    sized = mixed.select("node", "root").distinct().join(group, "node").join(nodes.select("node", "n"), "node")
+    total = sized.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    placed = sized.join(total, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(members, "node")
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cell = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return paired.withColumn("cell", cell).groupBy("branch", "cell").applyInArrow(_block_pairs(percent), "a string, b string").distinct()
+    return stage(paired.withColumn("cell", cell).groupBy("group", "cell").applyInArrow(_block_links(percent), "u string, v string"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -251,23 +294,23 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     pairs, crowded = _candidates(branches)
     crowded = stage(crowded)
     stars = crowded.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    deeper = crowded.select("node", "tree").join(nodes.select("node", "signature"), "node").select("node", "signature", "tree").mapInArrow(_trees(DEPTHS), "branch long, node string")
-    more, still = _candidates(deeper)
-    stars = stars.union(more).union(still.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
     pairs = stage(pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     members = _member_sets(source, nodes, pairs, size)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _confirm(first, members, percent)
     roots = stage(components(links))
-    open_ = _apart(pairs, roots).join(first, ["a", "b"], "left_anti")
-    links = links.union(_confirm(open_, members, percent))
-    roots = stage(components(links))
-    late = stage(_rest(crowded, roots, nodes, percent).join(pairs, ["a", "b"], "left_anti"))
-    if not late.isEmpty():
-        late = stage(_apart(late, roots))
-        links = links.union(_confirm(late, _member_sets(source, nodes, late, size), percent))
-        roots = stage(components(links))
+    for step in ("open", "deeper", "blocks"):
+        if step == "open":
+            found = _confirm(_apart(pairs, roots).join(first, ["a", "b"], "left_anti"), members, percent)
+        else:
+            mixed = _mixed(crowded, roots)
+            if mixed.isEmpty():
+                break
+            found = _confirm(_deeper(mixed, nodes), members, percent) if step == "deeper" else _by_blocks(mixed, nodes, members, percent)
+        if not found.isEmpty():
+            links = stage(links.union(found))
+            roots = stage(components(links))
     labelled = nodes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component"))
     component = labelled.join(least, "root").select("node", "component")
