@@ -104,17 +104,34 @@ def _join_word(vocabulary: Vocabulary, left: list[int], right: list[int]) -> lis
     return vocabulary.encode_word(b"".join(names[i] for i in [*left, *right]))
 
 
+def _part(piece: Piece, low: int, high: int) -> Piece:
+    """The part between two places at which words start (or the text ends)."""
+    i, j = bisect_left(piece.starts, low), bisect_left(piece.starts, high)
+    first = piece.tokens[i] if i < len(piece.tokens) else len(piece.ids)
+    last = piece.tokens[j] if j < len(piece.tokens) else len(piece.ids)
+    return Piece(piece.text[low:high], piece.ids[first:last], [s - low for s in piece.starts[i:j]], [t - first for t in piece.tokens[i:j]])
+
+
+def _beside(left: Piece, right: Piece) -> Piece:
+    edge, shift = len(left.text), len(left.ids)
+    return Piece(left.text + right.text, left.ids + right.ids, left.starts + [s + edge for s in right.starts], left.tokens + [t + shift for t in right.tokens])
+
+
 def join(vocabulary: Vocabulary, left: Piece, right: Piece) -> Piece:
-    """The encoding of left.text + right.text."""
+    """The encoding of left.text + right.text. Special tokens' strings end all words, so only what is between them is joined."""
+    low = max((p + len(s) for s in vocabulary.special if (p := left.text.rfind(s)) >= 0), default=0)
+    high = min((p for s in vocabulary.special if (p := right.text.find(s)) >= 0), default=len(right.text))
+    middle = _join_plain(vocabulary, _part(left, low, len(left.text)), _part(right, 0, high))
+    return _beside(_beside(_part(left, 0, low), middle), _part(right, high, len(right.text)))
+
+
+def _join_plain(vocabulary: Vocabulary, left: Piece, right: Piece) -> Piece:
     text, edge = left.text + right.text, len(left.text)
     if not left.text or not right.text:
         return left if left.text else right
     known = bisect_left(left.starts, edge - 2) - 1
     if known < 0:
         return encode_piece(vocabulary, text)
-    special = set(vocabulary.special.values())
-    if any(left.ids[t] in special for t in left.tokens[known:]):
-        known = len(left.starts) - 1  # a special token's string ends the word before it in any text
     begin, shift = left.starts[known], edge
     reach = 64
     while True:  # split on until a word starts where one of the right side does

@@ -15,8 +15,8 @@ No link that the regions hold is missed, and there is no cap on members or partn
 
 Two texts at similarity 0.8 share no region with probability (1 - 0.8^4)^24 = 3e-6, less above.
 
-Defined cases: a null text, or one without words, has an empty set and is linked with nothing; null ids sort first;
-repeated rows share a set; an empty table gives no rows. Shingles are compared by 64-bit hashes.
+Defined cases: a null text, or one without words, has an empty set and is linked with nothing; a null id is
+no component's id unless all of its are null; repeated rows share a set; an empty table gives no rows. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -287,7 +287,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     source = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("id_hash"), F.col(text).alias("text"))
     rows = stage(source.mapInArrow(_signatures(size), f"doc_id {id_type}, n long, node string, slot long, signature binary"))
     nodes = stage(
-        rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "slot")).alias("one"), F.first("signature").alias("signature"))
+        rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.min_by(F.struct("doc_id", "slot"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("one"), F.first("signature").alias("signature"))
         .select("node", "n", "signature", F.col("one.doc_id").alias("first_id"), F.col("one.slot").alias("slot"))
     )
     branches = nodes.select("node", "signature").mapInArrow(_tree_of, "branch long, node string, tree int")
