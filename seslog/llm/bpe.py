@@ -20,6 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,13 +185,14 @@ def join_all(vocabulary: Vocabulary, pieces: list[Piece], glued: list[bool]) ->
 
 
 # --- over DataFrames --------------------------------------------------------------------------------------------------
-def _encode_short(path: str, text: str, out: str, long_chars: int):
+def _encode_short(path: str, text: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path)
         for batch in blocks(batches, text, 1 << 21):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            ids = [None if t is not None and len(t) > long_chars else vocabulary.encode(t) if t else [] for t in texts]
-            yield batch.append_column(out, pa.array(ids, IDS))
+            ids = [vocabulary.encode_array(t or "") for t in texts]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            yield batch.append_column(out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
 
     return run
 
@@ -248,7 +250,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", long_
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     # the few long texts are known by their digest; nothing else of them is shuffled
     is_long = F.length(text) > long_chars
-    short = df.filter(F.coalesce(~is_long, F.lit(True))).mapInArrow(_encode_short(path, text, out, long_chars), schema)
+    short = df.filter(F.coalesce(~is_long, F.lit(True))).mapInArrow(_encode_short(path, text, out), schema)
     key, many = fresh_name(df, "text_key"), df.filter(is_long)
     distinct = many.select(F.sha2(text, 256).alias("key"), F.col(text).alias("part")).dropDuplicates(["key"])
     ids = encode_long(distinct, path, max(long_chars // 4, 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,9 @@ def query(name: str, sql: str | None = None):
 
 @F.arrow_udf(DIGEST)
 def _ids_digest(ids: pa.Array) -> pa.Array:
-    rows = ids.to_pylist()
-    return pa.array([{"n": len(x), "digest": hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()} for x in rows], pa.struct([("n", pa.int64()), ("digest", pa.string())]))
+    decimal = vocabulary.load(vocabulary.default_path()).decimal_of
+    digests = [hashlib.sha256(",".join([decimal[i] for i in x]).encode()).hexdigest() for x in ids.to_pylist()]
+    return pa.StructArray.from_arrays([pa.compute.list_value_length(ids).cast(pa.int64()), pa.array(digests)], ["n", "digest"])
 
 
 @query("op1_bpe")

@@ -28,7 +28,7 @@ def length_histogram(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         counts: dict[int, int] = {}
         for batch in blocks(batches, text, 1 << 21):
             for t in batch.column(0).to_pylist():
-                n = len(vocabulary.encode(t)) if t else 0
+                n = len(vocabulary.encode_array(t)) if t else 0
                 counts[n] = counts.get(n, 0) + 1
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["n_tokens", "n_docs"])

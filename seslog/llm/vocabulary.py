@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 
+import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -38,11 +39,15 @@ class Vocabulary:
         self.bytes_of = [b""] * self.size
         for token, i in [*ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.bytes_of[i] = token
+        self.decimal_of = [str(i) for i in range(self.size)]
         self._splitter = Tokenizer.from_file(path).pre_tokenizer
 
     def encode(self, text: str) -> list[int]:
         return self.encoding.encode(text, allowed_special="all")
 
+    def encode_array(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special="all")
+
     def encode_word(self, word: bytes) -> list[int]:
         """The tokens of bytes that the pattern does not split."""
         return self.encoding._encode_single_piece(word)
