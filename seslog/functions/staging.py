@@ -11,9 +11,11 @@ SHARED_FOLDER = "spark.checkpoint.dir"
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in a local session that names none."""
     root = spark.conf.get(SHARED_FOLDER, None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{SHARED_FOLDER} must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="seslog-stage-")
         spark.conf.set(SHARED_FOLDER, root)
     return root

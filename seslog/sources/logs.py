@@ -6,6 +6,8 @@ byte offsets come from a running count over the file's input splits (see functio
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,8 +71,9 @@ def read_lines(
 ) -> DataFrame:
     """Every line of the ``*.jsonl`` files under the roots, with line number, event index and byte offset.
 
-    ``*`` in a root stands for one directory level; directories starting with a dot are skipped. ``since_ms`` is
-    inclusive, ``before_ms`` exclusive, both on the file's modification time.
+    ``*`` in a root stands for one directory level, and does not stand for a directory that starts with a dot; dot
+    directories that the root names are read. ``since_ms`` is inclusive, ``before_ms`` exclusive, both on the file's
+    modification time.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n")
     if since_ms is not None:  # coarse file pruning before the exact filter
@@ -85,7 +88,9 @@ def read_lines(
         F.monotonically_increasing_id().alias("read_order"),
         F.col("value").alias("line"),
     )
-    rows = rows.filter(~F.col("file_path").rlike(r"/\.[^/]+/"))
+    hidden = [p for root in ([paths] if isinstance(paths, str) else paths) for p in _dot_at_star(root)]
+    if hidden:
+        rows = rows.filter(~F.col("file_path").rlike("|".join(hidden)))
     if since_ms is not None:
         rows = rows.filter(F.col("mtime_ms") >= since_ms)
     if before_ms is not None:
@@ -105,6 +110,13 @@ def read_lines(
     )
 
 
+def _dot_at_star(root: str) -> list[str]:
+    """For each level of a root that is a star: the pattern of files whose directory there starts with a dot."""
+    levels = [x for x in re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", os.path.abspath(root) if ":" not in root else root).split("/") if x]
+    begin = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/"
+    return [begin + "/".join([*["[^/]+"] * i, r"\.[^/]*"]) + "/" for i, level in enumerate(levels) if level == "*"]
+
+
 def _iso(ms: int) -> str:
     from datetime import UTC, datetime
 

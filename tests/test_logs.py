@@ -74,3 +74,14 @@ def test_report_sink(spark, tmp_path, fixture_assembly):
     assert "工具：exec_command" in text and '{"cmd":"npm test"}' in text
     assert "输出：11 字节" in text and "ok and more" not in text
     assert FIXTURES
+
+
+def test_dot_folders_count_only_where_a_star_stands(spark, tmp_path):
+    for folder in (".codex/sessions", ".codex/.hidden", "plain/sessions"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "44444444-4444-4444-8444-444444444444.jsonl").write_text('{"a": 1}\n')
+    from seslog.sources.logs import read_lines
+
+    assert read_lines(spark, f"{tmp_path}/.codex/sessions").count() == 1
+    assert read_lines(spark, f"{tmp_path}/.codex/*").count() == 1
+    assert read_lines(spark, f"{tmp_path}/*/sessions").count() == 1
