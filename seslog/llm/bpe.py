@@ -258,13 +258,19 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", long_
     return short.unionByName(found)
 
 
+def id_rows(ids: pa.Array) -> Iterator[np.ndarray | None]:
+    """The ids of each row, one row at a time: a batch as Python integers would take ten times the room. Nulls within a row are left out."""
+    for row in ids:
+        yield row.values.drop_null().to_numpy() if row.is_valid else None
+
+
 def decoder(path: str):
     """A function of an id column: its text, as the vocabulary's decoder gives it with special tokens kept."""
 
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
         vocabulary = load(path)
-        return pa.array([None if x is None else vocabulary.decode(x) for x in ids.to_pylist()], pa.string())
+        return pa.array((None if x is None else vocabulary.decode(x) for x in id_rows(ids)), pa.string())
 
     return decode
 

@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 @F.arrow_udf(DIGEST)
 def _ids_digest(ids: pa.Array) -> pa.Array:
     decimal = vocabulary.load(vocabulary.default_path()).decimal_of
-    digests = [hashlib.sha256(",".join([decimal[i] for i in x]).encode()).hexdigest() for x in ids.to_pylist()]
+    digests = [hashlib.sha256(",".join([decimal[i] for i in x.tolist()]).encode()).hexdigest() for x in bpe.id_rows(ids)]
     return pa.StructArray.from_arrays([pa.compute.list_value_length(ids).cast(pa.int64()), pa.array(digests)], ["n", "digest"])
 
 

@@ -40,7 +40,12 @@ class Vocabulary:
         for token, i in [*ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.bytes_of[i] = token
         self.decimal_of = [str(i) for i in range(self.size)]
-        self._splitter = Tokenizer.from_file(path).pre_tokenizer
+        self.path = path
+
+    @functools.cached_property
+    def _splitter(self):
+        """Only long texts need it."""
+        return Tokenizer.from_file(self.path).pre_tokenizer
 
     def encode(self, text: str) -> list[int]:
         return self.encoding.encode(text, allowed_special="all")
@@ -57,8 +62,9 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """Bytes that are not UTF-8 become U+FFFD; ids outside the vocabulary are left out, as are special-free gaps."""
-        table, size = self.bytes_of, self.size
-        return b"".join([table[i] for i in ids if i < size]).decode("utf-8", "replace")
+        table, known = self.bytes_of, np.asarray(ids, dtype=np.int64)
+        known = known[(known >= 0) & (known < self.size)]
+        return b"".join([table[i] for i in known.tolist()]).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
