@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from seslog.functions.text import contains_text, joined_text, normalize_text, nonempty
 
-SESSION_CAP = 800
 HOUR_MS = 3_600_000
 LIST_TYPES = {"error": "(?i)error|failed|失败|错误", "tool": "(?i)tool|mcp|command|shell|工具|命令"}
 SEARCH_FIELDS = (
@@ -101,9 +100,8 @@ def sort_keys(sort: str = "changed_ms", ascending: bool = False) -> list[Column]
     return [value.asc(), tie.asc()] if ascending else [value.desc(), tie.desc()]
 
 
-def page(rows: DataFrame, keys: Sequence[Column], offset: int = 0, limit: int = 100) -> DataFrame:
-    """One page with the total and the next offset (NULL on the last page)."""
-    limit = max(1, min(limit, 500))
+def page(rows: DataFrame, keys: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """One page with the total and the next offset (NULL on the last page). Deep pages are cheaper by `keyset_page`."""
     total = rows.agg(F.count(F.lit(1)).alias("total")).withColumn("__page", F.lit(1))
     cut = rows.orderBy(*keys).offset(offset).limit(limit).withColumn("__page", F.lit(1))
     following = F.lit(offset + limit)
@@ -123,18 +121,18 @@ def keyset_page(rows: DataFrame, order: str, after: tuple | None, limit: int) ->
     return rows.orderBy(value.desc(), F.col("id").asc()).limit(limit)
 
 
-def newest(rows: DataFrame, limit: int = SESSION_CAP, column: str = "changed_ms") -> DataFrame:
+def newest(rows: DataFrame, limit: int, column: str = "changed_ms") -> DataFrame:
     return rows.orderBy(F.col(column).desc_nulls_last(), F.col("id").asc()).limit(limit)
 
 
-def root_threads(threads: DataFrame, edges: DataFrame, since: int | None, before: int | None, limit: int = SESSION_CAP):
-    """Newest threads that are no child: since inclusive, before exclusive or unknown time."""
+def root_threads(threads: DataFrame, edges: DataFrame, since: int | None, before: int | None):
+    """Threads that are no child: since inclusive, before exclusive or unknown time."""
     rows = roots_only(threads, edges)
     if since is not None:
         rows = rows.filter(F.col("changed_ms") >= since)
     if before is not None:
         rows = rows.filter((F.col("changed_ms") < before) | F.col("changed_ms").isNull())
-    return newest(rows, limit)
+    return rows
 
 
 def scope_flags(changed: Column, now_ms: int) -> dict[str, Column]:

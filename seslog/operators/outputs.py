@@ -137,10 +137,10 @@ def is_success_line(line: Column) -> Column:
     return line.rlike(GOOD_LINE)
 
 
-def command_lines(output: Column, limit: int) -> Column:
-    """The first non-blank lines; the limit is part of the rule that reads them."""
+def command_lines(output: Column) -> Column:
+    """All non-blank lines."""
     lines = F.transform(F.split(F.coalesce(output, F.lit("")), NEWLINE), lambda x: rtrim_space(x))
-    return F.slice(F.filter(lines, lambda x: trim_space(x) != ""), 1, limit)
+    return F.filter(lines, lambda x: trim_space(x) != "")
 
 
 def command_sources(calls: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def search_outcomes(sources: DataFrame, hits: DataFrame, keys: Sequence[str]) ->
     totals = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("path").alias("files"))
     rows = sources.filter("category = 'search'").join(totals, keys, "left")
     none = F.col("hits").isNull()
-    bad = F.exists(command_lines(F.col("clean_output"), 20), is_failure_line)
+    bad = F.exists(command_lines(F.col("clean_output")), is_failure_line)
     failed = F.coalesce(F.col("exit_code") > 1, F.lit(False)) | ((F.col("clean_output") != "") & none & F.coalesce(F.col("exit_code") != 1, F.lit(True)) & bad)
     return rows.select(
         *keys, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("files", F.lit(0)).alias("files"),
@@ -236,7 +236,7 @@ def search_outcomes(sources: DataFrame, hits: DataFrame, keys: Sequence[str]) ->
 
 
 def verification(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per test or check run: counts, duration, outcome and its key lines (at most twelve, as the rule asks)."""
+    """Per test or check run: counts, duration, outcome and its key lines (all failing ones, else the telling ones or the last eight)."""
     out = F.col("clean_output")
     rows = sources.filter("category = 'verification'")
     for name, patterns in COUNT_PATTERNS.items():
@@ -245,7 +245,7 @@ def verification(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
     told = F.regexp_replace(F.regexp_extract(out, r"(?i)\b(?:Time|Duration)\s*[:=]?\s*([\d.]+\s*(?:ms|s|m))", 1), r"\s+", "")
     seconds = F.when(ms < 10_000, one_decimal(ms / 1000)).otherwise(F.floor(ms / 1000 + 0.5).cast("string"))
     duration = F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit("ms"))).when(ms.isNotNull(), F.concat(seconds, F.lit("s"))).otherwise(told)
-    lines = command_lines(out, 80)
+    lines = command_lines(out)
     bad = F.filter(lines, is_failure_line)
     status = F.coalesce("status", F.lit("")) if "status" in sources.columns else F.lit("")
     positive = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
@@ -256,7 +256,7 @@ def verification(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
     good = F.filter("__lines", lambda x: is_success_line(x) | x.rlike(KEY_LINE))
     picked = F.when(F.col("outcome") == "failed", F.col("__bad")).otherwise(good)
     last8 = F.slice("__lines", F.greatest(F.size("__lines") - 7, F.lit(1)), 8)
-    key_lines = F.slice(F.when(F.size(picked) > 0, picked).otherwise(last8), 1, 12)
+    key_lines = F.when(F.size(picked) > 0, picked).otherwise(last8)
     whole = lambda c, unit: F.concat(F.col(c).cast("long").cast("string"), F.lit(unit))
     head = F.when(F.col("outcome") == "failed", "验证失败").when(F.col("outcome") == "passed", "验证通过").otherwise("验证输出")
     summary = F.concat_ws(" · ", head, whole("n_total", " tests"), whole("n_pass", " passed"), whole("n_fail", " failed"))

@@ -23,7 +23,7 @@ def first_covering(
 
     Intervals have ``ord``, ``interval_id``, ``start_ms``, ``end_ms``; a missing bound is open. With starts that grow
     along ``ord`` (turns), the first interval to hold t is the first whose end reaches t, so only intervals that push
-    the latest end further can be an answer. Sessions whose starts go back in time are joined by range instead.
+    the latest end further can be an answer. Sessions whose starts go back in time are answered by cells of time instead.
     """
     keys = list(keys)
     spans = intervals.select(
@@ -46,15 +46,39 @@ def first_covering(
         hit=next_value(F.col("__step"), after=False),
     ).filter("__side = 0")
     found = both.select(*keys, "__p.*", F.when(F.col("hit.s") <= F.col("__t"), F.col("hit.interval_id")).alias("interval_id"))
-    rest = points.join(unordered, keys, "left_semi").withColumn("__row", F.monotonically_increasing_id())
-    ranged = rest.join(spans.join(unordered, keys, "left_semi"), keys).filter("t >= s AND t <= e").groupBy("__row").agg(
-        F.min_by("interval_id", "ord").alias("interval_id"))
-    placed = rest.join(ranged, "__row", "left").select(*keys, *cells, "interval_id")
+    rest = points.join(unordered, keys, "left_semi")
+    times = rest.select(*keys, "t").filter("t IS NOT NULL").distinct()
+    answers = _first_by_cells(times, spans.join(unordered, keys, "left_semi"), keys)
+    placed = rest.join(answers, [*keys, "t"], "left").select(*keys, *cells, "interval_id")
     blank = points.filter("t IS NULL").join(unordered, keys, "left_anti").select(
         *keys, *cells, F.lit(None).cast(intervals.schema["interval_id"].dataType).alias("interval_id"))
     return found.unionByName(placed).unionByName(blank)
 
 
+def _first_by_cells(times: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t) with the first interval by ``ord`` that holds t, whatever the order of starts and ends.
+
+    Time is cut into dyadic cells. An interval is a union of at most two cells per level, each cell keeps its first
+    interval, and a time asks the one cell per level it lies in: an equi-join, with no pairs of times and intervals.
+    The levels reach from one millisecond to the span of the key's times.
+    """
+    bounds = times.groupBy(*keys).agg(F.min("t").alias("__lo"), F.max("t").alias("__hi"))
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.col("__hi") - F.col("__lo") + 1)) - 1)
+    inside = spans.join(bounds, keys).filter("s <= e AND e >= __lo AND s <= __hi").select(
+        *keys, "ord", "interval_id", (F.greatest("s", "__lo") - F.col("__lo")).alias("__a"), (F.least("e", "__hi") - F.col("__lo") + 1).alias("__b"),
+        F.explode(levels).alias("__level"))
+    # At a level the interval starts at the next cell border after its start and ends at the last one before its end.
+    first = F.expr("shiftright(__a + shiftleft(1L, __level) - 1, __level)")
+    past = F.expr("shiftright(__b, __level)")
+    pieces = inside.withColumns({"__first": first, "__past": past}).filter("__first < __past").select(
+        *keys, "ord", "interval_id", "__level", F.explode(F.array_compact(F.array(
+            F.when(F.col("__first") % 2 == 1, F.col("__first")), F.when(F.col("__past") % 2 == 1, F.col("__past") - 1)))).alias("__cell"))
+    best = pieces.groupBy(*keys, "__level", "__cell").agg(F.min("ord").alias("__ord"), F.min_by("interval_id", "ord").alias("interval_id"))
+    asked = times.join(bounds, keys).select(*keys, "t", "__lo", F.explode(levels).alias("__level")).withColumn(
+        "__cell", F.expr("shiftright(t - __lo, __level)"))
+    return asked.join(best, [*keys, "__level", "__cell"]).groupBy(*keys, "t").agg(F.min_by("interval_id", "__ord").alias("interval_id"))
+
+
 def _step_type(spans: DataFrame):
     return spans.select(F.struct("interval_id", "s").alias("x")).schema["x"].dataType
 

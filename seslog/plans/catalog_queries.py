@@ -23,8 +23,7 @@ def cat_sql(body: str) -> str:
 
 
 @query("a10_root_threads", cat_sql(f"""SELECT id, title, changed_ms FROM catalog
-  WHERE id NOT IN (SELECT child_id FROM edges) AND changed_ms >= {SINCE} AND (changed_ms < {BEFORE} OR changed_ms IS NULL)
-  ORDER BY changed_ms DESC, id LIMIT 800"""))
+  WHERE id NOT IN (SELECT child_id FROM edges) AND changed_ms >= {SINCE} AND (changed_ms < {BEFORE} OR changed_ms IS NULL)"""))
 def a10(spark, sf):
     rows = cat.root_threads(catalog(spark, sf), edges(spark, sf), SINCE, BEFORE)
     return rows.select("id", "title", "changed_ms")
@@ -282,7 +281,7 @@ def t3(spark, sf):
 
 @query("h10_newest_sessions", cat_sql("SELECT id, changed_ms FROM catalog ORDER BY changed_ms DESC, id LIMIT 800"))
 def h10(spark, sf):
-    return cat.newest(catalog(spark, sf)).select("id", "changed_ms")
+    return cat.newest(catalog(spark, sf), 800).select("id", "changed_ms")  # a top-k report; its k is the caller's
 
 
 @query("h11_record_dedupe", """SELECT id, archived, mtime_ms, path FROM (

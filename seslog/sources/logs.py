@@ -158,16 +158,11 @@ def dated_paths(root: str, since: str, until: str) -> list[str]:
     return out
 
 
-def tolerant_records(records: DataFrame, max_line: int | None = None, max_bytes: int | None = None) -> DataFrame:
+def tolerant_records(records: DataFrame) -> DataFrame:
     """Only usable records: bad lines and falsy scalars are dropped."""
     text = text_of(F.col("raw"))
     falsy = F.is_variant_null("raw") | text.isin("", "0", "false")
-    rows = records.filter(F.col("is_valid") & ~falsy)
-    if max_line is not None:
-        rows = rows.filter(F.col("line_number") <= max_line)
-    if max_bytes is not None:
-        rows = rows.filter(F.col("byte_start") + F.octet_length("line") <= max_bytes)
-    return rows
+    return records.filter(F.col("is_valid") & ~falsy)
 
 
 def committed_tail(lines: DataFrame, window: int = TAIL_BYTES) -> DataFrame:
@@ -189,9 +184,9 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 # --- point and range reads ------------------------------------------------------------------------------------------
-def event_at(events: DataFrame, session_id, index: int, scan_limit: int = 100_000) -> DataFrame:
-    """One event by its index; nothing past the scan limit."""
-    return events.filter((F.col("session_id") == session_id) & (F.col("event_index") == index) & (F.col("event_index") < scan_limit))
+def event_at(events: DataFrame, session_id, index: int) -> DataFrame:
+    """One event by its index, however long the session is."""
+    return events.filter((F.col("session_id") == session_id) & (F.col("event_index") == index))
 
 
 def range_scan(

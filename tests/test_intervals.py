@@ -50,13 +50,15 @@ def test_first_covering_matches_brute_force(spark):
         start += random.randrange(0, 12)
         turns.append(("s", i, i, start, None if i == 20 else start + random.randrange(0, 40)))
     jumbled = [("j", i, i, random.randrange(100), random.randrange(100, 160)) for i in range(10)]
-    points = [("s", n, random.randrange(-5, 400)) for n in range(200)] + [("j", n, random.randrange(0, 200)) for n in range(60)] + [("s", 999, None)]
+    jumbled += [("j", 10, 10, None, 3), ("j", 11, 11, 150, None), ("j", 12, 12, 90, 20)]
+    points = [("s", n, random.randrange(-5, 400)) for n in range(200)] + [("j", n, random.randrange(-9, 200)) for n in range(60)] + [("s", 999, None), ("j", 999, None)]
+    # points of a real job come out of a shuffle
     got = tj.first_covering(
-        spark.createDataFrame(points, "k string, n long, t long"), spark.createDataFrame(turns + jumbled, "k string, ord long, interval_id long, start_ms long, end_ms long"), ["k"], 16)
+        spark.createDataFrame(points, "k string, n long, t long").repartition(37), spark.createDataFrame(turns + jumbled, "k string, ord long, interval_id long, start_ms long, end_ms long"), ["k"], 16)
 
     def brute(k, t):
         for key, _, ident, s, e in turns + jumbled:
-            if key == k and t is not None and s <= t and (e is None or t <= e):
+            if key == k and t is not None and (s is None or s <= t) and (e is None or t <= e):
                 return ident
         return None
 
