@@ -141,8 +141,10 @@ def short_path(path: Column) -> Column:
     return F.when(F.size(parts) <= 3, text).otherwise(shortened)
 
 
-def clean_file_name(value: Column, limit: int = 120) -> Column:
-    return F.substring(F.regexp_replace(value, r'[\x00-\x1f<>:"/\\|?*]', "_"), 1, limit)
+def clean_file_name(value: Column, limit: int | None = None) -> Column:
+    """The name with unsafe characters replaced; cut only where the caller names a limit."""
+    clean = F.regexp_replace(value, r'[\x00-\x1f<>:"/\\|?*]', "_")
+    return clean if limit is None else F.substring(clean, 1, limit)
 
 
 def fence_size(value: Column) -> Column:
@@ -202,18 +204,33 @@ def evidence_id(source, session, thread=None, turn=None, event=None, node=None,
     return F.concat_ws("|", *parts)
 
 
+# What a redacted credential is written as.
+HIDDEN = "[redacted]"
+CREDENTIAL_LABELS = {"authorization-bearer": "authorization=Bearer ", "bearer": "Bearer ", "token": "token=", "authorization": "authorization="}
+
+
 def redact_secrets(message: Column) -> Column:
-    """First non-blank line (240 characters) with URL credentials, bearer tokens and token values removed."""
+    """First non-blank line with user info of URLs, bearer values and labelled tokens removed, however long it is.
+
+    A line is cut at its credentials, and each credential is replaced by what its own first words say it is. A label
+    whose value is another label takes that one along, so that no value is left behind.
+    """
     lines = F.filter(F.split(message, "\r?\n"), lambda line: trim_space(line) != "")
-    text = F.substring(trim_space(F.coalesce(F.get(lines, 0), F.lit(""))), 1, 240)
-    held = "__HELD_BEARER__"
-    for pattern, target in (
-        (r"(?i)([a-z][a-z0-9+.-]*://)[^@/\s]+@", "$1[redacted]@"),
-        (r"(?i)authorization\s*[=:]\s*bearer\s+[a-z0-9._~+/=-]+", held),
-        (r"(?i)bearer\s+[a-z0-9._~+/=-]+", "Bearer [redacted]"),
-        (r"(?i)token[=:]\s*[^\s]+", "token=[redacted]"),
-        (r"(?i)authorization[=:]\s*[^\s]+", "authorization=[redacted]"),
-        (held, "authorization=Bearer [redacted]"),
-    ):
-        text = F.regexp_replace(text, pattern, target)
-    return text
+    line = trim_space(F.coalesce(F.get(lines, 0), F.lit("")))
+    line = F.regexp_replace(line, r"(?i)(?<=[a-z0-9+.-]://)[^@/\s]+(?=@)", HIDDEN)
+    bearer = r"bearer\s+[a-z0-9._~+/=-]+"
+    label = r"(?:token|authorization)[=:]\s*"
+    credential = rf"(?i)authorization\s*[=:]\s*{bearer}|{bearer}|{label}(?:{label}|bearer\s+)*\S+"
+
+    def written(found: Column) -> Column:
+        small = F.lower(found)
+        name = (
+            F.when(small.rlike(r"^authorization\s*[=:]\s*bearer\s"), "authorization-bearer")
+            .when(small.startswith("bearer"), "bearer")
+            .otherwise(F.regexp_extract(small, "^(token|authorization)", 1))
+        )
+        return F.concat(F.element_at(F.create_map(*[F.lit(x) for pair in CREDENTIAL_LABELS.items() for x in pair]), name), F.lit(HIDDEN))
+
+    shown = F.transform(F.regexp_extract_all(line, F.lit(credential), F.lit(0)), written)
+    pieces = F.zip_with(F.split(line, credential), shown, lambda plain, hidden: F.concat(plain, F.coalesce(hidden, F.lit(""))))
+    return F.array_join(pieces, "")

@@ -1,6 +1,6 @@
 """Parent/child trees: ancestor chains, depth-first order, subtree totals, filters that keep ancestors.
 
-Chains are found by doubling: after step k every node knows up to 2^k ancestors, so a bound of 10 needs four joins
+Chains are found by doubling: after step k every node knows up to 2^k ancestors, so a chain of 10 needs four joins
 instead of ten. Every step is a key join on the node id.
 """
 
@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from seslog.functions.staging import stage
 
-LINEAGE_DEPTH = 10
-MAX_VIEW_DEPTH = 8
-
 
 def ancestor_chains(nodes: DataFrame, depth: int | None = None, payload: Sequence[str] = ()) -> DataFrame:
     """Per node ``chain``: ancestors from the parent upwards as structs (id, *payload), and ``cyclic``.
@@ -71,8 +68,8 @@ def _chain_type(linked: DataFrame) -> str:
     return f"array<{linked.schema['__entry'].dataType.simpleString()}>"
 
 
-def lineage(nodes: DataFrame, depth: int = LINEAGE_DEPTH) -> DataFrame:
-    """One row per (node, ancestor): distance 1 is the parent."""
+def lineage(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """One row per (node, ancestor): distance 1 is the parent. All ancestors, unless the caller names a depth."""
     chains = ancestor_chains(nodes, depth)
     return chains.select("id", F.posexplode("chain").alias("pos", "e")).select(
         "id", (F.col("pos") + 1).alias("distance"), F.col("e.id").alias("ancestor_id")
@@ -103,15 +100,15 @@ def chain_order(nodes: DataFrame, time: str, order: str) -> DataFrame:
     )
 
 
-def descendants(nodes: DataFrame, depth: int = MAX_VIEW_DEPTH) -> DataFrame:
+def descendants(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """One row per (ancestor_id, id, distance), distance 0 being the node itself."""
     chains = ancestor_chains(nodes, depth)
     steps = F.concat(F.array("id"), F.transform("chain", lambda e: e["id"]))
     return chains.select("id", F.posexplode(steps).alias("distance", "ancestor_id"))
 
 
-def subtree_totals(nodes: DataFrame, measures: dict[str, Column], depth: int = MAX_VIEW_DEPTH) -> DataFrame:
-    """Sums over each node and its descendants down to ``depth``; a session repeated by a cycle counts once."""
+def subtree_totals(nodes: DataFrame, measures: dict[str, Column], depth: int | None = None) -> DataFrame:
+    """Sums over each node and its descendants (down to ``depth`` where it is given); a session repeated by a cycle counts once."""
     values = nodes.select("id", *[expr.alias(name) for name, expr in measures.items()])
     return (
         descendants(nodes, depth).join(values, "id").groupBy(F.col("ancestor_id").alias("id"))
@@ -132,7 +129,6 @@ def included_children(nodes: DataFrame, roots: DataFrame, sessions: DataFrame, m
     A child one level below the bound is listed as a placeholder ('max-depth'); one without a session row is
     'missing-session', and nothing below it is listed.
     """
-    max_depth = min(max_depth, MAX_VIEW_DEPTH)
     present = sessions.select("id", F.lit(True).alias("__present"))
     chains = ancestor_chains(nodes, max_depth + 1).join(present, "id", "left")
     pairs = chains.select("id", "__present", "chain", F.posexplode("chain").alias("pos", "e")).select(

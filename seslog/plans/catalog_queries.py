@@ -82,14 +82,14 @@ up AS (
   SELECT id, parent_id AS ancestor_id, 1 AS distance FROM tree WHERE parent_id IS NOT NULL
   UNION ALL
   SELECT up.id, t.parent_id, distance + 1 FROM up JOIN tree t ON t.id = up.ancestor_id
-  WHERE t.parent_id IS NOT NULL AND distance < {depth})"""
+  WHERE t.parent_id IS NOT NULL)"""
 
 
-def up_sql(depth: int, body: str) -> str:
-    return "WITH RECURSIVE " + UP_SQL.format(depth=depth) + "\n" + body
+def up_sql(body: str) -> str:
+    return "WITH RECURSIVE " + UP_SQL + "\n" + body
 
 
-@query("d5_fork_lineage", up_sql(10, "SELECT id, distance, ancestor_id FROM up"))
+@query("d5_fork_lineage", up_sql("SELECT id, distance, ancestor_id FROM up"))
 def d5(spark, sf):
     return tr.lineage(tree(spark, sf))
 
@@ -107,7 +107,7 @@ def d6(spark, sf):
     return rows.select("id", "root_id", "depth", F.array_join(step, ">").alias("path"))
 
 
-@query("e22_subtree_totals", up_sql(8, """, closed AS (SELECT id, id AS ancestor_id FROM tree UNION ALL SELECT id, ancestor_id FROM up)
+@query("e22_subtree_totals", up_sql(""", closed AS (SELECT id, id AS ancestor_id FROM tree UNION ALL SELECT id, ancestor_id FROM up)
 SELECT ancestor_id AS id, count(*) AS threads, CAST(sum(size) AS BIGINT) AS turns,
        CAST(sum(CASE WHEN brand = 'Brand#2' THEN 1 ELSE 0 END) AS BIGINT) AS compactions
 FROM closed JOIN tree USING (id) GROUP BY ancestor_id"""))
@@ -117,7 +117,7 @@ def e22(spark, sf):
     )
 
 
-@query("g5_trace_filter_keeps_ancestors", up_sql(1000, """SELECT DISTINCT t.id, t.title, t.kind FROM tree t
+@query("g5_trace_filter_keeps_ancestors", up_sql("""SELECT DISTINCT t.id, t.title, t.kind FROM tree t
   WHERE t.title LIKE '%bolt%' AND t.size = 7
      OR t.id IN (SELECT ancestor_id FROM up JOIN tree h ON h.id = up.id WHERE h.title LIKE '%bolt%' AND h.size = 7)"""))
 def g5(spark, sf):

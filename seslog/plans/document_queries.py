@@ -206,11 +206,15 @@ def b11(spark, sf):
     return table(spark, sf, "documents").select("doc_id", redact.redact_json(record).alias("record"))
 
 
-@query("b24_secret_redaction", """SELECT doc_id, 'https://[redacted]@host/' || doc_id || ' authorization=Bearer [redacted] token=[redacted] Bearer [redacted] ' || source AS message FROM documents""")
+@query("b24_secret_redaction", """WITH m AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '^[^\\n]*') AS line FROM documents),
+u AS (SELECT doc_id, regexp_replace('https://user:pw' || doc_id || '@host/ Authorization: Bearer abc.def token: s3cret bearer XYZ | ' || line, '([a-zA-Z0-9+.-]://)[^@/\\s]+@', '\\1[redacted]@', 'g') AS line FROM m),
+h AS (SELECT doc_id, regexp_replace(regexp_replace(line, 'authorization\\s*[=:]\\s*bearer\\s+[a-z0-9._~+/=-]+', chr(1), 'gi'), 'bearer\\s+[a-z0-9._~+/=-]+', 'Bearer [redacted]', 'gi') AS line FROM u)
+SELECT doc_id, trim(replace(regexp_replace(regexp_replace(line, 'token[=:]\\s*\\S+', 'token=[redacted]', 'gi'), 'authorization[=:]\\s*\\S+', 'authorization=[redacted]', 'gi'), chr(1), 'authorization=Bearer [redacted]'), chr(13) || ' ') AS message FROM h""")
 def b24(spark, sf):
+    """Each text behind a line of credentials of its own: the first line of the text is redacted, too."""
     message = F.concat(
-        F.lit("\n https://user:pw"), F.col("doc_id").cast("string"), F.lit("@host/"), F.col("doc_id").cast("string"), F.lit(" Authorization: Bearer abc.def token: s3cret"), F.lit(" bearer XYZ "), F.col("source"),
-        F.lit("\nsecond line "), F.col("text"))
+        F.lit("\n https://user:pw"), F.col("doc_id").cast("string"), F.lit("@host/ Authorization: Bearer abc.def token: s3cret bearer XYZ | "),
+        F.coalesce("text", F.lit("")))
     return table(spark, sf, "documents").select("doc_id", tx.redact_secrets(message).alias("message"))
 
 
@@ -246,6 +250,6 @@ def e19(spark, sf):
 
 
 @query("s6_short_paths", with_ctes(PATHS_SQL, """s AS (SELECT page_id, cwd, list_filter(string_split(cwd, '/'), lambda x: x <> '') AS parts FROM p)""",
-  """SELECT page_id, CASE WHEN len(parts) <= 3 THEN cwd ELSE parts[1] || '/' || parts[2] || '/…/' || parts[-1] END AS short, substr(regexp_replace(cwd, '[<>:"/\\\\|?*]', '_', 'g'), 1, 120) AS file_name FROM s"""))
+  """SELECT page_id, CASE WHEN len(parts) <= 3 THEN cwd ELSE parts[1] || '/' || parts[2] || '/…/' || parts[-1] END AS short, regexp_replace(cwd, '[<>:"/\\\\|?*]', '_', 'g') AS file_name FROM s"""))
 def s6(spark, sf):
     return page_paths(spark, sf).select("page_id", tx.short_path(F.col("cwd")).alias("short"), tx.clean_file_name(F.col("cwd")).alias("file_name"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from seslog.functions.js import field, text_of
 from seslog.functions.ordered import ordered_scan, running_sum
+from seslog.functions.staging import stage
 from seslog.functions.text import SPACE, first_line, nonempty, slashes, strip_long_path_prefix
 
 TAIL_BYTES = 96 * 1024
@@ -67,20 +68,23 @@ def relative_path(path: Column, home: str) -> Column:
 # --- lines and records ----------------------------------------------------------------------------------------------
 def read_lines(
     spark: SparkSession, paths: str | Sequence[str], archived: bool = False, since_ms: int | None = None,
-    before_ms: int | None = None,
+    before_ms: int | None = None, days: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Every line of the ``*.jsonl`` files under the roots, with line number, event index and byte offset.
 
     ``*`` in a root stands for one directory level, and does not stand for a directory that starts with a dot; dot
     directories that the root names are read. ``since_ms`` is inclusive, ``before_ms`` exclusive, both on the file's
-    modification time.
+    modification time. ``days`` (first and last, both inclusive) reads only the YYYY/MM/DD folders of those days; days
+    without a folder are passed over.
     """
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    dated = None if days is None else _present(spark, [p for root in roots for p in dated_paths(root, *days)])
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n")
     if since_ms is not None:  # coarse file pruning before the exact filter
         reader = reader.option("modifiedAfter", _iso(since_ms - 1000))
     if before_ms is not None:
         reader = reader.option("modifiedBefore", _iso(before_ms + 1000))
-    rows = reader.text([paths] if isinstance(paths, str) else list(paths)).select(
+    rows = (reader.text(dated) if dated else reader.text(roots) if dated is None else _no_lines(spark)).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"),
         F.col("_metadata.file_size").alias("file_size"),
@@ -88,7 +92,7 @@ def read_lines(
         F.monotonically_increasing_id().alias("read_order"),
         F.col("value").alias("line"),
     )
-    hidden = [p for root in ([paths] if isinstance(paths, str) else paths) for p in _dot_at_star(root)]
+    hidden = [p for root in roots for p in _dot_at_star(root)]
     if hidden:
         rows = rows.filter(~F.col("file_path").rlike("|".join(hidden)))
     if since_ms is not None:
@@ -137,10 +141,10 @@ def parse_records(lines: DataFrame) -> DataFrame:
 
 def read_session_logs(
     spark: SparkSession, live: str | Sequence[str], archived: str | Sequence[str] | None = None,
-    since_ms: int | None = None, before_ms: int | None = None,
+    since_ms: int | None = None, before_ms: int | None = None, days: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """raw_events of the live roots and, where given, of the archived ones."""
-    lines = read_lines(spark, live, False, since_ms, before_ms)
+    """raw_events of the live roots (those of the given days only) and, where given, of the archived ones."""
+    lines = read_lines(spark, live, False, since_ms, before_ms, days)
     if archived is not None:
         lines = lines.unionByName(read_lines(spark, archived, True, since_ms, before_ms))
     return parse_records(lines)
@@ -158,6 +162,23 @@ def dated_paths(root: str, since: str, until: str) -> list[str]:
     return out
 
 
+def _present(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The paths, or globs, that match a folder."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(hadoop).globStatus(place):
+            found.append(path)
+    return found
+
+
+def _no_lines(spark: SparkSession) -> DataFrame:
+    """What the text reader gives where there is no file."""
+    metadata = "struct<file_path:string, file_modification_time:timestamp, file_size:long, file_block_start:long>"
+    return spark.createDataFrame([], f"value string, _metadata {metadata}")
+
+
 def tolerant_records(records: DataFrame) -> DataFrame:
     """Only usable records: bad lines and falsy scalars are dropped."""
     text = text_of(F.col("raw"))
@@ -229,20 +250,22 @@ def session_index(spark: SparkSession, path: str) -> DataFrame:
     return best.select("id", "v.name", "v.updated_at")
 
 
-def model_windows(documents: DataFrame, depth: int = 6) -> DataFrame:
+def model_windows(documents: DataFrame) -> DataFrame:
     """Context window per model id: every object with an id and a finite window, at any level; the later one counts.
 
+    Goes down level by level until one has no values.
+
     ``documents`` has one VARIANT column ``doc``.
     """
     level = documents.select(F.col("doc").alias("node"), F.array().cast("array<int>").alias("path"))
     found = None
-    for _ in range(depth):
+    while found is None or not level.isEmpty():
         hits = level.select(
             text_of(field(F.col("node"), "id")).alias("model"),
             F.try_variant_get("node", "$.contextWindow", "double").alias("context_window"), "path",
         ).filter("model IS NOT NULL AND context_window IS NOT NULL")
         found = hits if found is None else found.unionByName(hits)
-        level = _explode_variants(level)
+        level = stage(_explode_variants(level))
     return found.groupBy("model").agg(F.max_by("context_window", "path").alias("context_window"))
 
 

@@ -85,3 +85,21 @@ def test_dot_folders_count_only_where_a_star_stands(spark, tmp_path):
     assert read_lines(spark, f"{tmp_path}/.codex/sessions").count() == 1
     assert read_lines(spark, f"{tmp_path}/.codex/*").count() == 1
     assert read_lines(spark, f"{tmp_path}/*/sessions").count() == 1
+
+
+def test_scan_of_days_passes_over_absent_folders(spark, tmp_path):
+    root = tmp_path / ".codex" / "sessions"
+    for day in ("2026/02/27", "2026/03/01", "2026/03/02"):
+        (root / day).mkdir(parents=True)
+        (root / day / f"{day.replace('/', '-')}.jsonl").write_text('{"n":1}\n')
+    read = lambda first, last: sorted(r.session_id for r in logs.read_session_logs(spark, str(root), days=(first, last)).collect())
+    assert read("2026-02-27", "2026-03-01") == ["2026-02-27", "2026-03-01"]
+    assert read("2025-01-01", "2025-01-02") == []
+
+
+def test_model_windows_at_any_depth(spark):
+    deep = '{"id":"deep","contextWindow":7}'
+    for _ in range(12):
+        deep = '{"x":[' + deep + ']}'
+    docs = spark.createDataFrame([(deep,), ('{"id":"top","contextWindow":1}',), ('{}',)], "t string").select(F.parse_json("t").alias("doc"))
+    assert {r.model: r.context_window for r in logs.model_windows(docs).collect()} == {"deep": 7.0, "top": 1.0}

@@ -24,3 +24,21 @@ def test_subtree_totals_count_a_cycle_once(spark):
 
     got = {r.id: (r.threads, r.turns) for r in tr.subtree_totals(nodes(spark), {"turns": F.col("t")}).collect()}
     assert got[1] == (4, 23) and got[10] == (4, 10) and got[6] == (1, 1)
+
+
+def test_a_deep_tree_is_summed_to_its_leaves(spark):
+    from pyspark.sql import functions as F
+
+    chain = spark.range(30).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit(1).alias("t"))
+    got = {r.id: r.turns for r in tr.subtree_totals(chain, {"turns": F.col("t")}).collect()}
+    assert got == {i: 30 - i for i in range(30)}
+    assert tr.lineage(chain).filter("id = 29").count() == 29
+    assert tr.lineage(chain, 10).filter("id = 29").count() == 10
+
+
+def test_children_are_included_as_deep_as_the_caller_says(spark):
+    from pyspark.sql import functions as F
+
+    chain = spark.range(14).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    rows = tr.included_children(chain, chain.filter("id = 0"), chain, 11).orderBy("depth").collect()
+    assert [(r.id, r.unavailable) for r in rows] == [*[(i, None) for i in range(1, 12)], (12, "max-depth")]
