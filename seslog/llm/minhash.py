@@ -9,8 +9,9 @@ with the region's first node. Candidates are confirmed in rounds: first one pair
 connected yet. A crowded region that is one component by now is done. The others are followed down to depths 8, 16 and
 32, branch by branch, where again small branches give their pairs and large ones stars, between different components
 only: the depth adapts to how crowded a region is. Nodes of regions that are still of several components are then
-compared exactly: regions that share nodes form a group, a group is cut into blocks by the size of its sets, and a task
-counts all common shingles between two blocks as matrix products, and returns only links that connect something.
+compared exactly: regions that share nodes form a group, a group is cut into blocks of about 2,048 nodes and 2^18
+shingles at most, and a task counts all common shingles between two blocks as matrix products, and returns only links
+that connect something. A task's matrices so have a bounded size, however short the texts are.
 No link that the regions hold is missed, and there is no cap on members or partners; no pairs leave a task.
 
 Two texts at similarity 0.8 share no region with probability (1 - 0.8^4)^24 = 3e-6, less above.
@@ -38,7 +39,7 @@ TREES, STEP = 24, 4
 VALUES = TREES * STEP
 SMALL = 8
 DEPTHS = (8, 16, 32)
-BLOCK_SHINGLES, COLUMNS = 1 << 18, 4096
+BLOCK_SHINGLES, BLOCK_NODES, COLUMNS = 1 << 18, 2048, 4096
 
 _odd = np.random.default_rng(20240607).integers(0, 1 << 63, size=(2, VALUES), dtype=np.uint64)
 FACTORS, SHIFTS = _odd[0] * np.uint64(2) + np.uint64(1), _odd[1]
@@ -221,9 +222,10 @@ def _block_links(percent: int):
         a = np.flatnonzero(side == rows.column("cell")[0].as_py()["i"])
         b = np.flatnonzero(side == rows.column("cell")[0].as_py()["j"])
         common = np.zeros((len(a), len(b)), dtype=np.float32)
-        for low in range(0, int(shared.sum()), COLUMNS):
+        n_shared = int(shared.sum())
+        for low in range(0, n_shared, COLUMNS):
             i, j = np.searchsorted(column, (low, low + COLUMNS))
-            has = np.zeros((len(n), COLUMNS), dtype=np.float32)
+            has = np.zeros((len(n), min(COLUMNS, n_shared - low)), dtype=np.float32)
             has[owner[i:j], column[i:j] - low] = 1
             common += has[a] @ has[b].T
         linked = (100 * common >= percent * (n[a][:, None] + n[b][None, :] - common)) & (root[a][:, None] != root[b][None, :])
@@ -271,7 +273,7 @@ def _by_blocks(mixed: DataFrame, nodes: DataFrame, members: DataFrame, percent:
     tied = mixed.join(mixed.groupBy("branch").agg(F.min("node").alias("least")), "branch").select(F.col("node").alias("u"), F.col("least").alias("v"))
     group = components(tied).withColumnRenamed("root", "group")
     sized = mixed.select("node", "root").distinct().join(group, "node").join(nodes.select("node", "n"), "node")
-    total = sized.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    total = sized.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).alias("blocks"))
     placed = sized.join(total, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(members, "node")
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cell = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))

@@ -271,6 +271,28 @@ def test_near_duplicates(spark, docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_blocks_of_short_texts_are_bounded(spark, monkeypatch):
+    """Many short texts that differ in one field are crowded but not linked; no task compares them all at once."""
+    texts = [(i, f"user has logged in again from host h{i}") for i in range(5000)]
+    linked = " ".join(f"w{k}" for k in range(20))
+    texts += [(6000, linked), (6001, linked + " end")]
+    inner = minhash._block_links
+
+    def watched(percent):
+        run = inner(percent)
+
+        def bounded(rows):
+            sides = np.bincount(rows.column("block").to_numpy())
+            assert sides.max() <= 2500, sides.max()
+            return run(rows)
+
+        return bounded
+
+    monkeypatch.setattr(minhash, "_block_links", watched)
+    got = {g.doc_id: g.component_id for g in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), size=4).collect()}
+    assert got == {i: min(i, 6000) for i, _ in texts}
+
+
 # --- sharding ---------------------------------------------------------------------------------------------------------
 def test_sharding(spark, docs, none):
     got = sharding.shard(docs, 7).collect()
