@@ -1,24 +1,24 @@
-"""LM scoring: a trigram model over the corpus, stored as an Elias-Fano trie.
+"""LM scoring: a trigram model of all words and n-grams of the training texts, kept as Spark tables.
 
-Words are runs of other than space and ASCII control blanks, A-Z lower-cased; each text ends with one end token. All
-words of all training texts are counted (a shuffle by word that grows with the corpus). Two relative frequencies, not row counts, bound what
-is broadcast at any corpus size, and the model behaves alike at every size:
+Words are runs of other than space and ASCII control blanks, A-Z lower-cased; each text ends with one end token. Every
+word, bigram and trigram that is counted is kept, singletons too, at any corpus size; the tables grow with the corpus and
+neither a task nor the driver holds one as a whole. Only words with a share of 2^-18 or more (at most 2^18) are known to
+every task, so that their counts need no join; the counts are the same either way.
 
-* words with a share of 2^-18 or more (at most 2^18) are known to every task; texts' other words are joined with the
-  count table, which no task or driver holds as a whole;
-* words with a share of 2^-16 or more are words of the model, all others one class. n-grams of them with a share of 2^-20
-  or more (at most 2^20 a level) are nodes of the trie; the mass of the rest goes to the shorter context.
+p(word | context) interpolates by absolute discounting: (c - D) / n of the context, and the mass D * kinds / n goes to the
+shorter context; below it is (c + 1) / (N + V + 1), where all unseen words are one more word. A context that was never
+seen gives its shorter one. Probabilities are worked out once per distinct trigram, by joins on hashes of its contexts, and
+then joined to the texts' trigrams.
 
-p(word | context) uses absolute discounting with that back-off; a word of the class has the class's probability times
-(c + 1) / (N_class + V_class + 1). Quantised probabilities add up to 1 within the width of their 256 steps.
+`learn_trie` makes a bounded model (words above 2^-16, n-grams above 2^-20) as one flat buffer; scores do not use it.
 
 Defined cases: a null or empty text is its end token; a null id is training; repeated rows count each; without
-training texts every word is unknown and log10 p is 0 in both scores; other columns are not read.
+training texts every word is unknown and log10 p is 0 in both scores; other columns are not read. Words and contexts are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seslog.llm import trie as tries
-from seslog.llm.arrowtext import Words, blocks
+from seslog.llm.arrowtext import Words, blocks, mix
 from seslog.llm.common import stage
 
 KNOWN_SHARE, WORD_SHARE, NGRAM_SHARE = 18, 16, 20
 DISCOUNT = 0.75
 END = np.uint64(0xE4D0F7E87)  # the end token among word hashes
+BEGIN, NONE = np.uint64(0xBE617), np.uint64(0x9017E)  # what stands before a text's first token, and before that
 FLUSH = 1 << 21
 
 
@@ -176,74 +177,126 @@ def learn_trie(texts: DataFrame, lexicon: Lexicon) -> bytes:
     return tries.build(width, unigram, backoff1, (a, b, p2, backoff2), (c, w, p3))
 
 
-def _scores(shared, data):
-    """Per row: tokens, known ones, sum of log10(c + 1) and of the model's log10 p as far as they are known here, tokens
-    of the class, and the hashes of the words that must be looked up."""
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens: a hash of the two tokens before, the token before, the token, and where texts begin."""
+    word, first = _tokens(column)
+    before, second = np.empty_like(word), np.empty_like(word)
+    before[1:], second[2:] = word[:-1], word[:-2]
+    starts = first[:-1]
+    before[starts] = BEGIN
+    second[starts], second[starts[np.diff(first) > 1] + 1] = NONE, BEGIN
+    with np.errstate(over="ignore"):
+        return mix(mix(second) * np.uint64(0x9E3779B97F4A7C15) + before), before, word, first
+
+
+def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _tally_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, before, word, c) of the trigrams of all texts, combined inside a task; c counts training texts only."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def merged() -> tuple[np.ndarray, ...]:
+        gram, context, before, word, c = (np.concatenate(x) for x in zip(*held))
+        gram, at, inverse = np.unique(gram, return_index=True, return_inverse=True)
+        return gram, context[at], before[at], word[at], np.bincount(inverse, weights=c).astype(np.int64)
+
+    def rows(_, context, before, word, c) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (context, before, word)), pa.array(c)], ["context", "before", "word", "c"])
+
+    for batch in blocks(batches, "text"):
+        context, before, word, first = _grams(batch.column(1))
+        training = np.repeat(~batch.column(0).to_numpy(zero_copy_only=False), np.diff(first))
+        held.append((_gram(context, word), context, before, word, training.astype(np.int64)))
+        if sum(len(x[0]) for x in held) > 2 * FLUSH:
+            held = [merged()]
+            if len(held[0][0]) > FLUSH:
+                yield rows(*held.pop())
+    if held:
+        yield rows(*merged())
+
+
+def _grams_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, context, word, m): the distinct trigrams of each text and how often it has them."""
+    for batch in blocks(batches, "text", 1 << 20):
+        context, _, word, first = _grams(batch.column(1))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        gram = _gram(context, word)
+        order = np.lexsort((gram, row))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (gram[order][1:] != gram[order][:-1]) | (row[order][1:] != row[order][:-1])
+        at = order[new]
+        m = np.diff(np.append(np.flatnonzero(new), len(order)))
+        ids = batch.column(0).to_numpy()[row[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(context[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(m)], ["row", "context", "word", "m"])
+
+
+def learn_grams(source: DataFrame, counts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(context, word, p) of every trigram of all texts (held_out, text): log10 p of the word after its context, learned from
+    the texts that are not held out."""
+    grams = stage(source.select("held_out", "text").mapInArrow(_tally_grams, "context long, before long, word long, c long").groupBy("context", "before", "word").agg(F.sum("c").alias("c")))
+    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    discounted = lambda c, n, kinds, lower: (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * F.col(lower)) / F.col(n)
+    pairs = stage(grams.groupBy("before", "word").agg(F.sum("c").alias("c2")))
+    after = pairs.groupBy("before").agg(F.sum("c2").alias("n2"), seen("c2").alias("k2"))
+    words = counts.select(F.col("key").alias("word"), F.col("c").alias("c1"))
+    second = pairs.join(after, "before").join(words, "word", "left").withColumn("p1", (F.coalesce("c1", F.lit(0)) + 1) / F.lit(float(lexicon.total + lexicon.distinct + 1)))
+    second = second.select("before", "word", F.when(F.col("n2") > 0, discounted("c2", "n2", "k2", "p1")).otherwise(F.col("p1")).alias("p2"))
+    contexts = grams.groupBy("context").agg(F.sum("c").alias("n3"), seen("c").alias("k3"))
+    third = grams.join(contexts, "context").join(second, ["before", "word"])
+    # before a text's first token there is one context only
+    short = (F.col("before") == F.lit(int(BEGIN))) | (F.col("n3") == 0)
+    return third.select("context", "word", F.log10(F.when(short, F.col("p2")).otherwise(discounted("c", "n3", "k3", "p2"))).alias("p"))
+
+
+def _scores(shared):
+    """Per row: tokens, known ones and sum of log10(c + 1) as far as they are known here, and the hashes of the words that
+    must be looked up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shared.value
-        name, buffer = data.value
-        trie = tries.open_mapped(name, buffer)
         for batch in blocks(batches, "text"):
-            column = batch.column(batch.schema.get_field_index("text"))
-            hashes, first = _tokens(column)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            hashes, first = _tokens(batch.column(batch.schema.get_field_index("text")))
             at, known = lexicon.find(hashes)
             logs = np.where(known, np.log10(lexicon.counts[at] + 1.0) if len(lexicon.words) else 0.0, 0.0)
-            word, before, second = _numbers(lexicon, column)
-            # equal n-grams of a block are looked up once
-            grams, inverse = _distinct(second, before, word, lexicon.size + 3)
-            value = trie.log10(*grams)[inverse]
-            other = word == 0
-            value = value + np.where(other & known, logs, 0.0)
             add = lambda x: np.add.reduceat(x, first[:-1])
             rare = hashes[~known].view(np.int64)
             ends = np.concatenate(([0], np.cumsum(add((~known).astype(np.int64))))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
+                    *(batch.column(batch.schema.get_field_index(x)) for x in ("row", "doc_id", "held_out")),
                     pa.array(np.diff(first)),
                     pa.array(add(known.astype(np.int64))),
                     pa.array(add(logs)),
-                    pa.array(add(value)),
-                    pa.array(add(other.astype(np.int64))),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)),
                 ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "logs", "value", "n_class", "rare"],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "rare"],
             )
 
     return run
 
 
-def _distinct(second: np.ndarray, before: np.ndarray, word: np.ndarray, base: int) -> tuple[tuple, np.ndarray]:
-    keys, inverse = np.unique(((second + 1) * base + before) * base + word, return_inverse=True)
-    return (keys // (base * base) - 1, keys // base % base, keys % base), inverse
-
-
 def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df; the model learns from the rows that are not held out."""
-    source = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = source.filter(~F.col("held_out")).select("text")
-    counts, lexicon = learn_words(texts)
-    buffer = learn_trie(texts, lexicon)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(lexicon)
-    data = spark.sparkContext.broadcast((hashlib.sha256(buffer).hexdigest()[:24], buffer))
-    kind = dict(source.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, value double, n_class long, rare array<long>"
-    rows = stage(source.mapInArrow(_scores(shared, data), schema).withColumn("row", F.monotonically_increasing_id()))
+    named = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = stage(named.withColumn("row", F.monotonically_increasing_id()))
+    counts, lexicon = learn_words(source.filter(~F.col("held_out")).select("text"))
+    grams = learn_grams(source, counts, lexicon)
+    scores = source.select("row", "text").mapInArrow(_grams_of_rows, "row long, context long, word long, m long").join(grams, ["context", "word"]).groupBy("row").agg(F.sum(F.col("m") * F.col("p")).alias("score"))
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)
+    kind = dict(named.dtypes)["doc_id"]
+    rows = stage(source.mapInArrow(_scores(shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, rare array<long>"))
     rare = rows.select("row", F.explode("rare").alias("key")).join(counts, "key")
     found = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("seen"))
-    class_count = lexicon.total - int(lexicon.counts[lexicon.numbers > 0].sum())
-    base, inside = np.log10(lexicon.total + lexicon.distinct + 1), np.log10(class_count + lexicon.distinct - lexicon.size + 1)
-    more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("rare").join(found, "row", "left").select(
+    base = np.log10(lexicon.total + lexicon.distinct + 1)
+    return rows.drop("rare").join(found, "row", "left").join(scores, "row").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
         F.lit(lexicon.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + more - F.col("n_tokens") * F.lit(float(base))).alias("base_score"),
-        (F.col("value") + more - F.col("n_class") * F.lit(float(inside))).alias("score"),
+        (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(base))).alias("base_score"),
+        "score",
     )

@@ -204,6 +204,42 @@ def test_probabilities_sum_to_one(spark, docs):
         assert abs(p.sum() - 1) < 0.05
 
 
+def test_scores_keep_every_counted_word_and_ngram(spark):
+    """Against a brute-force model of all n-grams, singletons too, with more words than a share of 2^-16 would leave."""
+    r = random.Random(4)
+    texts = [(i, " ".join([f"w{r.randrange(400)}" if r.random() < 0.5 else f"v{r.randrange(10**9)}" for _ in range(r.randint(0, 3000))]), i % 5 == 0) for i in range(60)]
+    texts += [(100, "once upon a time", False), (101, "once upon a time", True), (102, "once upon a clock", True), (103, None, True), (104, "w1 w2", None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, h boolean").repartition(3)
+    got = {g.doc_id: g.score for g in lm.score(df, F.col("h")).collect()}
+    tokens = lambda t: ["<none>", "<begin>", *(t or "").split(), "<end>"]
+    counts = [{}, {}, {}]
+    for _, text, held in texts:
+        t = tokens(text)
+        for i in range(2, len(t) if not held else 0):
+            for n in range(3):
+                key = tuple(t[i - n : i + 1])
+                counts[n][key] = counts[n].get(key, 0) + 1
+    total, kinds = sum(counts[0].values()), len(counts[0])
+    after = [{}, {}, {}]
+    for n in (1, 2):
+        for key, c in counts[n].items():
+            a, b = after[n].get(key[:-1], (0, 0))
+            after[n][key[:-1]] = (a + c, b + 1)
+
+    def p(key):
+        if len(key) == 1:
+            return (counts[0].get(key, 0) + 1) / (total + kinds + 1)
+        lower, (n, k) = p(key[1:]), after[len(key) - 1].get(key[:-1], (0, 0))
+        if not n or key[0] == "<none>":
+            return lower
+        return (max(counts[len(key) - 1].get(key, 0) - lm.DISCOUNT, 0) + lm.DISCOUNT * k * lower) / n
+
+    for i, text, _ in texts:
+        t = tokens(text)
+        assert abs(got[i] - sum(np.log10(p(tuple(t[j - 2 : j + 1]))) for j in range(2, len(t)))) < 1e-6 * max(1, len(t))
+    assert len(got) == len(texts)
+
+
 # --- quality ----------------------------------------------------------------------------------------------------------
 def test_quality_counts(docs, none):
     got = {(g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) for g in quality.measure(docs).collect()}
