@@ -377,29 +377,28 @@ def reasoning() -> Column:
     )
 
 
-def _entry_text(value: Column, depth: int = 2) -> Column:
-    """Readable text of one history value: texts of parts, images and encrypted content as markers."""
+# Fixed value: how deep the reference walks a history value; what lies deeper gives no text.
+HISTORY_DEPTH = 4
+
+
+def _entry_text(value: Column, depth: int = 0) -> Column:
+    """Readable text of one history value: texts of parts, images and encrypted content as markers.
+
+    Elements of arrays are joined as they are, fields of objects without repeats.
+    """
     hidden = F.when(field(value, "encrypted_content").isNotNull(), "[encrypted_content redacted]").when(
         nonempty_text(_first(field(value, "image_url"), field(value, "image_file"))).isNotNull()
         | (text_at(value, "type") == "input_image"), "[image]",
     )
     scalar = scalar_text(value)
-    if depth == 0:
-        return F.when(value.isNull(), "").otherwise(F.coalesce(scalar, hidden, F.lit("")))
+    if depth == HISTORY_DEPTH:
+        return F.when(value.isNull(), "").otherwise(F.coalesce(scalar, F.when(is_object(value), hidden), F.lit("")))
     keys = ("text", "value", "message", "content", "summary", "output", "input", "arguments")
-    parts = F.transform(F.array_compact(F.array(*[field(value, k) for k in keys])), lambda v: _joined_or_text(v, depth - 1))
-    inner = F.array_join(F.array_distinct(F.filter(parts, lambda t: t != "")), "\n")
-    return F.when(value.isNull(), "").when(is_array(value), _list_text(value, depth - 1)).otherwise(
-        F.coalesce(F.when(~is_object(value), scalar), hidden, inner)
-    )
-
-
-def _list_text(value: Column, depth: int) -> Column:
-    return F.array_join(F.filter(F.transform(elements(value), lambda v: _entry_text(v, depth)), lambda t: t != ""), "\n")
-
-
-def _joined_or_text(value: Column, depth: int) -> Column:
-    return F.when(is_array(value), _list_text(value, depth)).otherwise(_entry_text(value, depth))
+    inside = F.when(is_array(value), elements(value)).otherwise(F.array_compact(F.array(*[field(value, k) for k in keys])))
+    # one branch for both kinds, so that the expression grows with the depth and does not double at each level
+    numbered = F.transform(inside, lambda v, i: F.struct(F.when(is_array(value), i).otherwise(-1).alias("i"), _entry_text(v, depth + 1).alias("t")))
+    inner = F.array_join(F.transform(F.array_distinct(F.filter(numbered, lambda x: x["t"] != "")), lambda x: x["t"]), "\n")
+    return F.when(value.isNull(), "").otherwise(F.coalesce(scalar, F.when(is_object(value), hidden), inner, F.lit("")))
 
 
 HISTORY_KEYS = ("content", "message", "text", "value", "output", "arguments")
@@ -409,9 +408,9 @@ def _history_entry(entry: Column, index: Column) -> Column:
     meta = field(entry, "internal_chat_message_metadata_passthrough")
     pick = lambda *keys: nonempty_text(_first(*[field(entry, k) for k in keys]))
     texts = F.transform(
-        F.array_compact(F.array(*[field(entry, k) for k in HISTORY_KEYS])), lambda v: _joined_or_text(v, 1)
+        F.array_compact(F.array(*[field(entry, k) for k in HISTORY_KEYS])), lambda v: _entry_text(v)
     )
-    whole = F.when(is_object(entry), F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")).otherwise(_joined_or_text(entry, 1))
+    whole = F.when(is_object(entry), F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")).otherwise(_entry_text(entry))
     preview = trim_space(redact_data_uris(F.coalesce(whole, F.lit(""))))
     content = field(entry, "content")
     kinds = F.transform(elements(content), lambda p: F.when(is_object(p), nonempty(text_at(p, "type"))).otherwise(kind_of(p)))

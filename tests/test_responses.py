@@ -41,3 +41,48 @@ def test_context_percent_rules(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", context_usage(F.parse_json("t")).alias("u"))
     assert {r.t: r.u and (r.u.percent, r.u.used, r.u.limit) for r in df.collect()} == cases
+
+
+def test_history_text_is_walked_as_deep_as_the_reference(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from seslog.operators.normalize import _history_entry
+
+    keys = ("text", "value", "message", "content", "summary", "output", "input", "arguments")
+
+    def text(value, depth=0):
+        if value is None or depth > 4:
+            return ""
+        if isinstance(value, str):
+            return value
+        if isinstance(value, list):
+            return "\n".join(t for t in (text(v, depth + 1) for v in value) if t)
+        if value.get("encrypted_content") is not None:
+            return "[encrypted_content redacted]"
+        return "\n".join(dict.fromkeys(t for t in (text(value.get(k), depth + 1) for k in keys) if t))
+
+    def whole(entry):
+        if not isinstance(entry, dict):
+            return text(entry)
+        return "\n\n".join(t for t in (text(entry.get(k)) for k in ("content", "message", "text", "value", "output", "arguments")) if t)
+
+    r = random.Random(2)
+
+    def made(depth):
+        pick = r.random()
+        if depth == 0 or pick < 0.2:
+            return r.choice(["a", "b", "c", "", None])
+        if pick < 0.55:
+            return [made(depth - 1) for _ in range(r.randint(0, 3))]
+        if pick < 0.6:
+            return {"encrypted_content": "z"}
+        return {k: made(depth - 1) for k in r.sample(keys, 2)}
+
+    entries = [{"content": [{"content": [{"text": "x"}]}]}, {"content": [["same", "same"]]}, {"output": {"message": {"content": [{"text": "deep"}]}}}]
+    entries += [{"content": made(6), "output": made(5)} for _ in range(60)] + [[made(5)] for _ in range(20)]
+    assert whole(entries[0]) == "x"
+    rows = spark.createDataFrame([(i, json.dumps(e)) for i, e in enumerate(entries)], "i int, e string")
+    got = {g.i: g.t for g in rows.select("i", _history_entry(F.parse_json("e"), F.lit(0))["preview"].alias("t")).collect()}
+    assert [got[i] for i in range(len(entries))] == [whole(e).strip() for e in entries]
