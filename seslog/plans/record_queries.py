@@ -381,12 +381,26 @@ SPAWN_SQL = """calls AS (SELECT o_custkey AS session_id, o_orderkey AS event_ind
  kids AS (SELECT DISTINCT session_id, named AS child_id FROM calls WHERE event_index % 2 = 0)"""
 
 
+SPAWN_ALL_SQL = SPAWN_SQL.replace(" WHERE o_orderkey % 3 <> 2", "")
+LAST_SQL = "SELECT k.session_id, k.child_id, max(event_index) AS event_index FROM kids k JOIN calls c ON c.session_id = k.session_id AND c.named = k.child_id GROUP BY ALL"
+
+
+@query("d7_spawn_matches_all", with_ctes(SPAWN_ALL_SQL, LAST_SQL))
+def d7_all(spark, sf):
+    """Every order is a call, none is left out."""
+    return _spawn_case(table(spark, sf, "orders"))
+
+
 @query("d7_spawn_matches", with_ctes(SPAWN_SQL, "SELECT k.session_id, k.child_id, max(event_index) AS event_index FROM kids k JOIN calls c ON c.session_id = k.session_id AND c.named = k.child_id GROUP BY ALL"))
 def d7(spark, sf):
+    return _spawn_case(table(spark, sf, "orders").filter(F.col("o_orderkey") % 3 != 2))
+
+
+def _spawn_case(orders):
     """Calls that name their child by id; the last one counts."""
     key = F.col("o_orderkey")
     named = F.concat(F.lit("agent"), (F.floor(key / 3) % 40).cast("string"))
-    calls = table(spark, sf, "orders").filter(key % 3 != 2).select(
+    calls = orders.select(
         F.col("o_custkey").alias("session_id"), key.alias("event_index"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), F.lit("spawn_agent").alias("name"),
         F.to_json(F.struct(named.alias("agent_id"))).alias("arguments"), named.alias("named"))
     kids = calls.filter(F.col("event_index") % 2 == 0).select("session_id", F.col("named").alias("child_id")).distinct().select(
@@ -396,10 +410,19 @@ def d7(spark, sf):
 
 @query("d8_notification_matches", with_ctes(SPAWN_SQL, "SELECT k.session_id, k.child_id, max(event_index) AS event_index FROM kids k JOIN calls c ON c.session_id = k.session_id AND c.named = k.child_id GROUP BY ALL"))
 def d8(spark, sf):
+    return _notification_case(table(spark, sf, "orders").filter(F.col("o_orderkey") % 3 != 2))
+
+
+@query("d8_notification_matches_all", with_ctes(SPAWN_ALL_SQL, LAST_SQL))
+def d8_all(spark, sf):
+    return _notification_case(table(spark, sf, "orders"))
+
+
+def _notification_case(orders):
     """Half of the notifications carry the id as a field, half only inside their text."""
     key = F.col("o_orderkey")
     named = F.concat(F.lit("agent"), (F.floor(key / 3) % 40).cast("string"))
-    rows = table(spark, sf, "orders").filter(key % 3 != 2).select(F.col("o_custkey").alias("session_id"), key.alias("event_index"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), named.alias("named"))
+    rows = orders.select(F.col("o_custkey").alias("session_id"), key.alias("event_index"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), named.alias("named"))
     kids = rows.filter(F.col("event_index") % 2 == 0).select("session_id", F.col("named").alias("child_id")).distinct()
     fielded = F.to_json(F.struct(F.col("named").alias("agent_path")))
     events = rows.select("session_id", "event_index", "ts_ms", F.when(F.col("event_index") % 4 < 2, fielded).otherwise("see below").alias("text"),
