@@ -48,7 +48,7 @@ def restore(output: Column, form: Column) -> Column:
 
 
 def transform(df: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 1, changed: int = CHANGED_OF_100, spm: int = SPM_OF_100, out: str = "fim") -> DataFrame:
-    """df with a struct column `out`: n units, form, code points of prefix and middle (null if plain), output and the text rebuilt from it."""
+    """df with a struct column `out` (an older one is replaced): n units, form, code points of prefix and middle (null if plain), output and the text rebuilt from it."""
     t, n, a, c, kind, o = (fresh_name(df, f"{out}_{x}") for x in ("text", "n", "low", "high", "form", "output"))
     h1, h2, h3, h4 = draws(F.col(doc_id), seed)
     counted = df.withColumn(t, F.coalesce(F.col(text), F.lit(""))).withColumn(n, F.regexp_count(t, F.lit(UNIT)).cast("long"))

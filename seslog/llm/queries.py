@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seslog.llm import bpe, decontaminate, fim, langid, linededup, lm, minhash, quality, secrets, sharding, token_lengths, vocabulary
+from seslog.llm import align, bpe, decontaminate, fim, langid, linededup, lm, minhash, quality, secrets, sharding, token_lengths, vocabulary
 from seslog.llm.common import checksum_of_id, sha256_text, table
 
 QUERIES = {}
@@ -141,3 +141,9 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGIN
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", *[F.col(f"fim.{c}") for c in ("n", "form", "prefix_chars", "middle_chars")], sha256_text("fim.output").alias("output_sha256"), sha256_text("fim.restored").alias("restored_sha256"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return aligned.select("doc_id", *[F.col(f"alignment.{c}") for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")])
