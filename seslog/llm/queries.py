@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seslog.llm import align, bpe, decontaminate, fim, langid, linededup, lm, minhash, quality, secrets, sharding, token_lengths, vocabulary
+from seslog.llm import align, bpe, decontaminate, fim, langid, linededup, lm, minhash, quality, secrets, sharding, substring, token_lengths, vocabulary
 from seslog.llm.common import checksum_of_id, sha256_text, table
 
 QUERIES = {}
@@ -147,3 +147,20 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return aligned.select("doc_id", *[F.col(f"alignment.{c}") for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")])
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, a, md5(array_to_string(list_slice(w, a, a + 34), ' ')) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS a FROM d WHERE len(w) >= 35)),
+m AS (SELECT r, a FROM x WHERE g IN (SELECT g FROM x GROUP BY g HAVING count(*) > 1)),
+p AS (SELECT DISTINCT r, unnest(range(a, a + 35)) AS p FROM m),
+k AS (SELECT r, list(p) AS gone, count(*) AS n FROM p GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_filter(w, lambda y, i: NOT list_contains(gone, i)), ' '), '') END) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
+
+
+@query("op13_substring_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
