@@ -383,3 +383,15 @@ def session_status(turns: DataFrame, files: DataFrame | None = None, now_ms: int
     return last.join(files.select("session_id", "mtime_ms"), "session_id", "left").select(
         "session_id", F.when(_true(stale), "stopped").otherwise(F.col("status")).alias("status")
     )
+
+
+def tail_status(records: DataFrame, now_ms: int | None = None) -> DataFrame:
+    """Status of each session from the records of its log's tail; sessions whose tail has no usable record have no row.
+
+    A session's status is how its last turn ends, so the tail tells it without the rest of the log.
+    """
+    from seslog.operators.normalize import normalize
+
+    usable = records.filter("is_valid")
+    built = assemble(slim_events(stage(normalize(usable))))
+    return session_status(built.turns, usable.groupBy("session_id").agg(F.max("mtime_ms").alias("mtime_ms")), now_ms)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["interval_queries", "catalog_queries", "time_queries", "conversation_queries", "document_queries", "record_queries"]
+MODULES = ["interval_queries", "catalog_queries", "time_queries", "conversation_queries", "document_queries", "record_queries", "log_queries"]
 
 
 def load_queries():
