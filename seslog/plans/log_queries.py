@@ -13,6 +13,7 @@ from seslog.plans.conversation_queries import assembly, records, turned
 from seslog.plans.registry import query
 from seslog.plans.views import CONVERSATION_EPOCH_S, table, with_ctes
 from seslog.sources import logs, ranges, sinks
+from seslog.streaming import stateful as st
 
 NONE = F.lit(None).cast("string")
 
@@ -163,3 +164,64 @@ def a19(spark, sf):
     pieces = sinks.read_packed_report(spark, path)
     ordered = F.array_sort(F.collect_list(F.struct("part", "line_no", "text")))
     return pieces.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------------
+def streamed(spark, rows, schema, build, mode="append"):
+    """What a stream gives over rows written in two files, each a run of its own; `ts` moves the watermark on."""
+    st.use_rocksdb(spark)
+    root = folder(spark, "stream")
+    for n, part in enumerate(rows):
+        part.coalesce(1).write.mode("append").json(f"{root}/in")
+        stream = build(spark.readStream.schema(schema).json(f"{root}/in"))
+        keep = lambda df, epoch, n=n: df.write.mode("overwrite").parquet(f"{root}/out/run={n}/epoch={epoch}")
+        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/out")
+
+
+def stamped(seconds):
+    return F.timestamp_seconds(F.lit(CONVERSATION_EPOCH_S) + seconds)
+
+
+@query("t2_live_status", """SELECT conv_id AS session_id, CASE WHEN arg_max(role, turn) = 'assistant' THEN 'waiting' ELSE 'stopped' END AS status, max(turn) AS event_index
+  FROM (SELECT * FROM conversations WHERE role <> 'system') GROUP BY 1""")
+def t2(spark, sf):
+    """Sessions that run on at the end are stopped when the watermark has passed them by half an hour: the clock is moved on by a last record."""
+    kind = F.when(F.col("role") == "user", "user_message").otherwise("agent_message")
+    events = table(spark, sf, "conversations").filter("role <> 'system'").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("event_index"), kind.alias("kind"), F.lit(None).cast("string").alias("role"), stamped(F.col("turn") * 30).alias("ts"))
+    schema = "session_id long, event_index long, kind string, role string, ts timestamp"
+    clock = lambda s: spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.col("id").alias("event_index"), F.lit("token_count").alias("kind"), NONE.alias("role"), stamped(F.lit(s)).alias("ts"))
+    end = 40 * 86_400
+    changes = streamed(spark, [events.filter("event_index % 2 = 0"), events.filter("event_index % 2 = 1"), clock(end), clock(end + 60)], schema, lambda s: st.live_status(s, delay="10 days"), "update")
+    return st.latest_status(changes).filter("session_id >= 0")
+
+
+@query("t4_delta_merge", with_ctes("""c AS (SELECT conv_id, turn, text, unnest(string_split(text, '. ')) AS piece, generate_subscripts(string_split(text, '. '), 1) AS n FROM conversations)""",
+  "SELECT conv_id AS session_id, turn AS event_index, string_agg(piece, '' ORDER BY n) AS text, count(*) AS chunks FROM c GROUP BY 1, 2"))
+def t4_deltas(spark, sf):
+    """Messages cut at sentence ends: even chunks come first, the odd ones after more than half an hour, and all even ones again."""
+    chunks = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"\. ")).alias("n", "text"))
+    late = F.when(F.col("n") % 2 == 1, 3600).otherwise(0)
+    events = chunks.select(
+        F.col("conv_id").alias("session_id"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("message_id"), "role", F.lit("message").alias("kind"),
+        (F.col("turn") * 100_000 + F.col("n")).alias("event_index"), "text", stamped(late + F.col("n")).alias("ts"))
+    schema = "session_id long, message_id string, role string, kind string, event_index long, text string, ts timestamp"
+    even, odd = events.filter("event_index % 100000 % 2 = 0"), events.filter("event_index % 100000 % 2 = 1")
+    table_of_chunks = streamed(spark, [even, odd, even], schema, st.new_chunks)
+    merged = st.merge_chunks(table_of_chunks)
+    return merged.select("session_id", F.floor(F.col("event_index") / 100_000).alias("event_index"), "text", "chunks")
+
+
+@query("t4_call_pairing", """SELECT user_id AS session_id, 't' || (event_id % 3) AS turn_id, 'c' || (event_id % 7) AS call_id,
+  (SELECT max(c.event_id) FROM events c WHERE c.user_id = e.user_id AND c.event_id % 21 = e.event_id % 21 AND c.event_type = 'click' AND c.event_id < e.event_id) AS call_pos, event_id AS result_pos
+  FROM events e WHERE event_type = 'purchase'""")
+def t4_calls(spark, sf):
+    """Clicks are calls and purchases results; each user's events come in two runs, whatever their order."""
+    events = table(spark, sf, "events").filter("event_type IN ('click', 'purchase')").select(
+        F.col("user_id").alias("session_id"), F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("turn_id"), F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string")).alias("call_id"),
+        F.col("event_id").alias("event_index"), F.when(F.col("event_type") == "click", "call").otherwise("result").alias("part"), stamped(F.col("event_id")).alias("ts"))
+    schema = "session_id long, turn_id string, call_id string, event_index long, part string, ts timestamp"
+    clock = lambda s: spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit("t").alias("turn_id"), F.lit("c").alias("call_id"), F.col("id").alias("event_index"), F.lit("end").alias("part"), stamped(F.lit(s)).alias("ts"))
+    end = 400 * 86_400
+    return streamed(spark, [events.filter("event_index % 2 = 0"), events.filter("event_index % 2 = 1"), clock(end), clock(end + 86_400)], schema, lambda s: st.pair_calls(s, delay="350 days"))
