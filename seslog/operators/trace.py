@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seslog.functions.js import text_at
 from seslog.functions.ordered import DAY_MS, ordered_scan, running_sum, time_block
 from seslog.functions.text import first_line, nonempty, trim_space
+from seslog.operators.contains import contained_names
 
 HANDOFF_TOOLS = ("spawn_agent", "wait_agent", "handoff")
 # Node types shown without a filter.
@@ -106,11 +109,9 @@ def spawn_matches(calls: DataFrame, children: DataFrame) -> DataFrame:
         F.max("event_index").alias("event_index"), F.max_by("ts_ms", "event_index").alias("ts_ms"))
     message = F.coalesce(nonempty(F.get_json_object("arguments", "$.message")), F.get_json_object("arguments", "$.prompt"), F.lit(""))
     loose = tagged.filter("__known IS NULL").select("session_id", "event_index", "ts_ms", message.alias("__message"))
-    hit = lambda c: F.coalesce((F.col(c) != "") & F.contains("__message", F.col(c)), F.lit(False))
-    # Children named by a message: a substring test inside the session, so calls times children of one session.
-    pairs = loose.join(children, "session_id").filter(hit("nickname") | hit("role") | hit("title")).select(
-        "session_id", "event_index", "ts_ms", "child_id", "child_order")
-    guessed = _one_child_per_call(pairs, explicit_early(tagged))
+    named = children.select("session_id", "child_id", "child_order", F.explode(F.array_distinct(F.array_compact(F.array("nickname", "role", "title")))).alias("name")).filter("name <> ''")
+    told = contained_names(loose, named, "session_id", ["event_index"], "__message")
+    guessed = _one_child_per_call(told.join(loose.drop("__message"), ["session_id", "event_index"]), named, explicit_early(tagged))
     rest = guessed.join(explicit.select("session_id", "child_id"), ["session_id", "child_id"], "left_anti")
     return explicit.withColumn("explicit", F.lit(True)).unionByName(rest.withColumn("explicit", F.lit(False)))
 
@@ -120,28 +121,38 @@ def explicit_early(tagged: DataFrame) -> DataFrame:
     return tagged.filter("__known").groupBy("session_id", F.col("__named").alias("child_id")).agg(F.min("event_index").alias("__taken"))
 
 
-def _one_child_per_call(pairs: DataFrame, taken: DataFrame) -> DataFrame:
+def _one_child_per_call(told: DataFrame, named: DataFrame, taken: DataFrame) -> DataFrame:
     """Greedy assignment in call order: each call takes its first child not taken before.
 
-    The result depends on earlier choices, so the candidate pairs of one session (calls that name a child) are folded
-    in order. Only ids are folded, and only calls that carry no id of their own.
+    told: session_id, event_index, ts_ms, name (a name that the call's text holds); named: session_id, child_id,
+    child_order, name. Which child is free depends on all earlier calls, so a session is folded in order, but over names,
+    not over pairs: a name keeps its children in a queue whose taken ones are passed for good, so the fold takes as many
+    steps as there are rows, also where every call and every child share a name.
     """
-    open_pairs = pairs.join(taken, ["session_id", "child_id"], "left").filter("__taken IS NULL OR event_index < __taken").drop("__taken")
-    schema = open_pairs.select("session_id", "child_id", "event_index", "ts_ms").schema
-
-    def fold(rows):
-        used, out = set(), []
-        for event, group in rows.sort_values(["event_index", "child_order"]).groupby("event_index", sort=True):
-            for child, ts in zip(group["child_id"], group["ts_ms"]):
-                if child not in used:
-                    used.add(child)
-                    out.append((rows["session_id"].iloc[0], child, event, ts))
-                    break
-        import pandas as pd
-
+    queues = named.join(taken, ["session_id", "child_id"], "left").select(F.col("session_id").alias("owner"), "child_id", F.col("child_order").cast("long").alias("child_order"), "name", F.col("__taken").cast("double").alias("taken"))
+    fields = told.schema
+    schema = StructType([fields["session_id"], queues.schema["child_id"], fields["event_index"], fields["ts_ms"]])
+
+    def fold(calls, children):
+        ordered = children.sort_values(["child_order", "child_id"])
+        queue = {name: list(zip(g["child_order"], g["child_id"], g["taken"])) for name, g in ordered.groupby("name", sort=False)}
+        at, used, out = dict.fromkeys(queue, 0), set(), []
+        for row in calls.sort_values("event_index").groupby("event_index", sort=False):
+            event, group = row
+            best = None
+            for name in group["name"]:
+                waiting = queue.get(name, ())
+                while at.get(name, 0) < len(waiting) and (waiting[at[name]][1] in used or waiting[at[name]][2] < event):
+                    at[name] += 1
+                if at.get(name, 0) < len(waiting) and (best is None or waiting[at[name]][:2] < best):
+                    best = waiting[at[name]][:2]
+            if best is not None:
+                used.add(best[1])
+                out.append((calls["session_id"].iloc[0], best[1], event, group["ts_ms"].iloc[0]))
         return pd.DataFrame(out, columns=["session_id", "child_id", "event_index", "ts_ms"])
 
-    return open_pairs.groupBy("session_id").applyInPandas(fold, schema)
+    narrow = told.select("session_id", "event_index", "ts_ms", "name")
+    return narrow.groupBy("session_id").cogroup(queues.groupBy("owner")).applyInPandas(fold, schema)
 
 
 NOTICE_KEYS = ("agent_path", "agentPath", "agent_id", "agentId", "thread_id", "threadId")
@@ -174,8 +185,8 @@ def notification_matches(events: DataFrame, children: DataFrame) -> DataFrame:
         children.select("session_id", "child_id"), ["session_id", "child_id"])
     loose = rows.filter(F.col("record").rlike("(?i)subagent_notification|agent_path")).join(
         by_id.select("session_id", "event_index").distinct(), ["session_id", "event_index"], "left_anti")
-    by_text = loose.join(children.select("session_id", "child_id"), "session_id").filter(F.contains("record", F.col("child_id"))).select(
-        "session_id", "event_index", "ts_ms", "child_id")
+    found = contained_names(loose, children, "session_id", ["event_index"], "record", "child_id")
+    by_text = found.join(loose.select("session_id", "event_index", "ts_ms"), ["session_id", "event_index"]).select("session_id", "event_index", "ts_ms", "child_id")
     return by_id.select("session_id", "event_index", "ts_ms", "child_id").unionByName(by_text).groupBy("session_id", "child_id").agg(
         F.max("event_index").alias("event_index"), F.max_by("ts_ms", "event_index").alias("ts_ms"))
 

@@ -391,9 +391,24 @@ def d7_all(spark, sf):
     return _spawn_case(table(spark, sf, "orders"))
 
 
-@query("d7_spawn_matches", with_ctes(SPAWN_SQL, "SELECT k.session_id, k.child_id, max(event_index) AS event_index FROM kids k JOIN calls c ON c.session_id = k.session_id AND c.named = k.child_id GROUP BY ALL"))
+@query("d7_spawn_matches", with_ctes(SPAWN_ALL_SQL, "x AS (SELECT *, substr(named, 6) AS no, event_index % 4 AS way FROM calls)", """
+  SELECT k.session_id, k.child_id, coalesce(max(event_index) FILTER (way = 0), min(event_index)) AS event_index, coalesce(bool_or(way = 0), false) AS explicit
+  FROM kids k JOIN x ON x.session_id = k.session_id AND x.named = k.child_id GROUP BY 1, 2"""))
 def d7(spark, sf):
-    return _spawn_case(table(spark, sf, "orders").filter(F.col("o_orderkey") % 3 != 2))
+    """A quarter of the calls name their child by id; the others tell its nickname, role or title in their message."""
+    key = F.col("o_orderkey")
+    number = (F.floor(key / 3) % 40).cast("string")
+    way = key % 4
+    told = F.concat(F.lit("please ask <"), F.when(way == 1, "nick").when(way == 2, "role").otherwise("a title that is longer than a gram "), number, F.lit("> to go on"))
+    calls = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("session_id"), key.alias("event_index"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), F.lit("spawn_agent").alias("name"),
+        F.when(way == 0, F.to_json(F.struct(F.concat(F.lit("agent"), number).alias("agent_id")))).when(way == 1, F.to_json(F.struct(told.alias("prompt")))).otherwise(F.to_json(F.struct(told.alias("message")))).alias("arguments"),
+        number.alias("number"))
+    name = lambda kind: F.concat(F.lit(f"<{kind}"), "number", F.lit(">"))
+    kids = calls.filter("event_index % 2 = 0").select("session_id", "number").distinct().select(
+        "session_id", F.concat(F.lit("agent"), "number").alias("child_id"), F.col("number").cast("int").alias("child_order"), name("nick").alias("nickname"), name("role").alias("role"),
+        name("a title that is longer than a gram ").alias("title"))
+    return trace.spawn_matches(calls, kids).select("session_id", "child_id", "event_index", "explicit")
 
 
 def _spawn_case(orders):
@@ -408,9 +423,18 @@ def _spawn_case(orders):
     return trace.spawn_matches(calls, kids).select("session_id", "child_id", "event_index")
 
 
-@query("d8_notification_matches", with_ctes(SPAWN_SQL, "SELECT k.session_id, k.child_id, max(event_index) AS event_index FROM kids k JOIN calls c ON c.session_id = k.session_id AND c.named = k.child_id GROUP BY ALL"))
+@query("d8_notification_matches", with_ctes(SPAWN_ALL_SQL, LAST_SQL.replace("k.child_id, max", "'<' || k.child_id || '>' AS child_id, max").replace("GROUP BY ALL", "GROUP BY k.session_id, k.child_id")))
 def d8(spark, sf):
-    return _notification_case(table(spark, sf, "orders").filter(F.col("o_orderkey") % 3 != 2))
+    """One log of both kinds: a child is told by a field of the notification or only inside its record's text."""
+    key = F.col("o_orderkey")
+    named = F.concat(F.lit("<agent"), (F.floor(key / 3) % 40).cast("string"), F.lit(">"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), key.alias("event_index"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), named.alias("named"))
+    kids = rows.filter("event_index % 2 = 0").select("session_id", F.col("named").alias("child_id")).distinct()
+    fielded = F.col("event_index") % 4 < 2
+    events = rows.select(
+        "session_id", "event_index", "ts_ms", F.when(fielded, F.to_json(F.struct(F.col("named").alias("agent_path")))).otherwise("see below").alias("text"),
+        F.when(fielded, "x").otherwise(F.concat(F.lit("subagent_notification about "), "named")).alias("record"))
+    return trace.notification_matches(events, kids).select("session_id", "child_id", "event_index")
 
 
 @query("d8_notification_matches_all", with_ctes(SPAWN_ALL_SQL, LAST_SQL))
@@ -477,10 +501,15 @@ def d16(spark, sf):
     return rd.entry_turns(entries, turns).select("session_id", "entry_index", "turn_number", "turn_status")
 
 
-@query("g3_child_nodes", with_ctes(SPAWN_SQL, "SELECT session_id, v.p || child_id AS node_id, v.kind AS type FROM kids, (VALUES ('child:', 'subagent'), ('lazy:', 'lazy-child')) v(p, kind)"))
+@query("g3_child_nodes", with_ctes(SPAWN_ALL_SQL, """a AS (SELECT session_id, named AS child_id, max(ts_ms) FILTER (event_index % 4 = 1) AS spawn_ms, max(ts_ms) FILTER (event_index % 4 = 3) AS notice_ms FROM calls GROUP BY 1, 2)""",
+  """SELECT session_id, v.p || child_id AS node_id, CASE v.kind WHEN 'lazy-child' THEN 'child:' || child_id END AS parent_id, v.kind AS type, coalesce(spawn_ms, notice_ms) AS anchor_ms
+  FROM kids LEFT JOIN a USING (session_id, child_id), (VALUES ('child:', 'subagent'), ('lazy:', 'lazy-child')) v(p, kind)"""))
 def g3(spark, sf):
+    """Children with a spawn call, with a notification only, and with neither."""
     key = F.col("o_orderkey")
-    named = F.concat(F.lit("agent"), (F.floor(key / 3) % 40).cast("string"))
-    kids = table(spark, sf, "orders").filter((key % 3 != 2) & (key % 2 == 0)).select(F.col("o_custkey").alias("session_id"), named.alias("child_id"), F.lit("t").alias("title")).distinct()
-    none = kids.limit(0).select("session_id", "child_id", F.lit(0).alias("event_index"), F.lit(0).cast("long").alias("ts_ms"))
-    return trace.child_nodes(kids, none, none).select("session_id", "node_id", "type")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("session_id"), F.concat(F.lit("agent"), (F.floor(key / 3) % 40).cast("string")).alias("child_id"), key.alias("event_index"),
+        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"))
+    kids = rows.filter("event_index % 2 = 0").select("session_id", "child_id", F.lit("t").alias("title")).distinct()
+    latest = lambda n: rows.filter(f"event_index % 4 = {n}").groupBy("session_id", "child_id").agg(F.max_by("event_index", "ts_ms").alias("event_index"), F.max("ts_ms").alias("ts_ms"))
+    return trace.child_nodes(kids, latest(1), latest(3)).select("session_id", "node_id", "parent_id", "type", "anchor_ms")
