@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seslog.functions.staging import stage
+from seslog.operators.forest import depth_first, subtree_sums
 
 
 def ancestor_chains(nodes: DataFrame, depth: int | None = None, payload: Sequence[str] = ()) -> DataFrame:
@@ -77,27 +78,8 @@ def lineage(nodes: DataFrame, depth: int | None = None) -> DataFrame:
 
 
 def chain_order(nodes: DataFrame, time: str, order: str) -> DataFrame:
-    """Depth-first position of each node as a sortable ``path``, with ``depth`` and ``root_id``.
-
-    Children follow their parent by time, then by list order. Orphans are roots. On a cycle the node that comes first
-    in the list is the root of everything below it; such roots follow all true roots.
-    """
-    chains = ancestor_chains(nodes, None, [time, order])
-    own = F.struct("id", time, order)
-    full = F.concat(F.array(own), F.col("chain"))
-    first = F.array_min(F.transform(full, lambda e: F.struct(e[order].alias("o"), e["id"].alias("i"))))["i"]
-    cut = F.array_position(F.transform(full, lambda e: e["id"]), first)
-    kept = F.when(F.col("cyclic"), F.slice(full, 1, cut.cast("int"))).otherwise(full)
-    rows = chains.select("id", "cyclic", F.reverse(kept).alias("__kept"))
-    top = F.get("__kept", 0)
-    head = F.struct(F.col("cyclic").cast("long").alias("a"), top[order].alias("b"), top["id"].alias("c"))
-    rest = F.transform(
-        F.slice("__kept", 2, F.greatest(F.size("__kept") - 1, F.lit(0))),
-        lambda e: F.struct(F.coalesce(e[time], F.lit(0)).alias("a"), e[order].alias("b"), e["id"].alias("c")),
-    )
-    return rows.select(
-        "id", top["id"].alias("root_id"), (F.size("__kept") - 1).alias("depth"), F.concat(F.array(head), rest).alias("path")
-    )
+    """Depth-first `position` of each node, with `depth` and `root_id`; see forest.depth_first."""
+    return depth_first(nodes, time, order)
 
 
 def descendants(nodes: DataFrame, depth: int | None = None) -> DataFrame:
@@ -109,6 +91,8 @@ def descendants(nodes: DataFrame, depth: int | None = None) -> DataFrame:
 
 def subtree_totals(nodes: DataFrame, measures: dict[str, Column], depth: int | None = None) -> DataFrame:
     """Sums over each node and its descendants (down to ``depth`` where it is given); a session repeated by a cycle counts once."""
+    if depth is None:
+        return subtree_sums(nodes, {"threads": F.lit(1).cast("long"), **measures})
     values = nodes.select("id", *[expr.alias(name) for name, expr in measures.items()])
     return (
         descendants(nodes, depth).join(values, "id").groupBy(F.col("ancestor_id").alias("id"))
@@ -117,10 +101,9 @@ def subtree_totals(nodes: DataFrame, measures: dict[str, Column], depth: int | N
 
 
 def keep_with_ancestors(nodes: DataFrame, condition: Column) -> DataFrame:
-    """Nodes that match and all nodes above them."""
-    hits = ancestor_chains(nodes, None).join(nodes.filter(condition).select("id"), "id", "left_semi")
-    keep = hits.select(F.explode(F.concat(F.array("id"), F.transform("chain", lambda e: e["id"]))).alias("id")).distinct()
-    return nodes.join(keep, "id", "left_semi")
+    """Nodes that match and all nodes above them: those with a match in their subtree."""
+    hits = subtree_sums(nodes, {"__hits": F.when(condition, 1).otherwise(0).cast("long")}).filter("__hits > 0")
+    return nodes.join(hits.select("id"), "id", "left_semi")
 
 
 def included_children(nodes: DataFrame, roots: DataFrame, sessions: DataFrame, max_depth: int) -> DataFrame:

@@ -96,15 +96,13 @@ def d5(spark, sf):
 
 @query("d6_chain_order", "WITH RECURSIVE " + TREE_SQL + """,
 down AS (
-  SELECT id, id AS root_id, 0 AS depth, '0' || '/' || id || '/' || id AS path FROM tree WHERE parent_id IS NULL
+  SELECT id, id AS root_id, 0 AS depth, [{'a': CAST(0 AS BIGINT), 'b': CAST(id AS BIGINT)}] AS path FROM tree WHERE parent_id IS NULL
   UNION ALL
-  SELECT t.id, root_id, depth + 1, path || '>' || t.size || '/' || t.id || '/' || t.id
+  SELECT t.id, root_id, depth + 1, list_append(path, {'a': CAST(t.size AS BIGINT), 'b': CAST(t.id AS BIGINT)})
   FROM down JOIN tree t ON t.parent_id = down.id AND t.id <> down.id)
-SELECT id, root_id, depth, path FROM down""")
+SELECT id, root_id, depth, row_number() OVER (ORDER BY path) - 1 AS position FROM down""")
 def d6(spark, sf):
-    rows = tr.chain_order(tree(spark, sf).withColumn("list_pos", F.col("id")), "size", "list_pos")
-    step = F.transform("path", lambda e: F.concat_ws("/", e["a"].cast("string"), e["b"].cast("string"), e["c"].cast("string")))
-    return rows.select("id", "root_id", "depth", F.array_join(step, ">").alias("path"))
+    return tr.chain_order(tree(spark, sf).withColumn("list_pos", F.col("id")), "size", "list_pos")
 
 
 @query("e22_subtree_totals", up_sql(""", closed AS (SELECT id, id AS ancestor_id FROM tree UNION ALL SELECT id, ancestor_id FROM up)

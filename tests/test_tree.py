@@ -15,7 +15,7 @@ def test_lineage_stops_at_missing_parents_and_cycles(spark):
 
 def test_depth_first_order_with_orphans_and_cycles(spark):
     """True roots come first; of the cycle 10-11 the first listed node above each one is its root."""
-    rows = tr.chain_order(nodes(spark), "t", "pos").orderBy("path").collect()
+    rows = tr.chain_order(nodes(spark), "t", "pos").orderBy("position").collect()
     assert [(r.id, r.depth) for r in rows] == [(1, 0), (3, 1), (2, 1), (4, 2), (5, 0), (6, 0), (12, 0), (13, 1), (10, 0), (11, 1)]
 
 
