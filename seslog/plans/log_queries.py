@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from seslog.functions.js import text_at
-from seslog.functions.staging import staging_root
+from seslog.functions.staging import stage, staging_root
+from seslog.operators import goals as gl
+from seslog.operators import normalize as nz
+from seslog.operators import sessions as ss
 from seslog.operators import turns as tn
-from seslog.plans.conversation_queries import assembly, records, turned
+from seslog.plans.conversation_queries import assembly, cached, records, turned
 from seslog.plans.registry import query
 from seslog.plans.views import CONVERSATION_EPOCH_S, table, with_ctes
 from seslog.sources import logs, ranges, sinks
@@ -225,3 +228,136 @@ def t4_calls(spark, sf):
     clock = lambda s: spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit("t").alias("turn_id"), F.lit("c").alias("call_id"), F.col("id").alias("event_index"), F.lit("end").alias("part"), stamped(F.lit(s)).alias("ts"))
     end = 400 * 86_400
     return streamed(spark, [events.filter("event_index % 2 = 0"), events.filter("event_index % 2 = 1"), clock(end), clock(end + 86_400)], schema, lambda s: st.pair_calls(s, delay="350 days"))
+
+
+# --- turns that were broken off, empty turns, goals -------------------------------------------------------------------------
+def _flat(df, *rows):
+    """The records of each conversation row: (event_index, JSON text), those without a text left out."""
+    lines = F.array(*[F.struct(index.cast("long").alias("event_index"), line.alias("line")) for index, line in rows])
+    return df.select("session_id", F.inline(lines)).filter("line IS NOT NULL")
+
+
+def _json(**fields):
+    return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
+
+
+def _message(kind, text):
+    return _json(type=F.lit("event_msg"), payload=F.struct(F.lit(kind).alias("type"), text.alias("message")))
+
+
+GOAL_ID = "0a0a0a0a-0a0a-4a0a-8a0a-0a0a0a0a0a0a"
+THREAD = "00000000-0000-4000-8000-"
+PI_TEMPLATE, THREAD_TEMPLATE = "Goal: {objective} ({goal_id})", "GO {objective} used {tokens_used} end"
+
+
+def _broken_off(conv):
+    """Session a: every prompt is aborted at once and asked again."""
+    t, user, text = F.col("turn"), F.col("role") == "user", F.col("text")
+    rows = conv.withColumn("session_id", F.concat(F.lit("a"), F.col("conv_id").cast("string")))
+    return _flat(rows, (t * 3, F.when(user, _message("user_message", text)).otherwise(_message("agent_message", text))),
+                 (t * 3 + 1, F.when(user, _json(type=F.lit("event_msg"), payload=F.struct(F.lit("turn_aborted").alias("type"))))), (t * 3 + 2, F.when(user, _message("user_message", text))))
+
+
+def _empty_turns(conv):
+    """Session b: each row is a task of its own; every third has no context, every other one no message."""
+    t = F.col("turn")
+    rows = conv.withColumn("session_id", F.concat(F.lit("b"), F.col("conv_id").cast("string")))
+    mark = lambda kind: _json(type=F.lit("event_msg"), payload=F.struct(F.lit(kind).alias("type"), F.concat(F.lit("t"), t.cast("string")).alias("turn_id")))
+    context = _json(type=F.lit("turn_context"), payload=F.struct(F.concat(F.lit("t"), t.cast("string")).alias("turn_id"), F.concat(F.lit("/w/"), t.cast("string")).alias("cwd")))
+    return _flat(rows, (t * 4, mark("task_started")), (t * 4 + 1, F.when(t % 3 != 1, context)), (t * 4 + 2, F.when(t % 2 == 0, _message("user_message", F.col("text")))), (t * 4 + 3, mark("task_complete")))
+
+
+def _pi_goals(conv):
+    """Session p: a goal state per row; after every other one its packet, after the others an ordinary message."""
+    t, s = F.col("turn"), F.struct
+    rows = conv.withColumn("session_id", F.concat(F.lit("p"), F.col("conv_id").cast("string")))
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    ident = F.concat(F.lit("g"), t.cast("string"))
+    goal = s(F.lit(GOAL_ID).alias("id"), F.col("text").alias("text"), F.lit("active").alias("status"), *[F.lit(1).alias(k) for k in ("startedAt", "updatedAt", "iteration", "tokensUsed", "timeUsedSeconds", "baselineTokens")])
+    state = _json(type=F.lit("custom"), customType=F.lit("goal-state"), id=ident, data=s(goal.alias("goal")))
+    said = F.when(t % 2 == 0, F.concat(F.lit("Goal: "), escaped, F.lit(f" ({GOAL_ID})"))).otherwise(F.col("text"))
+    packet = _json(type=F.lit("message"), id=F.lit("u"), parentId=ident, message=s(F.lit("user").alias("role"), F.array(s(F.lit("text").alias("type"), said.alias("text"))).alias("content")))
+    header = rows.select("session_id").distinct().select("session_id", F.lit(0).cast("long").alias("event_index"), F.lit('{"type":"session","version":3}').alias("line"))
+    return header.unionByName(_flat(rows, (t * 2 + 1, state), (t * 2 + 2, packet)))
+
+
+def _thread_goals(conv):
+    """Threads with a goal update per row and a packet behind it; every third packet tells fewer tokens than the goal has used."""
+    t, s = F.col("turn"), F.struct
+    rows = conv.withColumn("session_id", F.concat(F.lit(THREAD), F.lpad(F.col("conv_id").cast("string"), 12, "0")))
+    thread = F.col("session_id")
+    goal = s(thread.alias("threadId"), F.col("text").alias("objective"), F.lit("active").alias("status"), (t * 10).alias("tokensUsed"), F.lit(0).alias("timeUsedSeconds"), F.lit(0).alias("createdAt"), t.alias("updatedAt"))
+    update = _json(type=F.lit("event_msg"), payload=s(F.lit("thread_goal_updated").alias("type"), thread.alias("threadId"), goal.alias("goal")))
+    tokens = t * 10 + F.when(t % 3 == 2, -1).otherwise(1)
+    said = F.concat(F.lit("GO "), "text", F.lit(" used "), tokens.cast("string"), F.lit(" end"))
+    packet = _json(type=F.lit("response_item"), payload=s(F.lit("message").alias("type"), F.lit("user").alias("role"), F.array(s(F.lit("input_text").alias("type"), said.alias("text"))).alias("content"),
+                                                         s(thread.alias("turn_id")).alias("internal_chat_message_metadata_passthrough")))
+    header = rows.select("session_id").distinct().select("session_id", F.lit(0).cast("long").alias("event_index"), _json(type=F.lit("session_meta"), payload=s(thread.alias("id"), thread.alias("session_id"))).alias("line"))
+    return header.unionByName(_flat(rows, (t * 2 + 1, update), (t * 2 + 2, packet)))
+
+
+@cached("told")
+def told(spark, sf):
+    """All four kinds of sessions, normalized once."""
+    conv = table(spark, sf, "conversations")
+    lines = _broken_off(conv).unionByName(_empty_turns(conv)).unionByName(_pi_goals(conv)).unionByName(_thread_goals(conv))
+    return stage(nz.normalize(logs.parse_records(lines.withColumns({"line_number": F.col("event_index") + 1, "blank": F.lit(False)}))))
+
+
+@cached("told-turns")
+def told_turns(spark, sf):
+    return tn.assemble(tn.slim_events(told(spark, sf).filter("session_id LIKE 'a%' OR session_id LIKE 'b%'")))
+
+
+@query("c10_aborted_resume", """SELECT 'a' || conv_id AS session_id, turn * 3 + 2 AS source_index, trim(text, E' \\t\\n\\r') AS text FROM conversations WHERE role = 'user'""")
+def c10(spark, sf):
+    """Of a prompt that was broken off and asked again only the second one stays."""
+    return told_turns(spark, sf).items.filter("session_id LIKE 'a%' AND type = 'user-message'").select("session_id", "source_index", "text")
+
+
+@query("c11_turn_context", """SELECT 'b' || conv_id AS session_id, 't' || turn AS turn_id, CASE WHEN turn % 3 <> 1 THEN '/w/' || turn END AS cwd, 1 - turn % 2 AS n_items FROM conversations WHERE turn % 3 <> 1 OR turn % 2 = 0""")
+def c11(spark, sf):
+    """Turns with a context or an item stay."""
+    return told_turns(spark, sf).turns.filter("session_id LIKE 'b%'").select("session_id", "turn_id", "cwd", "n_items")
+
+
+@query("c13_goal_packets_message", """SELECT 'p' || conv_id AS session_id, turn * 2 + 1 + k AS event_index, CASE k WHEN 0 THEN 'suppress-state' ELSE 'objective' END AS goal_kind, CASE k WHEN 1 THEN text END AS goal_text
+  FROM conversations, (VALUES (0), (1)) v(k) WHERE turn % 2 = 0""")
+def c13(spark, sf):
+    return gl.message_goals(told(spark, sf).filter("session_id LIKE 'p%'"), [gl.Template("start", PI_TEMPLATE)])
+
+
+ACCEPTED_SQL = f"g AS (SELECT '{THREAD}' || lpad(CAST(conv_id AS VARCHAR), 12, '0') AS session_id, turn, text, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS nth FROM conversations WHERE turn % 3 <> 2 AND trim(text) <> '')"
+
+
+@query("c14_goal_packets_thread", with_ctes(ACCEPTED_SQL, "SELECT session_id, turn * 2 + 2 AS event_index, CASE WHEN nth = 1 THEN 'objective' ELSE 'suppress' END AS goal_kind, CASE WHEN nth = 1 THEN text END AS goal_text FROM g"))
+def c14(spark, sf):
+    return gl.thread_goals(told(spark, sf).filter(F.col("session_id").startswith(THREAD)), THREAD_TEMPLATE)
+
+
+@query("c16_title_correction", with_ctes(ACCEPTED_SQL, f"""SELECT '{THREAD}' || lpad(CAST(conv_id AS VARCHAR), 12, '0') AS id,
+  CASE WHEN conv_id % 2 = 0 THEN coalesce((SELECT arg_min(text, turn) FROM g WHERE g.session_id = '{THREAD}' || lpad(CAST(c.conv_id AS VARCHAR), 12, '0') AND nth = 1), 'GO on') ELSE text END AS title FROM conversations c WHERE turn = 0"""))
+def c16(spark, sf):
+    """Every other session is titled by a packet; it gets its first objective instead."""
+    ident = F.concat(F.lit(THREAD), F.lpad(F.col("conv_id").cast("string"), 12, "0"))
+    sessions = table(spark, sf, "conversations").filter("turn = 0").select(ident.alias("id"), F.when(F.col("conv_id") % 2 == 0, "GO on").otherwise(F.col("text")).alias("title"))
+    return ss.correct_titles(sessions, gl.first_objectives(c14(spark, sf)), "GO ")
+
+
+@query("c18_session_rows", """SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN c_mktsegment WHEN c_custkey % 2 = 0 THEN 'said ' || c_name ELSE 'c' || c_custkey END AS title,
+  CASE WHEN c_custkey % 3 < 2 THEN '/home/' || c_nationkey END AS cwd, CASE WHEN c_custkey % 3 < 2 AND c_custkey % 2 = 0 THEN 'up' || c_nationkey END AS parent_session_id,
+  CASE WHEN c_custkey % 3 = 0 THEN 1704067200000 + c_custkey * 1000 ELSE c_custkey END AS updated_ms, CASE WHEN c_custkey % 5 = 0 THEN 'completed' END AS status, c_custkey % 2 = 1 AS archived, c_nationkey + 1 AS size_bytes FROM customer""")
+def c18(spark, sf):
+    """Index entry before metadata before the log's own title before the file's name."""
+    rows = table(spark, sf, "customer").withColumn("session_id", F.concat(F.lit("c"), F.col("c_custkey").cast("string")))
+    key, empty = F.col("c_custkey"), F.lit("")
+    nation = F.col("c_nationkey").cast("string")
+    files = rows.select("session_id", F.concat(F.lit("/r/"), "session_id", F.lit(".jsonl")).alias("file_path"), key.alias("mtime_ms"), (F.col("c_nationkey") + 1).alias("file_size"), (key % 2 == 1).alias("archived"))
+    metadata = rows.filter("c_custkey % 3 < 2").select(
+        "session_id", F.col("c_mktsegment").alias("title"), F.concat(F.lit("/home/"), nation).alias("cwd"), F.when(key % 2 == 0, F.concat(F.lit("/p/up"), nation, F.lit(".jsonl"))).alias("parent_session"),
+        *[empty.alias(c) for c in ("originator", "model", "reasoning_effort", "source", "thread_source", "model_provider", "timestamp")])
+    titles = rows.select("session_id", F.when(key % 2 == 0, F.concat(F.lit("said "), "c_name")).alias("title"))
+    index = rows.filter("c_custkey % 3 = 0").select(F.col("session_id").alias("id"), F.col("c_name").alias("name"), F.date_format(F.timestamp_seconds(F.lit(CONVERSATION_EPOCH_S) + key), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"))
+    status = rows.filter("c_custkey % 5 = 0").select("session_id", F.lit("completed").alias("status"))
+    made = ss.assemble_sessions(files, metadata, titles, index, status)
+    return made.select("id", "title", "cwd", "parent_session_id", "updated_ms", "status", "archived", "size_bytes")
