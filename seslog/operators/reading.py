@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from seslog.functions.ordered import EVENTS_PER_BLOCK, event_block, last_value, next_value, ordered_scan, running_sum
 from seslog.functions.text import contains_text, first_line, nonempty, normalize_text
 from seslog.operators.stats import ERROR_WORDS
+from seslog.operators.trace import skill_declaration, skill_read
 
 TURN = ["session_id", "turn_index"]
+TURN_FILTERS = ("all", "message", "tool", "compact", "skill", "system", "error")
 
 
 def _words(*columns: str) -> Column:
@@ -167,30 +169,37 @@ def clean_turn_title(text: Column) -> Column:
 
 
 def turn_content_filter(turns: DataFrame, items: DataFrame, kind: str = "all", text: str = "", children: DataFrame | None = None) -> DataFrame:
-    """Turns by content: all, message, tool (has children), compact, system, error; with an optional text.
+    """Turns by content: all, message, tool (has children), compact, skill, system (any context event), error; with an optional text.
 
-    A text matches when the turn's id or status, or one of its messages or context events, contains it.
+    A text matches when the turn's id or status, or one of its messages or context events, contains it. Context events are
+    compactions, declared skills and reads of a skill's file.
     """
+    if kind not in TURN_FILTERS:
+        raise ValueError(f"turn filter {kind!r} is none of {TURN_FILTERS}")
     type_ = F.col("type")
     message = type_.isin("user-message", "assistant-message") & (normalize_text(F.col("text")) != "")
-    event = type_ == "context-compact"
+    declared = (type_ == "user-message") & skill_declaration(F.col("text")).isNotNull()
+    read = (type_ == "tool-call") & skill_read(F.col("name"), F.col("arguments")).isNotNull()
+    skill = F.coalesce(declared | read, F.lit(False))
+    compact = type_ == "context-compact"
+    event = compact | skill
     needle = text.lower()
     shown = F.lower(F.coalesce("text", F.lit("")))
     flags = items.filter(message | event).groupBy(*TURN).agg(
-        F.max(message).alias("__message"), F.max(event).alias("__event"),
+        F.max(message).alias("__message"), F.max(event).alias("__event"), F.max(compact).alias("__compact"), F.max(skill).alias("__skill"),
         F.max(shown.contains(needle)).alias("__hit"), F.max(shown.rlike(ERROR_WORDS)).alias("__error"))
     head = F.lower(F.concat_ws(" ", "turn_id", "status"))
     rows = turns.join(flags, TURN, "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     found = F.lit(True) if not text else (yes("__hit") | head.contains(needle))
     rule = {
-        "all": found, "message": yes("__message") & found, "compact": yes("__event") & found, "system": yes("__event") & found,
+        "all": found, "message": yes("__message") & found, "compact": yes("__compact") & found, "skill": yes("__skill") & found, "system": yes("__event") & found,
         "error": (yes("__error") | head.rlike(ERROR_WORDS)) & found,
     }
     if kind == "tool":
         kept = rows.join(children.select(*TURN).distinct(), TURN, "left_semi")
     else:
-        kept = rows.filter(rule.get(kind, F.lit(False)))
+        kept = rows.filter(rule[kind])
         if children is not None:
             kept = kept.unionByName(rows.join(children.select(*TURN).distinct(), TURN, "left_semi")).dropDuplicates(TURN)
     return kept.select(*turns.columns)

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seslog.functions.ordered import (
-    EVENTS_PER_BLOCK, event_block, following_row, last_value, next_value, ordered_scan, previous_row, running_max, running_sum,
+    DAY_MS, EVENTS_PER_BLOCK, event_block, following_row, last_value, next_value, ordered_scan, previous_row, running_max, running_sum,
 )
 from seslog.functions.staging import stage
 from seslog.functions.text import byte_tokens, joined_text
+from seslog.operators.intervals import complete, covered_time
 from seslog.operators.timejoin import sum_within
 from seslog.operators.timing import half_up
 
@@ -141,6 +142,16 @@ def session_bounds(turns: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def session_times(bounds: DataFrame, intervals: DataFrame, waits: DataFrame, width_ms: int = DAY_MS) -> DataFrame:
+    """bounds with active_ms, the time covered by its intervals, and waiting_ms, that covered by its waits for input; 0 where there is none.
+
+    intervals and waits: session_id, start_ms, end_ms; those without both bounds, or that end before they start, do not count.
+    """
+    covered = lambda rows, name: covered_time(complete(rows), ["session_id"], width_ms).select("session_id", F.col("covered_ms").alias(name))
+    rows = bounds.join(covered(intervals, "active_ms"), "session_id", "left").join(covered(waits, "waiting_ms"), "session_id", "left")
+    return rows.fillna(0, ["active_ms", "waiting_ms"])
+
+
 def context_changes(snapshots: DataFrame, block: Column, order: list[str], percent: str = "percent") -> DataFrame:
     """Change against the snapshot before, one decimal, rounded half up."""
     rows = ordered_scan(snapshots, ["session_id"], block, order, __previous=previous_row(F.col(percent)))
@@ -170,8 +181,17 @@ def context_for_assistant(rows: DataFrame, keys: list[str], block: Column, order
     return scanned.filter(assistant).withColumn("context", F.coalesce(after, "__last")).drop("__next", "__last")
 
 
-def steps(intervals: DataFrame, id_column: str) -> DataFrame:
-    """Intervals in event order, those without an event last."""
-    return intervals.withColumn("result_kind", F.when(F.col("tokens").isNotNull(), "recorded")).orderBy(
-        "session_id", F.col("event_index").asc_nulls_last(), id_column
-    )
+def steps(intervals: DataFrame, id_column: str, contexts: DataFrame | None = None) -> DataFrame:
+    """Intervals in event order, those without an event last.
+
+    contexts (session_id, id_column, event_index, percent, delta_percent, snap_ms) gives the context of the waits for a model; other
+    steps have none.
+    """
+    rows = intervals.withColumn("result_kind", F.when(F.col("tokens").isNotNull(), "recorded"))
+    if contexts is not None:
+        cells = ("percent", "delta_percent", "snap_ms")
+        found = contexts.select("session_id", id_column, "event_index", F.struct(*cells).alias("__c"))
+        waits = F.col("bucket") == "llm_wait"
+        rows = rows.join(found, ["session_id", id_column, "event_index"], "left").withColumns({c: F.when(waits, F.col(f"__c.{c}")) for c in cells}).drop("__c")
+        rows = rows.withColumn("context_source", F.when(F.col("percent").isNotNull(), "recorded"))
+    return rows.orderBy("session_id", F.col("event_index").asc_nulls_last(), id_column)

@@ -104,6 +104,22 @@ def nearest(
     return both.select(*keys, "__p.*", best.alias("__b")).select(*keys, *cells, *[F.col(f"__b.{v}").alias(v) for v in values])
 
 
+def closest_context(targets: DataFrame, snapshots: DataFrame, keys: Sequence[str], width_ms: int = DAY_MS) -> DataFrame:
+    """Targets (keys, t, ord, own_percent, *) with percent, delta_percent and snap_ms.
+
+    A target with a context of its own takes the snapshot of its event, if that has the same percent, else its own
+    without a change; one without takes the snapshot nearest in time. Snapshots: keys, t, ord, percent, delta_percent, snap_ms.
+    """
+    keys = list(keys)
+    own = targets.filter("own_percent IS NOT NULL")
+    exact = snapshots.groupBy(*keys, "ord", F.col("percent").alias("own_percent")).agg(F.min_by(F.struct("delta_percent", "snap_ms"), "t").alias("__s"))
+    found = own.join(exact, [*keys, "ord", "own_percent"], "left").select(
+        *targets.columns, F.col("own_percent").alias("percent"), F.col("__s.delta_percent").alias("delta_percent"), F.col("__s.snap_ms").alias("snap_ms"))
+    others = nearest(targets.filter("own_percent IS NULL AND t IS NOT NULL"), snapshots, keys, ["percent", "delta_percent", "snap_ms"], width_ms)
+    timeless = targets.filter("own_percent IS NULL AND t IS NULL")
+    return found.unionByName(others).unionByName(timeless, allowMissingColumns=True)
+
+
 def sum_within(
     intervals: DataFrame, points: DataFrame, keys: Sequence[str], width_ms: int = DAY_MS
 ) -> DataFrame:
@@ -151,4 +167,4 @@ def greatest_overlap(
     return shared.groupBy(*keys, "segment_id").agg(best.alias("b")).select(*keys, "segment_id", "b.span_id", "b.overlap_ms")
 
 
-__all__ = ["first_covering", "greatest_overlap", "nearest", "running_min", "sum_within"]
+__all__ = ["closest_context", "first_covering", "greatest_overlap", "nearest", "running_min", "sum_within"]

@@ -440,3 +440,23 @@ def h13(spark, sf):
     return table(spark, sf, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("event_index"),
         evidence_id(F.lit("local logs"), F.col("conv_id"), turn=F.col("turn") + 1, event=F.col("turn"), entity="event").alias("evidence_id"))
+
+
+SKILL_SQL = """i AS (SELECT conv_id AS session_id, turn // 3 AS turn_index, (turn % 4 = 0 AND role = 'user') OR turn % 4 = 1 AS skill FROM conversations)"""
+
+
+def _skill_turns(spark, sf, kind):
+    """Every fourth row declares a skill, where a user says it, every fourth reads a skill's file."""
+    n, text = F.col("turn") % 4, F.col("text")
+    declared = F.when(n == 0, F.concat(F.lit('<skill name="n" location="/s/SKILL.md">do it</skill>\n'), text)).otherwise(text)
+    type_ = F.when(n == 1, "tool-call").when(F.col("role") == "user", "user-message").otherwise("assistant-message")
+    items = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.floor(F.col("turn") / 3).alias("turn_index"), type_.alias("type"), declared.alias("text"),
+        F.when(n == 1, "read").alias("name"), F.when(n == 1, F.to_json(F.struct(F.concat(F.lit("C:\\s\\"), F.col("role"), F.lit("\\Skill.md")).alias("path")))).alias("arguments"))
+    turns = items.select("session_id", "turn_index").distinct().withColumns({"turn_id": F.lit("t"), "status": F.lit("waiting")})
+    return rd.turn_content_filter(turns, items, kind).select("session_id", "turn_index")
+
+
+@query("g8_skill_filter", with_ctes(SKILL_SQL, "SELECT session_id, turn_index FROM i GROUP BY 1, 2 HAVING bool_or(skill)"))
+def g8_skill(spark, sf):
+    return _skill_turns(spark, sf, "skill")

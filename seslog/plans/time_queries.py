@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seslog.functions.ordered import DAY_MS, event_block, last_value, ordered_scan, running_sum, with_position
+from seslog.functions.staging import stage
 from seslog.operators import responses as rs
 from seslog.operators import timejoin as tj
 from seslog.operators.stats import event_counts, error_counts, event_statistics, latest_window, with_share
@@ -350,3 +351,60 @@ def s4(spark, sf):
 
 
 __all__ = ["event_counts", "last_value"]
+
+
+# --- times of a session, contexts of a step ---------------------------------------------------------------------------------
+COVERED = """SELECT session_id, sum(greatest(e - greatest(s, coalesce(m, s)), 0)) AS ms FROM (SELECT *, max(e) OVER (PARTITION BY session_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {0}) GROUP BY 1"""
+
+
+@query("f12_active_and_waiting", with_ctes(EVT_TURNS_SQL, """e AS (SELECT session_id, min(ts_ms) AS f, max(ts_ms) AS l FROM evt_events GROUP BY 1)""",
+  """t AS (SELECT session_id, arg_min(started_ms, turn_index) AS s FROM evt_turns GROUP BY 1)""",
+  """w AS (SELECT session_id, last_assistant_ms AS s, lead(first_user_ms) OVER (PARTITION BY session_id ORDER BY turn_index) AS e FROM evt_turns)""",
+  """wait AS (SELECT * FROM w WHERE e > s)""",
+  """run AS (SELECT session_id, ts_ms AS s, lead(ts_ms, 3) OVER (PARTITION BY session_id ORDER BY event_index) AS e, kind FROM evt_events)""",
+  """iv AS (SELECT * FROM run WHERE kind = 'function_call' AND e IS NOT NULL)""",
+  "a AS (" + COVERED.format("iv") + ")", "b AS (" + COVERED.format("wait") + ")",
+  """SELECT e.session_id, coalesce(t.s, f) AS start_ms, l AS end_ms, l - coalesce(t.s, f) AS wall_ms, coalesce(a.ms, 0) AS active_ms, coalesce(b.ms, 0) AS waiting_ms
+  FROM e LEFT JOIN t USING (session_id) LEFT JOIN a USING (session_id) LEFT JOIN b USING (session_id)"""))
+def f12_times(spark, sf):
+    """A call runs until the third event after it, so calls overlap; a wait is from an answer to the next request."""
+    turned = stage(evt_turned(spark, sf))
+    turns = stage(evt_turns(turned))
+    ends = turned.select("session_id", (F.col("event_index") - 3).alias("event_index"), F.col("ts_ms").alias("end_ms"))
+    calls = turned.filter("kind = 'function_call'").select("session_id", "event_index", F.col("ts_ms").alias("start_ms")).join(ends, ["session_id", "event_index"], "left")
+    return rs.session_times(rs.session_bounds(turns, turned), calls, rs.input_waits(turns), WIDE)
+
+
+CONTEXT_SQL = EVT_EVENTS_SQL + """,
+ s AS (SELECT session_id, event_index, ts_ms AS snap_ms, percent, percent - lag(percent) OVER (PARTITION BY session_id ORDER BY event_index) AS delta_percent FROM evt_events WHERE kind = 'token_count'),
+ q AS (SELECT session_id, event_index, ts_ms, kind, CASE WHEN kind = 'token_count' THEN percent + event_id % 2 END AS own FROM evt_events WHERE kind IN ('token_count', 'agent_message')),
+ j AS (SELECT q.session_id, q.event_index, s.percent, s.delta_percent, snap_ms, row_number() OVER (PARTITION BY q.session_id, q.event_index ORDER BY abs(snap_ms - ts_ms), snap_ms, s.event_index) AS rn
+   FROM q LEFT JOIN s USING (session_id) WHERE own IS NULL),
+ c AS (SELECT session_id, event_index, percent, delta_percent, snap_ms FROM j WHERE rn = 1
+   UNION ALL SELECT q.session_id, q.event_index, own, s.delta_percent, s.snap_ms FROM q LEFT JOIN s ON s.session_id = q.session_id AND s.event_index = q.event_index AND s.percent = own WHERE own IS NOT NULL)"""
+
+
+def _contexts(spark, sf):
+    rows = stage(evt_events(spark, sf))
+    snaps = rows.filter("kind = 'token_count'").select("session_id", "event_index", F.col("ts_ms").alias("t"), F.col("event_index").alias("ord"), "percent", F.col("ts_ms").alias("snap_ms"))
+    changed = rs.context_changes(snaps, event_block(), ["event_index"])
+    own = F.when(F.col("kind") == "token_count", F.col("percent") + F.col("event_id") % 2)
+    targets = rows.filter("kind IN ('token_count', 'agent_message')").select("session_id", "event_index", F.col("ts_ms").alias("t"), F.col("event_index").alias("ord"), own.alias("own_percent"))
+    found = tj.closest_context(targets, changed.drop("event_index"), ["session_id"], WIDE)
+    return rows, found.select("session_id", "event_index", "percent", "delta_percent", "snap_ms")
+
+
+@query("d11_exact_or_nearest", with_ctes(CONTEXT_SQL, "SELECT session_id, event_index, percent, delta_percent, snap_ms FROM c"))
+def d11_exact(spark, sf):
+    """Half of the token events find the snapshot of their own event, the others keep their own value; answers take the nearest."""
+    return _contexts(spark, sf)[1]
+
+
+@query("f18_step_contexts", with_ctes(CONTEXT_SQL, """SELECT e.session_id, e.event_id, e.event_index, CASE WHEN e.kind = 'agent_message' THEN c.percent END AS percent, CASE WHEN e.kind = 'agent_message' THEN c.delta_percent END AS delta_percent,
+  CASE WHEN e.kind = 'agent_message' THEN c.snap_ms END AS snap_ms, CASE WHEN e.kind = 'agent_message' AND c.percent IS NOT NULL THEN 'recorded' END AS context_source FROM evt_events e LEFT JOIN c USING (session_id, event_index)"""))
+def f18_contexts(spark, sf):
+    """Every event a step; answers are waits for a model and show the context nearest to them."""
+    rows, found = _contexts(spark, sf)
+    intervals = rows.select("session_id", "event_id", "event_index", "tokens", F.when(F.col("kind") == "agent_message", "llm_wait").otherwise("tool_execution").alias("bucket"))
+    contexts = found.join(rows.select("session_id", "event_index", "event_id"), ["session_id", "event_index"])
+    return rs.steps(intervals, "event_id", contexts).select("session_id", "event_id", "event_index", "percent", "delta_percent", "snap_ms", "context_source")
