@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seslog.functions.staging import stage
+
 EVENTS_PER_BLOCK = 65_536
 DAY_MS = 86_400_000
 
@@ -124,3 +126,14 @@ def time_block(column: str, width_ms: int = DAY_MS) -> Column:
 def with_position(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], name: str) -> DataFrame:
     """0-based position of each row within its key."""
     return ordered_scan(df, keys, block, order, **{name: running_sum(F.lit(1).cast("long"), before=True)})
+
+
+def positions(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """The rows of a sorted DataFrame with their 0-based places: places within a part, and few rows of how many parts before hold."""
+    placed = stage(ordered.withColumn("__mark", F.monotonically_increasing_id()))
+    part = F.shiftright("__mark", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__part", before.alias("__start")))  # one row a part
+    inside = F.col("__mark").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__part", part).join(starts, "__part").withColumn(name, (F.col("__start") + inside).cast("long")).drop("__part", "__start", "__mark")

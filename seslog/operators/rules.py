@@ -167,6 +167,7 @@ def classify(calls: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame
 
     ``calls`` comes from with_call_context and may carry title, summary, output and patch_summary. The rules are few
     and known when the plan is made, so they become one ordered chain of conditions that stays in the scan stage.
+    ``rule_summary`` is for display, at most 220 characters; ``target`` is whole, so calls that differ late stay apart.
     """
     have = set(calls.columns)
     opt = lambda c: F.coalesce(c, F.lit("")) if c in have else F.lit("")
@@ -203,14 +204,14 @@ def classify(calls: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame
     templates = " ".join(r.title + r.summary for r, _ in usable)
     values = {k: v for k, v in values.items() if "{" + k + "}" in templates}
     rows = rows.withColumn("rule_title", clean_filled(fill_template(pick("title"), values)))
-    fallback = first_line(first_nonempty(F.col("command"), F.coalesce("arguments", F.lit("")), opt("summary")), 220)
+    fallback = first_line(first_nonempty(F.col("command"), F.coalesce("arguments", F.lit("")), opt("summary")))
     filled = clean_filled(fill_template(pick("summary"), {**values, "title": F.col("rule_title")}))
     matched = F.col("__rule").isNotNull()
     return rows.withColumns({
         "matched": matched, "rule_id": pick("id"), "rule_label": pick("label"),
         "rule_title": F.when(matched, F.coalesce(nonempty(F.col("rule_title")), nonempty(F.col("__tool")), F.lit("工具调用"))),
-        "rule_summary": first_line(
+        "__whole": first_line(
             F.when(matched, F.coalesce(nonempty(filled), nonempty(F.col("path")), nonempty(F.col("query")), fallback))
-            .otherwise(first_nonempty(F.col("command"), F.coalesce("arguments", F.lit("")), opt("summary"), output)), 220),
-    }).withColumn("target", F.coalesce(nonempty(F.col("rule_summary")), nonempty(F.col("path")), nonempty(F.col("command")), nonempty(F.col("__tool")), F.lit("工具调用"))).drop(
-        "__text", "__tool", "__rule")
+            .otherwise(first_nonempty(F.col("command"), F.coalesce("arguments", F.lit("")), opt("summary"), output))),
+    }).withColumn("rule_summary", first_line(F.col("__whole"), 220)).withColumn("target", F.coalesce(nonempty(F.col("__whole")), nonempty(F.col("path")), nonempty(F.col("command")), nonempty(F.col("__tool")), F.lit("工具调用"))).drop(
+        "__text", "__tool", "__rule", "__whole")

@@ -106,7 +106,7 @@ TOOL_SORTS = {
 
 def sort_tool_statistics(statistics: DataFrame, sort: str) -> DataFrame:
     first = TOOL_SORTS.get(sort, TOOL_SORTS["output-bytes"])()
-    return statistics.orderBy(first, F.col("context_tokens").desc(), F.col("target").asc())
+    return statistics.orderBy(first, F.col("context_tokens").desc(), F.col("target").asc(), F.col("rule_id").asc())
 
 
 def latest_window(rows: DataFrame, order: Column) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from seslog.functions import redact
 from seslog.functions import text as tx
+from seslog.functions.ordered import positions
+from seslog.functions.staging import stage
 from seslog.operators import outputs as op
 from seslog.operators import rules as rl
 from seslog.operators import stats
@@ -66,10 +68,10 @@ def k2(spark, sf):
 
 
 @query("k4_command_path_query", with_ctes(CALLS_SQL, """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN arguments WHEN 1 THEN 'cd x && rg -n -g *.py ''a b'' src/' || session_id WHEN 2 THEN 'git status --short' WHEN 3 THEN 'npm run test'
-   WHEN 5 THEN 'cat ''my dir/' || session_id || '.txt''' END AS command, CASE doc_id % 6 WHEN 0 THEN session_id || '/' || doc_id % 40 || '.txt' WHEN 1 THEN 'src/' || session_id WHEN 5 THEN 'my dir/' || session_id || '.txt' ELSE '' END AS path,
-   CASE doc_id % 6 WHEN 1 THEN 'a b' ELSE '' END AS "query" FROM doc_calls WHERE doc_id % 6 <> 4"""))
+   WHEN 4 THEN trim(regexp_replace(arguments, '\\s+', ' ', 'g')) WHEN 5 THEN 'cat ''my dir/' || session_id || '.txt''' END AS command, CASE doc_id % 6 WHEN 0 THEN session_id || '/' || doc_id % 40 || '.txt' WHEN 1 THEN 'src/' || session_id WHEN 5 THEN 'my dir/' || session_id || '.txt' ELSE '' END AS path,
+   CASE doc_id % 6 WHEN 1 THEN 'a b' ELSE '' END AS "query" FROM doc_calls"""))
 def k4(spark, sf):
-    return rl.with_call_context(doc_calls(spark, sf).filter("name <> 'apply_patch'")).select("doc_id", "command", "path", "query")
+    return rl.with_call_context(doc_calls(spark, sf)).select("doc_id", "command", "path", "query")
 
 
 @query("k5_file_changes", with_ctes(CALLS_SQL, """p AS (SELECT doc_id FROM doc_calls WHERE name = 'apply_patch')""",
@@ -185,19 +187,26 @@ def e6(spark, sf):
     return tool_statistics(spark, sf).drop("max_output_tokens", "max_output_share").withColumn("window_share", F.round("window_share", 6))
 
 
-@query("e7_tool_sort_orders", with_ctes(CALLS_SQL, MATCH_SQL, f"t AS ({TOOL_SQL})", """SELECT rule_id, target, window_share, context_tokens FROM t ORDER BY window_share DESC, context_tokens DESC, target LIMIT 40"""))
+E7_ORDERS = {"context-share": "window_share DESC", "max-output": "max_output_bytes DESC", "target": "target", "output-bytes": "output_bytes DESC"}
+
+
+@query("e7_tool_sort_orders", with_ctes(CALLS_SQL, MATCH_SQL, f"t AS ({TOOL_SQL})", " UNION ALL ".join(
+    f"SELECT '{name}' AS sort, row_number() OVER (ORDER BY {first}, context_tokens DESC, target, rule_id) - 1 AS position, rule_id, target, context_tokens FROM t" for name, first in E7_ORDERS.items())))
 def e7(spark, sf):
-    """The head of the list, so that the order is part of the result."""
-    ordered = stats.sort_tool_statistics(tool_statistics(spark, sf), "context-share")
-    return ordered.limit(40).select("rule_id", "target", F.round("window_share", 6).alias("window_share"), "context_tokens")
+    """All rows in each of the four orders, with their places."""
+    rows = stage(tool_statistics(spark, sf))
+    placed = [positions(stats.sort_tool_statistics(rows, name)).withColumn("sort", F.lit(name)) for name in E7_ORDERS]
+    all_orders = placed[0]
+    for other in placed[1:]:
+        all_orders = all_orders.unionByName(other)
+    return all_orders.select("sort", "position", "rule_id", "target", "context_tokens")
 
 
-@query("b10_data_uri_redaction", """SELECT doc_id, text || ' [redacted data URI image/png ~' || (doc_id % 7 * 3 + 3) || ' bytes] [redacted data URI application/octet-stream ~' || (doc_id % 5 + 1) || ' bytes]' AS text FROM documents WHERE text NOT LIKE '%data:%'""")
+@query("b10_data_uri_redaction", """SELECT doc_id, text || ' [redacted data URI image/png ~' || (doc_id % 7 * 3 + 3) || ' bytes] [redacted data URI application/octet-stream ~' || (doc_id % 5 + 1) || ' bytes]' AS text FROM documents""")
 def b10(spark, sf):
     image = F.concat(F.lit("data:image/png;base64,"), F.repeat(F.lit("QUJD"), (F.col("doc_id") % 7 + 1).cast("int")))
     plain = F.concat(F.lit("data:,"), F.repeat(F.lit("x"), (F.col("doc_id") % 5 + 1).cast("int")))
-    rows = table(spark, sf, "documents").filter(~F.col("text").contains("data:"))
-    return rows.select("doc_id", redact.redact_data_uris(F.concat_ws(" ", "text", image, plain)).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", redact.redact_data_uris(F.concat_ws(" ", "text", image, plain)).alias("text"))
 
 
 @query("b11_redacted_json", """SELECT doc_id, '{"encrypted_content":"[encrypted_content redacted length=' || n_chars % 90 || ']","image":"[redacted data URI image/gif ~3 bytes]"}' AS record FROM documents""")

@@ -188,10 +188,10 @@ def s2(spark, sf):
     return shaped(spark, sf).filter("raw_type = 'message' AND size(tool_calls) = 0").select(*KEY, nz.content_text(content, ("text", "value")).alias("text"))
 
 
-@query("s8_producer_truncation", "SELECT doc_id, doc_id % 3 = 0 AS truncated FROM documents WHERE NOT regexp_matches(text, '(?i)truncated|已截断')")
+@query("s8_producer_truncation", "SELECT doc_id, doc_id % 3 = 0 OR regexp_matches(text, '(?i)\\btruncated\\b|已截断') AS truncated FROM documents")
 def s8(spark, sf):
-    rows = table(spark, sf, "documents").filter(~F.col("text").rlike("(?i)truncated|已截断"))
-    return rows.select("doc_id", sinks.truncation_mark(F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\n[output truncated]").otherwise(""))).alias("truncated"))
+    """Every third text with a mark behind it; others may say the word themselves."""
+    return table(spark, sf, "documents").select("doc_id", sinks.truncation_mark(F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\n[output truncated]").otherwise(""))).alias("truncated"))
 
 
 @query("s9_template_fill", "SELECT doc_id, 'read ' || source || ' (' || lang || ')' AS line FROM documents")
@@ -211,10 +211,10 @@ def c8(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tn.merge_output(first, second).alias("output"))
 
 
-@query("c20_skill_declarations", """SELECT doc_id, 'skill' || doc_id % 9 AS name, '/skills/' || source AS location, trim(text, E' \\t\\n\\r') AS instruction, 'do it' AS user_text FROM documents WHERE doc_id % 2 = 0 AND text NOT LIKE '%</skill>%'""")
+@query("c20_skill_declarations", """SELECT doc_id, 'skill' || doc_id % 9 AS name, '/skills/' || source AS location, trim(text, E' \\t\\n\\r') AS instruction, 'do it' AS user_text FROM documents WHERE doc_id % 2 = 0""")
 def c20(spark, sf):
     block = F.concat(F.lit('<skill name="skill'), (F.col("doc_id") % 9).cast("string"), F.lit('" location="/skills/'), F.col("source"), F.lit('/">\n'), F.col("text"), F.lit("\n</skill>\n do it "))
-    rows = table(spark, sf, "documents").filter(~F.col("text").contains("</skill>")).select("doc_id", trace.skill_declaration(F.when(F.col("doc_id") % 2 == 0, block).otherwise(F.col("text"))).alias("d"))
+    rows = table(spark, sf, "documents").select("doc_id", trace.skill_declaration(F.when(F.col("doc_id") % 2 == 0, block).otherwise(F.col("text"))).alias("d"))
     return rows.filter("d IS NOT NULL").select("doc_id", "d.name", "d.location", "d.instruction", "d.user_text")
 
 
