@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seslog.functions.ordered import EVENTS_PER_BLOCK, event_block, last_value, next_value, ordered_scan, running_sum
+from seslog.functions.ordered import DAY_MS, EVENTS_PER_BLOCK, event_block, last_value, next_value, ordered_scan, running_max, running_sum, time_block
+from seslog.functions.staging import stage
 from seslog.functions.text import contains_text, first_line, nonempty, normalize_text
+from seslog.operators.contains import contained_names
 from seslog.operators.stats import ERROR_WORDS
 from seslog.operators.trace import skill_declaration, skill_read
 
 TURN = ["session_id", "turn_index"]
+# The item types a replaced entry may stand for, and how much of an item's text its entry has to hold.
+TARGET_TYPES = ("user-message", "assistant-message", "tool-call", "reasoning")
+SAME_BEGIN = 80
 TURN_FILTERS = ("all", "message", "tool", "compact", "skill", "system", "error")
 
 
@@ -266,19 +271,42 @@ def entry_targets(entries: DataFrame, items: DataFrame) -> DataFrame:
         [*TURN, wanted_id]).select(*key, "turn_index", "item_index", F.lit(rank).alias("rank"), F.lit(0).cast("long").alias("pos"))
     first = by_id(F.col("message_id"), "__mid", 0).unionByName(by_id(F.col("call_id"), "__cid", 1))
     open_entries = base.join(first.select(*key).distinct(), key, "left_anti")
-    # Items of one turn against the entries of one compaction that point into it.
-    candidates = open_entries.join(slim.filter("item_type IN ('user-message', 'assistant-message', 'tool-call', 'reasoning')"), TURN).filter(
-        F.col("__wanted").isNull() | (F.col("__wanted") == F.col("item_type")))
-    holds = (F.col("__preview") != "") & (F.contains("__text", F.col("__preview")) | F.contains(F.col("__preview"), F.substring("__text", 1, 80)))
-    picked = candidates.groupBy(*key, "turn_index").agg(
-        F.min(F.when(holds, F.col("item_index"))).alias("held"), F.count(F.lit(1)).alias("n"), F.min("item_index").alias("lo"), F.max("item_index").alias("hi"),
-        F.max(F.when(F.col("ts_ms") <= F.col("__ts"), F.col("item_index"))).alias("before"), F.max("__role").alias("role"))
-    chosen = F.coalesce("held", F.when(F.col("n") == 1, F.col("lo")), "before", F.when(F.col("role") == "assistant", F.col("hi")).otherwise(F.col("lo")))
-    second = picked.select(*key, "turn_index", chosen.alias("item_index"))
+    second = _fitting_items(open_entries, slim.filter(F.col("item_type").isin(*TARGET_TYPES)), key)
     best = first.groupBy(*key, "turn_index").agg(F.min_by("item_index", "rank").alias("item_index"))
     return best.unionByName(second)
 
 
+def _fitting_items(entries: DataFrame, items: DataFrame, key: list[str], width_ms: int = DAY_MS) -> DataFrame:
+    """The item of each entry among those of its turn and type, found without pairing entries with items.
+
+    Texts are matched by the name index in both directions, once for every distinct preview; the last item not later
+    than an entry comes from one time line of both. Entries without a type look among all items: these are counted as
+    items of the type `any`, too.
+    """
+    group = F.concat_ws(":", F.col("session_id").cast("string"), F.col("turn_index").cast("string"))
+    typed = stage(items.withColumns({"__group": group, "__type": F.explode(F.array("item_type", F.lit("any")))}))
+    asked = stage(entries.withColumns({"__group": group, "__type": F.coalesce("__wanted", F.lit("any"))}))
+    texts = typed.filter("__type = 'any'")
+    previews = asked.select("__group", "__preview").filter("__preview <> ''").distinct()
+    inside = contained_names(texts, previews, "__group", ["item_index"], "__text", "__preview")
+    heads = typed.select("__group", F.substring("__text", 1, SAME_BEGIN).alias("__head"), "__type", "item_index").groupBy("__group", "__head", "__type").agg(F.min("item_index").alias("item_index"))
+    around = contained_names(previews.withColumn("__p", F.col("__preview")), heads, "__group", ["__p"], "__preview", "__head").withColumnRenamed("__p", "__preview")
+    # an item without any text is held by every preview
+    blank = heads.filter("__head = ''").join(previews, "__group").select("__group", "__preview", "__type", "item_index")
+    held = (
+        inside.join(typed.select("__group", "item_index", "__type"), ["__group", "item_index"]).select("__group", "__preview", "__type", "item_index")
+        .unionByName(around.join(heads, ["__group", "__head"]).select("__group", "__preview", "__type", "item_index")).unionByName(blank)
+        .groupBy("__group", "__preview", "__type").agg(F.min("item_index").alias("held")))
+    ends = typed.groupBy("__group", "__type").agg(F.count("*").alias("n"), F.min("item_index").alias("lo"), F.max("item_index").alias("hi"))
+    line = typed.filter("ts_ms IS NOT NULL").select("__group", "__type", F.col("ts_ms").alias("__t"), F.lit(0).alias("__side"), "item_index").unionByName(
+        asked.filter("__ts IS NOT NULL").select("__group", "__type", F.col("__ts").alias("__t"), F.lit(1).alias("__side"), F.struct(*key).alias("__key")), allowMissingColumns=True)
+    scanned = ordered_scan(line, ["__group", "__type"], time_block("__t", width_ms), ["__t", "__side"], before=running_max(F.col("item_index")))
+    before = scanned.filter("__side = 1").select("__key.*", "before")
+    rows = asked.join(ends, ["__group", "__type"]).join(held, ["__group", "__preview", "__type"], "left").join(before, key, "left")
+    chosen = F.coalesce("held", F.when(F.col("n") == 1, F.col("lo")), "before", F.when(F.col("__role") == "assistant", F.col("hi")).otherwise(F.col("lo")))
+    return rows.select(*key, "turn_index", chosen.alias("item_index"))
+
+
 def owners(items: DataFrame, block_size: int = EVENTS_PER_BLOCK) -> DataFrame:
     """The message each item belongs to: itself, the previous answer, else the next one."""
     spoken = (F.col("type") == "assistant-message") & (normalize_text(F.col("text")) != "")
