@@ -18,7 +18,10 @@ from seslog.plans.views import CONVERSATION_EPOCH_S, table, with_ctes
 from seslog.sources import logs, ranges, sinks
 from seslog.streaming import stateful as st
 
-NONE = F.lit(None).cast("string")
+
+def none():
+    return F.lit(None).cast("string")
+
 
 
 def folder(spark, name: str) -> str:
@@ -29,7 +32,7 @@ def log_lines(spark, sf, where=None):
     """The conversations' records as lines of one file a session, below the folder `where` gives."""
     name = F.concat(F.col("session_id").cast("string"), F.lit(".jsonl"))
     lines = records(spark, sf).select("session_id", "event_index", "line")
-    return lines.select(F.concat_ws("/", *([] if where is None else [where]), name).alias("file"), "event_index", "line", NONE.alias("unfinished"))
+    return lines.select(F.concat_ws("/", *([] if where is None else [where]), name).alias("file"), "event_index", "line", none().alias("unfinished"))
 
 
 def spoken_text():
@@ -116,7 +119,7 @@ def t1(spark, sf):
     root, out = folder(spark, "t1"), folder(spark, "t1-out")
     whole = log_lines(spark, sf)
     # the fourth record is half-written: its bytes are there, its newline is not
-    half = whole.filter("event_index = 3").select("file", "event_index", NONE.alias("line"), F.expr("left(line, length(line) div 2)").alias("unfinished"))
+    half = whole.filter("event_index = 3").select("file", "event_index", none().alias("line"), F.expr("left(line, length(line) div 2)").alias("unfinished"))
     for lines in (whole.filter("event_index < 3").unionByName(half), whole):
         sinks.write_logs(lines, f"{root}/logs")
         stream = ranges.stream_records(spark, f"{root}/logs").select("session_id", "byte_start", "is_valid", spoken_text().alias("text"))
@@ -133,7 +136,7 @@ def a9(spark, sf):
     stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     line = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(F.struct(key, F.col("o_orderpriority").alias("thread_name"), stamp.alias("updated_at")))).otherwise(
         F.to_json(F.struct(key, F.col("o_orderpriority").alias("name"), stamp.alias("updatedAt"))))
-    sinks.write_logs(table(spark, sf, "orders").select(F.lit("session_index.jsonl").alias("file"), F.col("o_orderkey").alias("event_index"), line.alias("line"), NONE.alias("unfinished")), root)
+    sinks.write_logs(table(spark, sf, "orders").select(F.lit("session_index.jsonl").alias("file"), F.col("o_orderkey").alias("event_index"), line.alias("line"), none().alias("unfinished")), root)
     return logs.session_index(spark, root)
 
 
@@ -159,8 +162,8 @@ def a19(spark, sf):
     built = assembly(spark, sf)
     span = events(spark, sf).groupBy("session_id").agg(F.min("ts_ms").alias("start_ms"), (F.max("ts_ms") - F.min("ts_ms")).alias("wall_ms"))
     sessions = span.join(c15(spark, sf), "session_id", "left").join(tn.session_status(built.turns), "session_id", "left")
-    none = F.lit(None).cast("long")
-    nodes = built.turns.select("session_id", F.col("turn_index").alias("line_no"), F.lit(0).alias("depth"), F.col("turn_id").alias("title"), F.col("started_ms").alias("start_ms"), none.alias("duration_ms"))
+    untimed = F.lit(None).cast("long")
+    nodes = built.turns.select("session_id", F.col("turn_index").alias("line_no"), F.lit(0).alias("depth"), F.col("turn_id").alias("title"), F.col("started_ms").alias("start_ms"), untimed.alias("duration_ms"))
     items = built.items.select("session_id", "turn_index", "item_index", "type", "text", "name", "arguments", "output")
     path = folder(spark, "a19")
     sinks.write_packed_report(sinks.report_lines(sessions, nodes, items), path)
@@ -194,7 +197,7 @@ def t2(spark, sf):
     events = table(spark, sf, "conversations").filter("role <> 'system'").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("event_index"), kind.alias("kind"), F.lit(None).cast("string").alias("role"), stamped(F.col("turn") * 30).alias("ts"))
     schema = "session_id long, event_index long, kind string, role string, ts timestamp"
-    clock = lambda s: spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.col("id").alias("event_index"), F.lit("token_count").alias("kind"), NONE.alias("role"), stamped(F.lit(s)).alias("ts"))
+    clock = lambda s: spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.col("id").alias("event_index"), F.lit("token_count").alias("kind"), none().alias("role"), stamped(F.lit(s)).alias("ts"))
     end = 40 * 86_400
     changes = streamed(spark, [events.filter("event_index % 2 = 0"), events.filter("event_index % 2 = 1"), clock(end), clock(end + 60)], schema, lambda s: st.live_status(s, delay="10 days"), "update")
     return st.latest_status(changes).filter("session_id >= 0")
