@@ -393,6 +393,7 @@ def _entry_text(value: Column, depth: int = 0) -> Column:
     scalar = scalar_text(value)
     if depth == HISTORY_DEPTH:
         return F.when(value.isNull(), "").otherwise(F.coalesce(scalar, F.when(is_object(value), hidden), F.lit("")))
+    # The keys under which a history value carries text, in order.
     keys = ("text", "value", "message", "content", "summary", "output", "input", "arguments")
     inside = F.when(is_array(value), elements(value)).otherwise(F.array_compact(F.array(*[field(value, k) for k in keys])))
     # one branch for both kinds, so that the expression grows with the depth and does not double at each level
@@ -401,6 +402,7 @@ def _entry_text(value: Column, depth: int = 0) -> Column:
     return F.when(value.isNull(), "").otherwise(F.coalesce(scalar, F.when(is_object(value), hidden), inner, F.lit("")))
 
 
+# The same of a history entry.
 HISTORY_KEYS = ("content", "message", "text", "value", "output", "arguments")
 
 

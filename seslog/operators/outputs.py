@@ -104,6 +104,7 @@ def patch_lines(calls: DataFrame, keys: Sequence[str], block_size: int = EVENTS_
 
 
 # --- command outputs --------------------------------------------------------------------------------------------------------------
+# Lines and words of command outputs that are known by their form.
 SCAFFOLD = r"(?i)^(?:(?:Chunk ID|Wall time|Original token count):.*|Process exited with code\s+-?\d+.*|Output:\s*)$"
 EXIT_CODE = r"(?i)(?:Process exited with code|exit code|exitCode)\s*[:=]?\s*(-?\d+)"
 VERIFY_COMMAND = (
@@ -125,6 +126,7 @@ COUNT_PATTERNS = {
     "fail": (r"(?i)#\s*fail\s+(\d+)", r"(?i)\b(\d+)\s+failed\b", r"(?i)\bfail(?:ed)?\s+(\d+)"),
     "error": (r"(?i)#\s*errors?\s+(\d+)", r"(?i)\b(\d+)\s+errors?\b", r"(?i)\berrors?\s+(\d+)"),
 }
+# Fixed value: the lines of a test run that are shown.
 KEY_LINE = r"(?i)#\s*(?:tests|pass|fail|duration_ms)\b|Test Files|Tests\b|Duration|Time:"
 
 
@@ -167,6 +169,7 @@ def command_sources(calls: DataFrame) -> DataFrame:
     return rows.withColumn("category", F.when(empty, None).when(git, "git_status").when(search, "search").when(verify, "verification"))
 
 
+# Headings and line forms of a status listing.
 SECTIONS = {"Changes to be committed:": "staged", "Changes not staged for commit:": "unstaged", "Untracked files:": "untracked", "Unmerged paths:": "conflict"}
 LONG_FORM = r"(?i)^(modified|new file|deleted|renamed|copied|both modified|both deleted|added by us|deleted by them):\s+(.+)$"
 SHORT_FORM = r"^([ MADRCU?!]{1,2})\s+(.+)$"

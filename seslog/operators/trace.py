@@ -155,6 +155,7 @@ def _one_child_per_call(told: DataFrame, named: DataFrame, taken: DataFrame) ->
     return narrow.groupBy("session_id").cogroup(queues.groupBy("owner")).applyInPandas(fold, schema)
 
 
+# The keys under which a notification names its agent.
 NOTICE_KEYS = ("agent_path", "agentPath", "agent_id", "agentId", "thread_id", "threadId")
 
 
@@ -193,6 +194,7 @@ def notification_matches(events: DataFrame, children: DataFrame) -> DataFrame:
 
 def notification_summary(payload: Column) -> Column:
     """State and first body text of a notification object (JSON text)."""
+    # Fixed values below: the words that tell a state, and the places of a body, in order.
     doc = F.try_parse_json(payload)
     own = lambda k: F.try_variant_get(doc, f"$.{k}", "variant")
     nested = lambda k: F.try_variant_get(doc, f"$.status.{k}", "variant")

@@ -19,6 +19,7 @@ from seslog.functions.staging import stage
 from seslog.functions.text import SPACE, first_line, nonempty, slashes, strip_long_path_prefix
 
 TAIL_BYTES = 96 * 1024
+# Fixed value: the id at the end of a log's file name.
 UUID_TAIL = r"(?i)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
 
 
