@@ -1,29 +1,37 @@
-"""LM scoring: a trigram model of all words and n-grams of the training texts, kept as Spark tables.
+"""LM scoring: a trigram model of all words and n-grams of the training texts, asked through Elias-Fano tries.
 
 Words are runs of other than space and ASCII control blanks, A-Z lower-cased; each text ends with one end token. Every
-word, bigram and trigram that is counted is kept, singletons too, at any corpus size; the tables grow with the corpus and
-neither a task nor the driver holds one as a whole. Only words with a share of 2^-18 or more (at most 2^18) are known to
+word, bigram and trigram that is counted is kept, singletons too, at any corpus size; the model grows with the corpus and
+neither a task nor the driver holds it as a whole. Only words with a share of 2^-18 or more (at most 2^18) are known to
 every task, so that their counts need no join; the counts are the same either way.
 
 p(word | context) interpolates by absolute discounting: (c - D) / n of the context, and the mass D * kinds / n goes to the
 shorter context; below it is (c + 1) / (N + V + 1), where all unseen words are one more word. A context that was never
-seen gives its shorter one. Probabilities are worked out once per distinct trigram, by joins on hashes of its contexts, and
-then joined to the texts' trigrams.
+seen gives its shorter one.
 
-`learn_trie` makes a bounded model (words above 2^-16, n-grams above 2^-20) as one flat buffer; scores do not use it.
+Each block of texts sends its trigrams, sorted and packed (a few bytes each), to ranges of the middle word: the bigram and
+both contexts of a trigram have the same middle word, so a range knows all it needs. It builds one trie of the training
+n-grams, maps it, asks it for all trigrams it was sent and returns sums per text; the texts themselves move nowhere. A
+range gets about `range_tokens` tokens. A middle word of more than `hot` tokens is split by the word before it (the begin
+of a text by the word after it), and its bigram counts, summed beforehand, are sent to all its ranges. One pair of words
+is not split: the trigrams of a pair meet in one task.
 
-Defined cases: a null or empty text is its end token; a null id is training; repeated rows count each; without
-training texts every word is unknown and log10 p is 0 in both scores; other columns are not read. Words and contexts are
-compared by 64-bit hashes.
+A trie's probabilities have codes of `bits` bits. They are exact where a level of a range has at most 2^bits different
+values; else each is the mean of a share of 2^-bits of the level's sorted values.
+
+Defined cases: a null or empty text is its end token; a null held_out is training; repeated rows count each; without
+training texts every word is unknown and log10 p is 0 in both scores; other columns are not read. Words are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,28 +39,58 @@ from seslog.llm import trie as tries
 from seslog.llm.arrowtext import Words, blocks, mix
 from seslog.llm.common import stage
 
-KNOWN_SHARE, WORD_SHARE, NGRAM_SHARE = 18, 16, 20
+KNOWN_SHARE = 18
 DISCOUNT = 0.75
+RANGE_TOKENS, HOT, BITS = 1 << 20, 1 << 19, 16
 END = np.uint64(0xE4D0F7E87)  # the end token among word hashes
 BEGIN, NONE = np.uint64(0xBE617), np.uint64(0x9017E)  # what stands before a text's first token, and before that
-FLUSH = 1 << 21
+FLUSH, BLOCK = 1 << 21, 8 << 20
+TEXT, PAIRS, ROWS = 0, 1, 2  # kinds of pieces
+PIECE = "range int, kind int, block long, rare binary, v binary, u binary, w binary, row binary, extra binary"
 
 
 @dataclass
 class Lexicon:
-    """Frequent words by hash: their counts and their numbers in the model (0: the class of the others)."""
+    """Frequent words by hash: training counts, ranks by frequency, and over how many ranges each is split as a middle word."""
 
     words: np.ndarray
     counts: np.ndarray
-    numbers: np.ndarray
+    ranks: np.ndarray
+    parts: np.ndarray
+    begin_parts: int
+    ranges: int
     total: int
     distinct: int
-    size: int  # words of the model; their numbers are 1..size, and size + 1 stands for the begin of a text
+
+    @property
+    def begin(self) -> int:
+        """The number of the begin of a text; the next is what stands before it, then come the rare words of a piece."""
+        return len(self.words)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
         return at, (self.words[at] == hashes) if len(self.words) else np.zeros(len(hashes), dtype=bool)
 
+    def parts_of(self, middle: np.ndarray) -> np.ndarray:
+        at, known = self.find(middle)
+        parts = np.where(known, self.parts[at], 1) if len(self.words) else np.ones(len(middle), dtype=np.int64)
+        parts[middle == BEGIN] = self.begin_parts
+        return parts
+
+    def range_of(self, middle: np.ndarray, part: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix(mix(middle) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.ranges)).astype(np.int32)
+
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words, and the sorted hashes of the rare ones among them, whose numbers follow each other."""
+        at, known = self.find(hashes)
+        out = np.where(known, self.ranks[at], 0) if len(self.words) else np.zeros(len(hashes), dtype=np.int64)
+        out[hashes == BEGIN], out[hashes == NONE] = self.begin, self.begin + 1
+        other = ~known & (hashes != BEGIN) & (hashes != NONE)
+        rare, inverse = np.unique(hashes[other], return_inverse=True)
+        out[other] = self.begin + 2 + inverse
+        return out, rare
+
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens with each text's end, and where texts begin."""
@@ -65,238 +103,322 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _tally(keys_of: Callable[[pa.Array], np.ndarray]):
-    """(key, c): how often each key occurs, combined inside a task before rows leave it."""
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens: the second token before, the token before, the token, and where texts begin."""
+    word, first = _tokens(column)
+    before, second = np.empty_like(word), np.empty_like(word)
+    before[1:], second[2:] = word[:-1], word[:-2]
+    starts = first[:-1]
+    before[starts] = BEGIN
+    second[starts], second[starts[np.diff(first) > 1] + 1] = NONE, BEGIN
+    return second, before, word, first
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+def _training(batch: pa.RecordBatch) -> np.ndarray:
+    return ~batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
 
-        def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "c"])
 
-        for batch in blocks(batches, "text"):
-            held.append(np.unique(keys_of(batch.column(0)), return_counts=True))
-            if sum(len(k) for k, _ in held) > 2 * FLUSH:
-                held = [merged()]
-                if len(held[0][0]) > FLUSH:
-                    yield rows(*held.pop())
-        if held:
-            yield rows(*merged())
+def _text(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column(batch.schema.get_field_index("text"))
 
-    return run
 
+def _ranges(lexicon: Lexicon, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The range of each trigram."""
+    parts = lexicon.parts_of(v)
+    part = np.zeros(len(v), dtype=np.uint64)
+    split = parts > 1
+    part[split] = mix(np.where(v[split] == BEGIN, w[split], u[split])) % parts[split].astype(np.uint64)
+    return lexicon.range_of(v, part)
 
-def _counted(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    return texts.mapInArrow(_tally(keys_of), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
+# --- words ------------------------------------------------------------------------------------------------------------
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, c, m): how often each word occurs in training texts and in all, combined inside a task before rows leave it."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-def _numbers(lexicon: Lexicon, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Model numbers of all tokens, and of the one and two tokens before (-1: none)."""
-    hashes, first = _tokens(column)
-    at, known = lexicon.find(hashes)
-    word = np.where(known, lexicon.numbers[at] if len(lexicon.words) else 0, 0).astype(np.int64)
-    before, second = np.empty_like(word), np.empty_like(word)
-    before[1:], second[2:] = word[:-1], word[:-2]
-    starts = first[:-1]
-    before[starts] = lexicon.size + 1
-    follow = starts[np.diff(first) > 1] + 1
-    second[:1] = -1
-    second[starts], second[follow] = -1, lexicon.size + 1
-    return word, before, second
-
-
-def learn_words(texts: DataFrame) -> tuple[DataFrame, Lexicon]:
-    """The count table of all training words, and the frequent ones."""
-    counts = stage(_counted(texts, lambda column: _tokens(column)[0]))
-    facts = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = facts.n or 0, facts.v
-    rows = counts.filter(F.col("c") * F.lit(1 << KNOWN_SHARE) >= total).toPandas()
+    def combined(keys, c, m) -> tuple[np.ndarray, ...]:
+        keys, inverse = np.unique(keys, return_inverse=True)
+        return keys, *(np.bincount(inverse, weights=x, minlength=len(keys)).astype(np.int64) for x in (c, m))
+
+    def rows(keys: np.ndarray, c: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c), pa.array(m)], ["key", "c", "m"])
+
+    for batch in blocks(batches, "text"):
+        word, first = _tokens(_text(batch))
+        held.append(combined(word, np.repeat(_training(batch), np.diff(first)), np.ones(len(word))))
+        if sum(len(x[0]) for x in held) > 2 * FLUSH:
+            held = [combined(*(np.concatenate(x) for x in zip(*held)))]
+            if len(held[0][0]) > FLUSH:
+                yield rows(*held.pop())
+    if held:
+        yield rows(*combined(*(np.concatenate(x) for x in zip(*held))))
+
+
+def learn_words(source: DataFrame, range_tokens: int = RANGE_TOKENS, hot: int = HOT) -> tuple[DataFrame, Lexicon]:
+    """The count table (key, c, m) of all words of source (held_out, text), and the frequent ones."""
+    tallied = source.select("held_out", "text").mapInArrow(_tally, "key long, c long, m long")
+    counts = stage(tallied.groupBy("key").agg(F.sum("c").alias("c"), F.sum("m").alias("m")))
+    facts = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum("m").alias("all")).first()
+    every = facts["all"] or 0
+    rows = counts.filter(F.col("m") * F.lit(1 << KNOWN_SHARE) >= every).toPandas()
     words = rows["key"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
-    words, found = words[order], rows["c"].to_numpy(dtype=np.int64)[order]
-    own = (found << WORD_SHARE) >= total
-    numbers = np.where(own, np.cumsum(own), 0)
-    return counts, Lexicon(words, found, numbers, total, distinct, int(own.sum()))
-
-
-def learn_trie(texts: DataFrame, lexicon: Lexicon) -> bytes:
-    """The trie of all training n-grams with enough share."""
-    spark, width = texts.sparkSession, lexicon.size + 2
-    shared = spark.sparkContext.broadcast(lexicon)
-
-    def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rows = counts.filter(F.col("c") * F.lit(1 << NGRAM_SHARE) >= max(lexicon.total, 2 << NGRAM_SHARE)).toPandas()
-        keys, c = rows["key"].to_numpy(dtype=np.int64), rows["c"].to_numpy(dtype=np.int64)
-        order = np.argsort(keys)
-        return keys[order], c[order]
-
-    def pairs(column: pa.Array) -> np.ndarray:
-        word, before, _ = _numbers(shared.value, column)
-        return before * width + word
-
-    keys, c2 = frequent(_counted(texts, pairs))
-    a, b = keys // width, keys % width
-    kept = spark.sparkContext.broadcast(keys)
-
-    def triples(column: pa.Array) -> np.ndarray:
-        word, before, second = _numbers(shared.value, column)
-        keys, some = kept.value, second >= 0
-        if not len(keys):
-            return np.zeros(0, dtype=np.int64)
-        context, last = second[some] * width + before[some], before[some] * width + word[some]
-        i = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-        j = np.minimum(np.searchsorted(keys, last), len(keys) - 1)
-        both = (keys[i] == context) & (keys[j] == last)
-        return i[both] * width + word[some][both]
-
-    keys3, c3 = frequent(_counted(texts, triples)) if len(keys) else (np.zeros(0, dtype=np.int64),) * 2
-    c, w = keys3 // width, keys3 % width
-
-    # how often each word is a context: every token but the end has a successor
-    found = np.zeros(width)
-    found[lexicon.numbers[lexicon.numbers > 0]] = lexicon.counts[lexicon.numbers > 0]
-    found[0] = lexicon.total - found.sum()
-    unigram = np.log10((found + 1) / (lexicon.total + width - 1))
+    words, c, m = words[order], rows["c"].to_numpy(dtype=np.int64)[order], rows["m"].to_numpy(dtype=np.int64)[order]
+    ranks = np.empty(len(m), dtype=np.int64)
+    ranks[np.lexsort((words, -m))] = np.arange(len(m))
+    lexicon = Lexicon(words, c, ranks, -(-m // hot), 1, max(1, -(-every // range_tokens)), facts.n or 0, facts.v)
     at, known = lexicon.find(np.array([END]))
-    texts_seen = float(lexicon.counts[at[0]]) if known[0] else float(np.sum(c2[a == width - 1]))
-    context = found.copy()
-    context[width - 1] = max(texts_seen, float(np.sum(c2[a == width - 1])))
+    lexicon.begin_parts = int(lexicon.parts[at[0]]) if known[0] else 1  # as many texts begin as end
+    return counts, lexicon
 
-    def left_over(sums: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return np.log10(np.clip(1 - np.divide(sums, of, out=np.zeros(len(of)), where=of > 0), 1e-9, 1))
 
-    backoff1 = left_over(np.bincount(a, weights=c2 - DISCOUNT, minlength=width), context)
-    p2 = np.log10((c2 - DISCOUNT) / context[a] + 10 ** (backoff1[a] + unigram[b])) if len(a) else np.zeros(0)
-    backoff2 = left_over(np.bincount(c, weights=c3 - DISCOUNT, minlength=len(a))[: len(a)], c2.astype(float))
-    lower = p2[np.searchsorted(keys, b[c] * width + w)] if len(c) else np.zeros(0)
-    p3 = np.log10((c3 - DISCOUNT) / c2[c] + 10 ** (backoff2[c] + lower)) if len(c) else np.zeros(0)
-    return tries.build(width, unigram, backoff1, (a, b, p2, backoff2), (c, w, p3))
+# --- packed pieces ----------------------------------------------------------------------------------------------------
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers or floats as compressed planes of bytes, each of the lowest, the second lowest and so on."""
+    if values.dtype.kind in "iu":
+        values = values.astype(np.uint32)
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
 
 
-def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens: a hash of the two tokens before, the token before, the token, and where texts begin."""
-    word, first = _tokens(column)
-    before, second = np.empty_like(word), np.empty_like(word)
-    before[1:], second[2:] = word[:-1], word[:-2]
-    starts = first[:-1]
-    before[starts] = BEGIN
-    second[starts], second[starts[np.diff(first) > 1] + 1] = NONE, BEGIN
-    with np.errstate(over="ignore"):
-        return mix(mix(second) * np.uint64(0x9E3779B97F4A7C15) + before), before, word, first
+def _unpacked(data: bytes, dtype=np.uint32) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=dtype)
+    n, width = int.from_bytes(data[:4], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(dtype).reshape(n)
 
 
-def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+def _rows_of_pieces(pieces: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*pieces), types)], names)
 
 
-def _tally_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, before, word, c) of the trigrams of all texts, combined inside a task; c counts training texts only."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _pieces(shared):
+    """Per block of texts: a packed run of trigrams for each range, and one piece with the rows' own columns."""
 
-    def merged() -> tuple[np.ndarray, ...]:
-        gram, context, before, word, c = (np.concatenate(x) for x in zip(*held))
-        gram, at, inverse = np.unique(gram, return_index=True, return_inverse=True)
-        return gram, context[at], before[at], word[at], np.bincount(inverse, weights=c).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon: Lexicon = shared.value
+        block = TaskContext.get().partitionId() << 32
+        for batch in blocks(batches, "text", BLOCK):
+            u, v, w, first = _grams(_text(batch))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            training = _training(batch)
+            place = _ranges(lexicon, u, v, w)
+            n = len(w)
+            numbers, rare = lexicon.numbers(np.concatenate((u, v, w)))
+            u, v, w = numbers[:n], numbers[n : 2 * n], numbers[2 * n :]
+            order = np.lexsort((row, w, u, v, place))
+            u, v, w, row, place = (x[order] for x in (u, v, w, row, place))
+            cuts = np.flatnonzero(np.diff(place, prepend=-1))
+            base = lexicon.begin + 2
+            out = []
+            for a, b in zip(cuts, np.append(cuts[1:], n)):
+                own = np.concatenate((u[a:b], v[a:b], w[a:b]))
+                used, inverse = np.unique(own[own >= base], return_inverse=True)
+                own[own >= base] = base + inverse
+                parts = own[: b - a], own[b - a : 2 * (b - a)], own[2 * (b - a) :]
+                # the middle words ascend, so their steps are small; rare words stand after the others
+                steps = np.diff(parts[1], prepend=0).astype(np.int64)
+                out.append((int(place[a]), TEXT, block, _packed(rare[used - base].view(np.float64)), _packed(steps.astype(np.int32)), _packed(parts[0]), _packed(parts[2]), _packed(row[a:b]), _packed(training[row[a:b]].astype(np.uint8))))
+            at, known = lexicon.find(hashes := _tokens(_text(batch))[0])
+            counted = known & (lexicon.counts[at] > 0) if len(lexicon.words) else known
+            logs = np.where(counted, np.log10(lexicon.counts[at] + 1.0), 0.0) if len(lexicon.words) else np.zeros(len(hashes))
+            sums = [pa.array(np.diff(first)), pa.array(np.add.reduceat(counted.astype(np.int64), first[:-1])), pa.array(np.add.reduceat(logs, first[:-1]))]
+            own = pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(~training), *sums], ["doc_id", "held_out", "n_tokens", "n_known", "logs"]
+            )
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(own)
+            out.append((int(mix(np.array([block], dtype=np.uint64))[0] % np.uint64(lexicon.ranges)), ROWS, block, None, None, None, None, None, sink.getvalue().to_pybytes()))
+            yield _rows_of_pieces(out)
+            block += 1
 
-    def rows(_, context, before, word, c) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (context, before, word)), pa.array(c)], ["context", "before", "word", "c"])
+    return run
 
-    for batch in blocks(batches, "text"):
-        context, before, word, first = _grams(batch.column(1))
-        training = np.repeat(~batch.column(0).to_numpy(zero_copy_only=False), np.diff(first))
-        held.append((_gram(context, word), context, before, word, training.astype(np.int64)))
-        if sum(len(x[0]) for x in held) > 2 * FLUSH:
-            held = [merged()]
-            if len(held[0][0]) > FLUSH:
-                yield rows(*held.pop())
-    if held:
-        yield rows(*merged())
-
-
-def _grams_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, context, word, m): the distinct trigrams of each text and how often it has them."""
-    for batch in blocks(batches, "text", 1 << 20):
-        context, _, word, first = _grams(batch.column(1))
-        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-        gram = _gram(context, word)
-        order = np.lexsort((gram, row))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (gram[order][1:] != gram[order][:-1]) | (row[order][1:] != row[order][:-1])
-        at = order[new]
-        m = np.diff(np.append(np.flatnonzero(new), len(order)))
-        ids = batch.column(0).to_numpy()[row[at]]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(context[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(m)], ["row", "context", "word", "m"])
-
-
-def learn_grams(source: DataFrame, counts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(context, word, p) of every trigram of all texts (held_out, text): log10 p of the word after its context, learned from
-    the texts that are not held out."""
-    grams = stage(source.select("held_out", "text").mapInArrow(_tally_grams, "context long, before long, word long, c long").groupBy("context", "before", "word").agg(F.sum("c").alias("c")))
-    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    discounted = lambda c, n, kinds, lower: (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * F.col(lower)) / F.col(n)
-    pairs = stage(grams.groupBy("before", "word").agg(F.sum("c").alias("c2")))
-    after = pairs.groupBy("before").agg(F.sum("c2").alias("n2"), seen("c2").alias("k2"))
-    words = counts.select(F.col("key").alias("word"), F.col("c").alias("c1"))
-    second = pairs.join(after, "before").join(words, "word", "left").withColumn("p1", (F.coalesce("c1", F.lit(0)) + 1) / F.lit(float(lexicon.total + lexicon.distinct + 1)))
-    second = second.select("before", "word", F.when(F.col("n2") > 0, discounted("c2", "n2", "k2", "p1")).otherwise(F.col("p1")).alias("p2"))
-    contexts = grams.groupBy("context").agg(F.sum("c").alias("n3"), seen("c").alias("k3"))
-    third = grams.join(contexts, "context").join(second, ["before", "word"])
-    # before a text's first token there is one context only
-    short = (F.col("before") == F.lit(int(BEGIN))) | (F.col("n3") == 0)
-    return third.select("context", "word", F.log10(F.when(short, F.col("p2")).otherwise(discounted("c", "n3", "k3", "p2"))).alias("p"))
-
-
-def _scores(shared):
-    """Per row: tokens, known ones and sum of log10(c + 1) as far as they are known here, and the hashes of the words that
-    must be looked up."""
+
+def _asked(shared):
+    """(range, key): the rare words whose counts a range needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shared.value
-        for batch in blocks(batches, "text"):
-            hashes, first = _tokens(batch.column(batch.schema.get_field_index("text")))
-            at, known = lexicon.find(hashes)
-            logs = np.where(known, np.log10(lexicon.counts[at] + 1.0) if len(lexicon.words) else 0.0, 0.0)
-            add = lambda x: np.add.reduceat(x, first[:-1])
-            rare = hashes[~known].view(np.int64)
-            ends = np.concatenate(([0], np.cumsum(add((~known).astype(np.int64))))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(batch.schema.get_field_index(x)) for x in ("row", "doc_id", "held_out")),
-                    pa.array(np.diff(first)),
-                    pa.array(add(known.astype(np.int64))),
-                    pa.array(add(logs)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)),
-                ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "rare"],
-            )
+        for batch in blocks(batches, "text", BLOCK):
+            u, v, w, _ = _grams(_text(batch))
+            rare = ~lexicon.find(w)[1]
+            place, w = _ranges(lexicon, u[rare], v[rare], w[rare]), w[rare]
+            order = np.lexsort((w, place))
+            place, w = place[order], w[order]
+            new = np.ones(len(w), dtype=bool)
+            new[1:] = (place[1:] != place[:-1]) | (w[1:] != w[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(place[new]), pa.array(w[new].view(np.int64))], ["range", "key"])
+
+    return run
+
+
+def _hot_pairs(shared):
+    """(v, w, c): training bigrams of the middle words that are split, combined per block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon: Lexicon = shared.value
+        for batch in blocks(batches, "text", BLOCK):
+            _, v, w, first = _grams(_text(batch))
+            some = (lexicon.parts_of(v) > 1) & np.repeat(_training(batch), np.diff(first))
+            order = np.lexsort((w[some], v[some]))
+            v, w = v[some][order], w[some][order]
+            new = np.ones(len(v), dtype=bool)
+            new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(np.diff(np.append(at, len(v))))], ["v", "w", "c"])
+
+    return run
+
+
+def _pairs_to_ranges(shared):
+    """Summed bigrams (v, w, c) as one piece for each range that has a part of v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon: Lexicon = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, w, c = (batch.column(k).to_numpy() for k in range(3))
+            v, w = v.view(np.uint64), w.view(np.uint64)
+            order = np.argsort(v, kind="stable")
+            v, w, c = v[order], w[order], c[order]
+            cuts = np.flatnonzero(np.diff(v, prepend=v[0] ^ np.uint64(1)) != 0)
+            for a, b in zip(cuts, np.append(cuts[1:], len(v))):
+                numbers, rare = lexicon.numbers(np.concatenate((v[a:b], w[a:b])))
+                data = (_packed(rare.view(np.float64)), _packed(numbers[: b - a]), None, _packed(numbers[b - a :]), None, _packed(c[a:b].astype(np.float64)))
+                parts = int(lexicon.parts_of(v[a : a + 1])[0])
+                ranges = np.unique(lexicon.range_of(np.repeat(v[a], parts), np.arange(parts)))
+                for k in range(0, len(ranges), 64):
+                    yield _rows_of_pieces([(int(r), PAIRS, 0, *data) for r in ranges[k : k + 64]])
+
+    return run
+
+
+# --- ranges -----------------------------------------------------------------------------------------------------------
+def learn_range(width: int, none: int, p1: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, pairs: tuple[np.ndarray, ...], bits: int = BITS) -> bytes:
+    """The trie of the training trigrams (u, v, w), one for each time they occur. Words have numbers below width; p1 are their own
+    probabilities; `none` is the number before the begin of a text. pairs (v, w, c) are the bigrams of words that have others elsewhere."""
+    counted = np.bincount(pairs[0], minlength=width) > 0
+    own = ~counted[v]
+    key2, c2 = np.unique(v[own] * width + w[own], return_counts=True)
+    key2, c2 = np.concatenate((key2, pairs[0] * width + pairs[1])), np.concatenate((c2, pairs[2])).astype(np.float64)
+    order = np.argsort(key2)
+    key2, c2 = key2[order], c2[order]
+    a, b = key2 // width, key2 % width
+    n2, k2 = np.bincount(a, weights=c2, minlength=width), np.bincount(a, minlength=width)
+    weight1 = np.divide(DISCOUNT * k2, n2, out=np.ones(width), where=n2 > 0)
+    p2 = (c2 - DISCOUNT) / n2[a] + weight1[a] * p1[b]
+
+    deep = u != none
+    contexts, place = np.unique(v[deep] * width + u[deep], return_inverse=True)
+    grams, c3 = np.unique(place * width + w[deep], return_counts=True)
+    at, last = grams // width, grams % width
+    n3, k3 = np.bincount(at, weights=c3, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
+    weight2 = DISCOUNT * k3 / np.maximum(n3, 1)
+    middle = contexts // width
+    below = np.searchsorted(key2, middle[at] * width + last)
+    p3 = (c3 - DISCOUNT) / n3[at] + weight2[at] * p2[below] if len(at) else np.zeros(0)
+    return tries.build(width, np.log10(weight1), (a, b, np.log10(p2)), (middle, contexts % width, np.log10(weight2)), (at, below, np.log10(p3)), bits)
+
+
+def _answers(shared, bits: int):
+    """Of one range: per block the sums of log10 p by row, and the known rare words of each row."""
+
+    def run(pieces: pa.Table, found: pa.Table) -> pa.Table:
+        lexicon: Lexicon = shared.value
+        base = lexicon.begin + 2
+        column = {name: pieces.column(name).to_pylist() for name in pieces.column_names}
+        kind = column["kind"]
+        rares = [_unpacked(x, np.float64).view(np.uint64) for x in column["rare"]]
+        words = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *rares]))
+        width = base + len(words)
+        c1 = np.zeros(width)
+        c1[lexicon.ranks] = lexicon.counts
+        known = found.column("key").to_numpy().view(np.uint64)
+        at = np.searchsorted(words, known)
+        c1[base + at] = found.column("c").to_numpy()
+        p1 = (c1 + 1) / (lexicon.total + lexicon.distinct + 1)
+
+        def numbered(data: bytes, k: int) -> np.ndarray:
+            return placed(_unpacked(data).astype(np.int64), k)
+
+        def placed(numbers: np.ndarray, k: int) -> np.ndarray:
+            rare = numbers >= base
+            numbers[rare] = base + np.searchsorted(words, rares[k][numbers[rare] - base])
+            return numbers
+
+        texts = [k for k, x in enumerate(kind) if x == TEXT]
+        hot = [k for k, x in enumerate(kind) if x == PAIRS]
+        joined = lambda parts, dtype=np.int64: np.concatenate([np.zeros(0, dtype=dtype), *parts])
+        middles = [placed(np.cumsum(_unpacked(column["v"][k]).view(np.int32), dtype=np.int64), k) for k in texts]
+        v = joined(middles)
+        u = joined([numbered(column["u"][k], k) for k in texts])
+        w = joined([numbered(column["w"][k], k) for k in texts])
+        training = joined([_unpacked(column["extra"][k]) for k in texts]).astype(bool)
+        pairs = (joined([numbered(column["v"][k], k) for k in hot]), joined([numbered(column["w"][k], k) for k in hot]), joined([_unpacked(column["extra"][k], np.float64) for k in hot], np.float64))
+        with tries.mapped(learn_range(width, lexicon.begin + 1, p1, u[training], v[training], w[training], pairs, bits)) as model:
+            start, out = 0, []
+            for k, middle in zip(texts, middles):
+                stop = start + len(middle)
+                last = w[start:stop]
+                logs = model.log10(u[start:stop], middle, last, np.log10(p1[last]))
+                row = _unpacked(column["row"][k]).astype(np.int64)
+                present, inverse = np.unique(row, return_inverse=True)
+                rare = (last >= base) & (c1[last] > 0)
+                out.append((column["block"][k], _packed(present), _packed(np.bincount(inverse, weights=logs).astype(np.float32)), _packed(row[rare]), _packed(np.log10(c1[last[rare]] + 1)), None))
+                start = stop
+        out += [(column["block"][k], None, None, None, None, column["extra"][k]) for k, x in enumerate(kind) if x == ROWS]
+        types = (pa.int64(), *[pa.binary()] * 5)
+        names = ["block", "row", "score", "rare_row", "rare_log", "own"]
+        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=names)
+
+    return run
+
+
+def _put_together(lexicon_total: int, lexicon_distinct: int):
+    """The rows of one block with the sums that its ranges returned."""
+    base = float(np.log10(lexicon_total + lexicon_distinct + 1))
+
+    def run(parts: pa.Table) -> pa.Table:
+        column = {name: parts.column(name).to_pylist() for name in parts.column_names}
+        own = pa.ipc.open_stream(next(x for x in column["own"] if x is not None)).read_all()
+        n_tokens, n_known, logs = (own.column(name).to_numpy().copy() for name in ("n_tokens", "n_known", "logs"))
+        score = np.zeros(len(n_tokens))
+        # always in the same order, so that the sums of floats are the same in every run
+        answers = sorted(x for x in zip(*(column[name] for name in ("row", "score", "rare_row", "rare_log"))) if x[0] is not None)
+        for row, value, rare_row, rare_log in answers:
+            np.add.at(score, _unpacked(row).astype(np.int64), _unpacked(value, np.float32).astype(np.float64))
+            at = _unpacked(rare_row).astype(np.int64)
+            np.add.at(n_known, at, 1)
+            np.add.at(logs, at, _unpacked(rare_log, np.float64))
+        total = pa.array(np.full(len(score), lexicon_total, dtype=np.int64))
+        return pa.table(
+            [own.column("doc_id"), own.column("held_out"), pa.array(n_tokens), pa.array(n_known), total, pa.array(logs - n_tokens * base), pa.array(score)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
     return run
 
 
-def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", range_tokens: int = RANGE_TOKENS, hot: int = HOT, bits: int = BITS) -> DataFrame:
     """One row per row of df; the model learns from the rows that are not held out."""
-    named = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    source = stage(named.withColumn("row", F.monotonically_increasing_id()))
-    counts, lexicon = learn_words(source.filter(~F.col("held_out")).select("text"))
-    grams = learn_grams(source, counts, lexicon)
-    scores = source.select("row", "text").mapInArrow(_grams_of_rows, "row long, context long, word long, m long").join(grams, ["context", "word"]).groupBy("row").agg(F.sum(F.col("m") * F.col("p")).alias("score"))
+    source = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counts, lexicon = learn_words(source, range_tokens, hot)
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
-    kind = dict(named.dtypes)["doc_id"]
-    rows = stage(source.mapInArrow(_scores(shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, rare array<long>"))
-    rare = rows.select("row", F.explode("rare").alias("key")).join(counts, "key")
-    found = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("seen"))
-    base = np.log10(lexicon.total + lexicon.distinct + 1)
-    return rows.drop("rare").join(found, "row", "left").join(scores, "row").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(lexicon.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(base))).alias("base_score"),
-        "score",
+    pieces = source.mapInArrow(_pieces(shared), PIECE)
+    if lexicon.begin_parts > 1 or (lexicon.parts > 1).any():
+        summed = source.select("held_out", "text").mapInArrow(_hot_pairs(shared), "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
+        pieces = pieces.unionByName(summed.mapInArrow(_pairs_to_ranges(shared), PIECE))
+    asked = source.select("text").mapInArrow(_asked(shared), "range int, key long").distinct()
+    found = asked.join(counts.filter("c > 0").select("key", "c"), "key").select("range", "key", "c")
+    answers = pieces.groupBy("range").cogroup(found.groupBy("range")).applyInArrow(_answers(shared, bits), "block long, row binary, score binary, rare_row binary, rare_log binary, own binary")
+    kind = dict(source.dtypes)["doc_id"]
+    return answers.groupBy("block").applyInArrow(
+        _put_together(lexicon.total, lexicon.distinct),
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -1,16 +1,20 @@
-"""An n-gram trie in flat, memory-mapped levels: Elias-Fano sequences and probabilities of eight bits.
-
-A level holds the children of all nodes of the level above, node by node. Per level there are two monotone sequences:
-where each node's children begin, and parent * width + child for all children; a child of the third level is not a word but
-the place of that word among the successors of the last context word (its context-relative number), which is much
-smaller. A search takes the high bits to a bucket of the sequence and looks for the low bits inside it.
+"""An n-gram trie in flat, memory-mapped levels: Elias-Fano sequences and quantised probabilities.
+
+The root's children are middle words. Below each there are the words that follow it, with their probabilities, and the words
+before it (its contexts), with the weight that each leaves to shorter contexts; below a context there are the words that follow
+both. A level holds the children of all nodes of the level above, node by node, as one monotone sequence of parent * width +
+child. A child of the deepest level is not a word but the place of that word among the successors of the middle word (its
+context-relative number), which is much smaller; a second sequence says where these begin. A search takes the high bits to a
+bucket of the sequence and looks for the low bits inside it.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import mmap
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -78,41 +82,38 @@ class Monotone:
         return out
 
 
-# --- eight-bit values -------------------------------------------------------------------------------------------------
-def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and the 256 centres (means of equal shares of the sorted values)."""
-    if not len(values):
-        return np.zeros(0, dtype=np.uint8), np.zeros(256)
-    ordered = np.sort(values)
-    edges = np.linspace(0, len(ordered), 257).astype(np.int64)
-    centres = np.array([ordered[a:b].mean() if b > a else ordered[min(a, len(ordered) - 1)] for a, b in zip(edges, edges[1:])])
-    return np.clip(np.searchsorted((centres[1:] + centres[:-1]) / 2, values), 0, 255).astype(np.uint8), centres
+# --- quantised values -------------------------------------------------------------------------------------------------
+def quantise(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their centres: the values themselves if they are few enough, else the means of equal shares of the sorted values."""
+    kind, size = np.uint8 if bits <= 8 else np.uint16, 1 << bits
+    centres = np.unique(values).astype(np.float64)
+    if len(centres) > size:
+        starts = np.arange(size, dtype=np.int64) * len(values) // size
+        centres = np.add.reduceat(np.sort(values), starts) / np.diff(np.append(starts, len(values)))
+    return np.searchsorted((centres[1:] + centres[:-1]) / 2, values).astype(kind), centres
 
 
 # --- the trie ---------------------------------------------------------------------------------------------------------
-def build(width: int, unigram: np.ndarray, backoff: np.ndarray, second: tuple, third: tuple) -> bytes:
-    """width: number of words. second: (first, word, log10 p, log10 backoff) sorted by (first, word); third: (place of
-    the context among the second level, word, log10 p) sorted. Returns one flat buffer."""
-    a, b, p2, b2 = second
-    c, w, p3 = third
-    parts: dict[str, np.ndarray] = {}
+def build(width: int, backoff: np.ndarray, second: tuple, contexts: tuple, third: tuple, bits: int) -> bytes:
+    """width: number of words; backoff: log10 weight of each as a context. second: (middle, word, log10 p) sorted by both; contexts:
+    (middle, word before, log10 weight) sorted by both; third: (place among contexts, place of middle and word in the second
+    level, log10 p) sorted by both. Returns one flat buffer."""
+    a, b, p2 = second
+    middle, before, weight = contexts
+    c, below, p3 = third
     starts = np.searchsorted(a, np.arange(width + 1))
-    relative = np.zeros(len(c), dtype=np.int64)
-    keys = a * width + b
-    if len(c):
-        last = b[c]
-        relative = np.searchsorted(keys, last * width + w) - starts[last]
     breadth = int(np.diff(starts).max(initial=0)) + 1
     sequences = {
         "begin2": (starts, len(a) + 1),
-        "key2": (keys, width * width),
-        "key3": (np.sort(c * breadth + relative), (len(a) + 1) * breadth),
+        "key2": (a * width + b, width * width),
+        "context": (middle * width + before, width * width),
+        "key3": (c * breadth + below - starts[middle[c]], (len(middle) + 1) * breadth),
     }
+    parts: dict[str, np.ndarray] = {}
     for name, (values, universe) in sequences.items():
         parts |= {f"{name}.{k}": v for k, v in pack_monotone(values, universe).items()}
-    order = np.argsort(c * breadth + relative, kind="stable")
-    for name, values in (("p1", unigram), ("b1", backoff), ("p2", p2), ("b2", b2), ("p3", p3[order])):
-        parts[f"{name}.code"], parts[f"{name}.centre"] = quantise(values)
+    for name, values in (("b1", backoff), ("p2", p2), ("b2", weight), ("p3", p3)):
+        parts[f"{name}.code"], parts[f"{name}.centre"] = quantise(values, bits)
     parts["size"] = np.array([width, breadth], dtype=np.int64)
     head, body, at = {}, [], 0
     for name, values in parts.items():
@@ -132,43 +133,35 @@ class Trie:
         head = json.loads(bytes(buffer[8 : 8 + size]))
         view = {k: np.frombuffer(buffer, dtype=t, count=n, offset=8 + size + at) for k, (t, n, at) in head.items()}
         self.width, self.breadth = (int(v) for v in view["size"])
-        self.begin2, self.key2, self.key3 = (Monotone(view[f"{k}.low"], view[f"{k}.high"], view[f"{k}.shape"]) for k in ("begin2", "key2", "key3"))
-        self.value = {k: (view[f"{k}.code"], view[f"{k}.centre"]) for k in ("p1", "b1", "p2", "b2", "p3")}
+        self.begin2, self.key2, self.context, self.key3 = (
+            Monotone(view[f"{k}.low"], view[f"{k}.high"], view[f"{k}.shape"]) for k in ("begin2", "key2", "context", "key3")
+        )
+        self.value = {k: (view[f"{k}.code"], view[f"{k}.centre"]) for k in ("b1", "p2", "b2", "p3")}
 
     def _of(self, name: str, at: np.ndarray) -> np.ndarray:
         code, centre = self.value[name]
         return centre[code[at]]
 
-    def log10(self, second: np.ndarray, first: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 p(word | second first); first is -1 where there is no context, second where there is but one word."""
-        out = self._of("p1", word)
-        one = np.flatnonzero(first >= 0)
-        place = self.key2.find(first[one] * self.width + word[one])
-        out[one] = np.where(place >= 0, self._of("p2", np.maximum(place, 0)) if self.key2.n else 0.0, out[one] + self._of("b1", first[one]))
-        two = np.flatnonzero(second[one] >= 0)
-        context = self.key2.find(second[one[two]] * self.width + first[one[two]])
-        known = np.flatnonzero(context >= 0)
-        at, context, place = one[two[known]], context[known], place[two[known]]
-        if not len(at):
-            return out
-        relative = place - self.begin2.get(first[at]).astype(np.int64)
-        deep = np.where(place >= 0, self.key3.find(np.where(place >= 0, context * self.breadth + relative, 0)), -1)
-        out[at] = np.where(deep >= 0, self._of("p3", np.maximum(deep, 0)) if self.key3.n else 0.0, out[at] + self._of("b2", context))
+    def log10(self, second: np.ndarray, first: np.ndarray, word: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """log10 p(word | second first), given log10 p(word). A context that is not in the trie gives its shorter one."""
+        out = own + self._of("b1", first)
+        place = self.key2.find(first * self.width + word)
+        seen = np.flatnonzero(place >= 0)
+        out[seen] = self._of("p2", place[seen])
+        context = self.context.find(first * self.width + second)
+        at = np.flatnonzero(context >= 0)
+        out[at] += self._of("b2", context[at])
+        both = np.flatnonzero((context >= 0) & (place >= 0))
+        relative = place[both] - self.begin2.get(first[both]).astype(np.int64)
+        deep = self.key3.find(context[both] * self.breadth + relative)
+        out[both[deep >= 0]] = self._of("p3", deep[deep >= 0])
         return out
 
 
-_OPEN: dict[str, Trie] = {}
-
-
-def open_mapped(name: str, data: bytes) -> Trie:
-    """The trie of a broadcast buffer, mapped from a file that this machine's workers share. Each worker can make the
-    file anew, nothing depends on it."""
-    if name not in _OPEN:
-        path = os.path.join(tempfile.gettempdir(), f"trie-{name}")
-        if not (os.path.exists(path) and os.path.getsize(path) == len(data)):
-            with tempfile.NamedTemporaryFile(delete=False) as file:
-                file.write(data)
-            os.replace(file.name, path)
-        _OPEN.clear()
-        _OPEN[name] = Trie(np.memmap(path, dtype=np.uint8, mode="r"))
-    return _OPEN[name]
+@contextmanager
+def mapped(data: bytes) -> Iterator[Trie]:
+    """The trie of a buffer, mapped from an unnamed scratch file of the task; nothing of it outlives the task."""
+    with tempfile.TemporaryFile() as file:
+        file.write(data)
+        file.flush()
+        yield Trie(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))

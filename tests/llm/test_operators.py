@@ -193,15 +193,49 @@ def test_scores(spark, docs, none):
     assert lm.score(none, held).count() == 0
 
 
-def test_probabilities_sum_to_one(spark, docs):
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    _, lexicon = lm.learn_words(texts)
-    model = trie.Trie(np.frombuffer(lm.learn_trie(texts, lexicon), dtype=np.uint8))
-    words = np.arange(lexicon.size + 1)
-    begin = lexicon.size + 1
-    for second, first in ((-1, begin), (-1, 1), (begin, 1), (1, 2), (2, 2)):
-        p = 10 ** model.log10(np.full(len(words), second), np.full(len(words), first), words)
-        assert abs(p.sum() - 1) < 0.05
+def test_probabilities_sum_to_one():
+    """Over all words and one that was never seen, after seen and unseen contexts, with split and unsplit middle words, exact and
+    in codes of eight bits."""
+    r = np.random.default_rng(8)
+    words, none = 60, 61  # 0..58 are words, 59 is seen in no text, 60 the begin of a text, 61 what stands before
+    w = r.zipf(1.4, 4000) % 58
+    v, u = np.append(60, w[:-1]), np.append([none, 60], w[:-2])
+    c1 = np.bincount(w, minlength=62)
+    p1 = (c1 + 1) / (len(w) + (c1 > 0).sum() + 1)
+    for bits, within in ((16, 1e-9), (8, 0.02)):
+        for hot in (False, True):
+            pair, c = np.unique(v * 62 + w, return_counts=True)
+            some = pair // 62 < (3 if hot else 0)
+            pairs = (pair[some] // 62, pair[some] % 62, c[some])
+            model = trie.Trie(lm.learn_range(62, none, p1, u, v, w, pairs, bits))
+            every = np.append(np.flatnonzero(c1 > 0), 59)
+            for second, first in ((none, 60), (60, int(w[0])), (1, 2), (2, 2), (40, 41), (5, 59)):
+                at = np.full(len(every), second), np.full(len(every), first)
+                assert abs((10 ** model.log10(*at, every, np.log10(p1[every]))).sum() - 1) < within
+
+
+def test_quantised_values():
+    values = np.random.default_rng(2).normal(size=5000)
+    code, centre = trie.quantise(values, 8)
+    assert len(centre) == 256 and code.dtype == np.uint8
+    order = np.sort(values)
+    assert np.abs(centre[code] - values).max() <= max(order[k + 40] - order[k] for k in range(len(order) - 40))
+    code, centre = trie.quantise(values[:200], 8)
+    assert (centre[code] == values[:200]).all()
+
+
+def test_scores_do_not_depend_on_ranges(spark, docs, none):
+    """One range, many, and middle words split over many: the same scores; eight bits stay near."""
+    held = checksum_of_id("doc_id") % 7 == 2
+    got = lambda **more: sorted((str(g.doc_id), g.n_tokens, g.n_known, round(g.base_score, 6), g.score) for g in lm.score(docs, held, **more).collect())
+    whole = got()
+    for more in ({"range_tokens": 300}, {"range_tokens": 300, "hot": 20}):
+        for a, b in zip(whole, got(**more)):
+            assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-5 * a[1]
+    for a, b in zip(whole, got(bits=8)):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 0.05 * a[1]
+    clash = docs.withColumns({"c": F.lit(1), "block": F.lit("x"), "held_out": F.lit(None).cast("boolean"), "key": F.lit(0)})
+    assert sorted((str(g.doc_id), g.score) for g in lm.score(clash, held).collect()) == [(x[0], x[4]) for x in whole]
 
 
 def test_scores_keep_every_counted_word_and_ngram(spark):
