@@ -2,7 +2,7 @@
 
 Words are runs of other than space and ASCII control blanks, A-Z lower-cased; each text ends with one end token. Every
 word, bigram and trigram that is counted is kept, singletons too, at any corpus size; the model grows with the corpus and
-neither a task nor the driver holds it as a whole. Only words with a share of 2^-18 or more (at most 2^18) are known to
+neither a task nor the driver holds it as a whole. Only words with a share of 2^-20 or more (at most 2^20) are known to
 every task, so that their counts need no join; the counts are the same either way.
 
 p(word | context) interpolates by absolute discounting: (c - D) / n of the context, and the mass D * kinds / n goes to the
@@ -39,12 +39,12 @@ from seslog.llm import trie as tries
 from seslog.llm.arrowtext import Words, blocks, mix
 from seslog.llm.common import stage
 
-KNOWN_SHARE = 18
+KNOWN_SHARE = 20
 DISCOUNT = 0.75
 RANGE_TOKENS, HOT, BITS = 1 << 20, 1 << 19, 16
 END = np.uint64(0xE4D0F7E87)  # the end token among word hashes
 BEGIN, NONE = np.uint64(0xBE617), np.uint64(0x9017E)  # what stands before a text's first token, and before that
-FLUSH, BLOCK = 1 << 21, 8 << 20
+FLUSH, BLOCK = 1 << 21, 16 << 20
 TEXT, PAIRS, ROWS = 0, 1, 2  # kinds of pieces
 PIECE = "range int, kind int, block long, rare binary, v binary, u binary, w binary, row binary, extra binary"
 
@@ -71,24 +71,19 @@ class Lexicon:
         at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
         return at, (self.words[at] == hashes) if len(self.words) else np.zeros(len(hashes), dtype=bool)
 
-    def parts_of(self, middle: np.ndarray) -> np.ndarray:
-        at, known = self.find(middle)
-        parts = np.where(known, self.parts[at], 1) if len(self.words) else np.ones(len(middle), dtype=np.int64)
-        parts[middle == BEGIN] = self.begin_parts
-        return parts
+    def parts_of(self, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Over how many ranges words are split that were looked up by find."""
+        return np.where(known, self.parts[at], 1) if len(self.words) else np.ones(len(at), dtype=np.int64)
 
     def range_of(self, middle: np.ndarray, part: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (mix(mix(middle) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.ranges)).astype(np.int32)
 
-    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of words, and the sorted hashes of the rare ones among them, whose numbers follow each other."""
-        at, known = self.find(hashes)
-        out = np.where(known, self.ranks[at], 0) if len(self.words) else np.zeros(len(hashes), dtype=np.int64)
-        out[hashes == BEGIN], out[hashes == NONE] = self.begin, self.begin + 1
-        other = ~known & (hashes != BEGIN) & (hashes != NONE)
-        rare, inverse = np.unique(hashes[other], return_inverse=True)
-        out[other] = self.begin + 2 + inverse
+    def numbers(self, hashes: np.ndarray, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words that were looked up by find, and the sorted hashes of the rare ones, whose numbers follow each other."""
+        out = self.ranks[at] if len(self.words) else np.zeros(len(hashes), dtype=np.int64)
+        rare, inverse = np.unique(hashes[~known], return_inverse=True)
+        out[~known] = self.begin + 2 + inverse
         return out, rare
 
 
@@ -103,15 +98,14 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens: the second token before, the token before, the token, and where texts begin."""
-    word, first = _tokens(column)
+def _before(word: np.ndarray, first: np.ndarray, begin, none) -> tuple[np.ndarray, np.ndarray]:
+    """What stands two places and one place before each token, if `begin` stands before a text and `none` before that."""
     before, second = np.empty_like(word), np.empty_like(word)
     before[1:], second[2:] = word[:-1], word[:-2]
     starts = first[:-1]
-    before[starts] = BEGIN
-    second[starts], second[starts[np.diff(first) > 1] + 1] = NONE, BEGIN
-    return second, before, word, first
+    before[starts] = begin
+    second[starts], second[starts[np.diff(first) > 1] + 1] = none, begin
+    return second, before
 
 
 def _training(batch: pa.RecordBatch) -> np.ndarray:
@@ -122,12 +116,13 @@ def _text(batch: pa.RecordBatch) -> pa.Array:
     return batch.column(batch.schema.get_field_index("text"))
 
 
-def _ranges(lexicon: Lexicon, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The range of each trigram."""
-    parts = lexicon.parts_of(v)
+def _ranges(lexicon: Lexicon, word: np.ndarray, first: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The range of the trigram that each token ends."""
+    u, v = _before(word, first, BEGIN, NONE)
+    parts = _before(lexicon.parts_of(at, known), first, lexicon.begin_parts, 1)[1]
     part = np.zeros(len(v), dtype=np.uint64)
     split = parts > 1
-    part[split] = mix(np.where(v[split] == BEGIN, w[split], u[split])) % parts[split].astype(np.uint64)
+    part[split] = mix(np.where(v[split] == BEGIN, word[split], u[split])) % parts[split].astype(np.uint64)
     return lexicon.range_of(v, part)
 
 
@@ -174,11 +169,11 @@ def learn_words(source: DataFrame, range_tokens: int = RANGE_TOKENS, hot: int =
 
 # --- packed pieces ----------------------------------------------------------------------------------------------------
 def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers or floats as compressed planes of bytes, each of the lowest, the second lowest and so on."""
-    if values.dtype.kind in "iu":
-        values = values.astype(np.uint32)
+    """Numbers as compressed planes of bytes: the lowest byte of each, the second lowest and so on."""
+    if not len(values):
+        return b""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
-    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, dtype=np.uint32) -> np.ndarray:
@@ -200,39 +195,41 @@ def _pieces(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shared.value
+        base = lexicon.begin + 2
         block = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, "text", BLOCK):
-            u, v, w, first = _grams(_text(batch))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            word, first = _tokens(_text(batch))
+            at, known = lexicon.find(word)
             training = _training(batch)
-            place = _ranges(lexicon, u, v, w)
-            n = len(w)
-            numbers, rare = lexicon.numbers(np.concatenate((u, v, w)))
-            u, v, w = numbers[:n], numbers[n : 2 * n], numbers[2 * n :]
-            order = np.lexsort((row, w, u, v, place))
+            row = np.repeat(np.arange(batch.num_rows) * 2 + training, np.diff(first))
+            place = _ranges(lexicon, word, first, at, known)
+            counted = known & (lexicon.counts[at] > 0) if len(lexicon.words) else known
+            logs = np.where(counted, np.log10(lexicon.counts[at] + 1.0), 0.0) if len(lexicon.words) else np.zeros(len(word))
+            sums = [pa.array(np.diff(first)), pa.array(np.add.reduceat(counted.astype(np.int64), first[:-1])), pa.array(np.add.reduceat(logs, first[:-1]))]
+            w, rare = lexicon.numbers(word, at, known)
+            u, v = _before(w, first, lexicon.begin, lexicon.begin + 1)
+            order = np.argsort(place.astype(np.int64) << 32 | v, kind="stable")
             u, v, w, row, place = (x[order] for x in (u, v, w, row, place))
             cuts = np.flatnonzero(np.diff(place, prepend=-1))
-            base = lexicon.begin + 2
             out = []
-            for a, b in zip(cuts, np.append(cuts[1:], n)):
+            for a, b in zip(cuts, np.append(cuts[1:], len(w))):
                 own = np.concatenate((u[a:b], v[a:b], w[a:b]))
-                used, inverse = np.unique(own[own >= base], return_inverse=True)
-                own[own >= base] = base + inverse
-                parts = own[: b - a], own[b - a : 2 * (b - a)], own[2 * (b - a) :]
-                # the middle words ascend, so their steps are small; rare words stand after the others
-                steps = np.diff(parts[1], prepend=0).astype(np.int64)
-                out.append((int(place[a]), TEXT, block, _packed(rare[used - base].view(np.float64)), _packed(steps.astype(np.int32)), _packed(parts[0]), _packed(parts[2]), _packed(row[a:b]), _packed(training[row[a:b]].astype(np.uint8))))
-            at, known = lexicon.find(hashes := _tokens(_text(batch))[0])
-            counted = known & (lexicon.counts[at] > 0) if len(lexicon.words) else known
-            logs = np.where(counted, np.log10(lexicon.counts[at] + 1.0), 0.0) if len(lexicon.words) else np.zeros(len(hashes))
-            sums = [pa.array(np.diff(first)), pa.array(np.add.reduceat(counted.astype(np.int64), first[:-1])), pa.array(np.add.reduceat(logs, first[:-1]))]
+                is_rare = own >= base
+                used, inverse = np.unique(own[is_rare], return_inverse=True)
+                own[is_rare] = base + inverse
+                own = own.reshape(3, b - a)
+                # middle words and hashes ascend: only their steps are kept
+                steps = np.diff(own[1], prepend=0)
+                hashes = np.diff(rare[used - base], prepend=np.uint64(0))
+                out.append((int(place[a]), TEXT, block, _packed(hashes), _packed(steps.astype(np.uint32)), *(_packed(x.astype(np.uint32)) for x in (own[0], own[2], row[a:b])), None))
             own = pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")), pa.array(~training), *sums], ["doc_id", "held_out", "n_tokens", "n_known", "logs"]
             )
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(own)
-            out.append((int(mix(np.array([block], dtype=np.uint64))[0] % np.uint64(lexicon.ranges)), ROWS, block, None, None, None, None, None, sink.getvalue().to_pybytes()))
+            back = int(mix(np.array([block], dtype=np.uint64))[0] % np.uint64(lexicon.ranges))
+            out.append((back, ROWS, block, None, None, None, None, None, sink.getvalue().to_pybytes()))
             yield _rows_of_pieces(out)
             block += 1
 
@@ -245,9 +242,9 @@ def _asked(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shared.value
         for batch in blocks(batches, "text", BLOCK):
-            u, v, w, _ = _grams(_text(batch))
-            rare = ~lexicon.find(w)[1]
-            place, w = _ranges(lexicon, u[rare], v[rare], w[rare]), w[rare]
+            word, first = _tokens(_text(batch))
+            at, known = lexicon.find(word)
+            place, w = _ranges(lexicon, word, first, at, known)[~known], word[~known]
             order = np.lexsort((w, place))
             place, w = place[order], w[order]
             new = np.ones(len(w), dtype=bool)
@@ -263,8 +260,10 @@ def _hot_pairs(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shared.value
         for batch in blocks(batches, "text", BLOCK):
-            _, v, w, first = _grams(_text(batch))
-            some = (lexicon.parts_of(v) > 1) & np.repeat(_training(batch), np.diff(first))
+            w, first = _tokens(_text(batch))
+            _, v = _before(w, first, BEGIN, NONE)
+            parts = _before(lexicon.parts_of(*lexicon.find(w)), first, lexicon.begin_parts, 1)[1]
+            some = (parts > 1) & np.repeat(_training(batch), np.diff(first))
             order = np.lexsort((w[some], v[some]))
             v, w = v[some][order], w[some][order]
             new = np.ones(len(v), dtype=bool)
@@ -289,9 +288,12 @@ def _pairs_to_ranges(shared):
             v, w, c = v[order], w[order], c[order]
             cuts = np.flatnonzero(np.diff(v, prepend=v[0] ^ np.uint64(1)) != 0)
             for a, b in zip(cuts, np.append(cuts[1:], len(v))):
-                numbers, rare = lexicon.numbers(np.concatenate((v[a:b], w[a:b])))
-                data = (_packed(rare.view(np.float64)), _packed(numbers[: b - a]), None, _packed(numbers[b - a :]), None, _packed(c[a:b].astype(np.float64)))
-                parts = int(lexicon.parts_of(v[a : a + 1])[0])
+                numbers, rare = lexicon.numbers(w[a:b], *lexicon.find(w[a:b]))
+                at, known = lexicon.find(v[a : a + 1])
+                begins = v[a] == BEGIN
+                middle = np.full(1, lexicon.begin if begins else lexicon.ranks[at[0]], dtype=np.uint32)
+                parts = lexicon.begin_parts if begins else int(lexicon.parts_of(at, known)[0])
+                data = (_packed(np.diff(rare, prepend=np.uint64(0))), _packed(middle), None, _packed(numbers.astype(np.uint32)), None, _packed(c.astype(np.uint64)[a:b]))
                 ranges = np.unique(lexicon.range_of(np.repeat(v[a], parts), np.arange(parts)))
                 for k in range(0, len(ranges), 64):
                     yield _rows_of_pieces([(int(r), PAIRS, 0, *data) for r in ranges[k : k + 64]])
@@ -334,16 +336,11 @@ def _answers(shared, bits: int):
         base = lexicon.begin + 2
         column = {name: pieces.column(name).to_pylist() for name in pieces.column_names}
         kind = column["kind"]
-        rares = [_unpacked(x, np.float64).view(np.uint64) for x in column["rare"]]
+        rares = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in column["rare"]]
         words = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *rares]))
         width = base + len(words)
         c1 = np.zeros(width)
         c1[lexicon.ranks] = lexicon.counts
-        known = found.column("key").to_numpy().view(np.uint64)
-        at = np.searchsorted(words, known)
-        c1[base + at] = found.column("c").to_numpy()
-        p1 = (c1 + 1) / (lexicon.total + lexicon.distinct + 1)
-
         def numbered(data: bytes, k: int) -> np.ndarray:
             return placed(_unpacked(data).astype(np.int64), k)
 
@@ -355,26 +352,33 @@ def _answers(shared, bits: int):
         texts = [k for k, x in enumerate(kind) if x == TEXT]
         hot = [k for k, x in enumerate(kind) if x == PAIRS]
         joined = lambda parts, dtype=np.int64: np.concatenate([np.zeros(0, dtype=dtype), *parts])
-        middles = [placed(np.cumsum(_unpacked(column["v"][k]).view(np.int32), dtype=np.int64), k) for k in texts]
+        middles = [placed(np.cumsum(_unpacked(column["v"][k]), dtype=np.int64), k) for k in texts]
         v = joined(middles)
         u = joined([numbered(column["u"][k], k) for k in texts])
         w = joined([numbered(column["w"][k], k) for k in texts])
-        training = joined([_unpacked(column["extra"][k]) for k in texts]).astype(bool)
-        pairs = (joined([numbered(column["v"][k], k) for k in hot]), joined([numbered(column["w"][k], k) for k in hot]), joined([_unpacked(column["extra"][k], np.float64) for k in hot], np.float64))
+        rows = [_unpacked(column["row"][k]).astype(np.int64) for k in texts]
+        training = (joined(rows) & 1).astype(bool)
+        linked = [np.full(len(_unpacked(column["w"][k])), _unpacked(column["v"][k])[0], dtype=np.int64) for k in hot]
+        pairs = (joined(linked), joined([numbered(column["w"][k], k) for k in hot]), joined([_unpacked(column["extra"][k], np.uint64).astype(np.int64) for k in hot]))
+        # a rare word that was not looked up occurs once: in training, if that is here
+        c1[w[training & (w >= base)]] = 1
+        key = found.column("key").to_numpy().view(np.uint64)
+        c1[base + np.searchsorted(words, key)] = found.column("c").to_numpy()
+        p1 = (c1 + 1) / (lexicon.total + lexicon.distinct + 1)
         with tries.mapped(learn_range(width, lexicon.begin + 1, p1, u[training], v[training], w[training], pairs, bits)) as model:
             start, out = 0, []
-            for k, middle in zip(texts, middles):
+            for k, middle, row in zip(texts, middles, rows):
                 stop = start + len(middle)
                 last = w[start:stop]
                 logs = model.log10(u[start:stop], middle, last, np.log10(p1[last]))
-                row = _unpacked(column["row"][k]).astype(np.int64)
-                present, inverse = np.unique(row, return_inverse=True)
+                present, inverse = np.unique(row >> 1, return_inverse=True)
                 rare = (last >= base) & (c1[last] > 0)
-                out.append((column["block"][k], _packed(present), _packed(np.bincount(inverse, weights=logs).astype(np.float32)), _packed(row[rare]), _packed(np.log10(c1[last[rare]] + 1)), None))
+                sums = np.bincount(inverse, weights=logs).astype(np.float32)
+                out.append((column["block"][k], *(_packed(x) for x in (present.astype(np.uint32), sums, row[rare].astype(np.uint32) >> 1, c1[last[rare]].astype(np.uint32))), None))
                 start = stop
         out += [(column["block"][k], None, None, None, None, column["extra"][k]) for k, x in enumerate(kind) if x == ROWS]
         types = (pa.int64(), *[pa.binary()] * 5)
-        names = ["block", "row", "score", "rare_row", "rare_log", "own"]
+        names = ["block", "row", "score", "rare_row", "rare_c", "own"]
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=names)
 
     return run
@@ -390,12 +394,12 @@ def _put_together(lexicon_total: int, lexicon_distinct: int):
         n_tokens, n_known, logs = (own.column(name).to_numpy().copy() for name in ("n_tokens", "n_known", "logs"))
         score = np.zeros(len(n_tokens))
         # always in the same order, so that the sums of floats are the same in every run
-        answers = sorted(x for x in zip(*(column[name] for name in ("row", "score", "rare_row", "rare_log"))) if x[0] is not None)
-        for row, value, rare_row, rare_log in answers:
+        answers = sorted(x for x in zip(*(column[name] for name in ("row", "score", "rare_row", "rare_c"))) if x[0] is not None)
+        for row, value, rare_row, rare_c in answers:
             np.add.at(score, _unpacked(row).astype(np.int64), _unpacked(value, np.float32).astype(np.float64))
             at = _unpacked(rare_row).astype(np.int64)
             np.add.at(n_known, at, 1)
-            np.add.at(logs, at, _unpacked(rare_log, np.float64))
+            np.add.at(logs, at, np.log10(_unpacked(rare_c) + 1.0))
         total = pa.array(np.full(len(score), lexicon_total, dtype=np.int64))
         return pa.table(
             [own.column("doc_id"), own.column("held_out"), pa.array(n_tokens), pa.array(n_known), total, pa.array(logs - n_tokens * base), pa.array(score)],
@@ -414,9 +418,10 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     if lexicon.begin_parts > 1 or (lexicon.parts > 1).any():
         summed = source.select("held_out", "text").mapInArrow(_hot_pairs(shared), "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
         pieces = pieces.unionByName(summed.mapInArrow(_pairs_to_ranges(shared), PIECE))
-    asked = source.select("text").mapInArrow(_asked(shared), "range int, key long").distinct()
-    found = asked.join(counts.filter("c > 0").select("key", "c"), "key").select("range", "key", "c")
-    answers = pieces.groupBy("range").cogroup(found.groupBy("range")).applyInArrow(_answers(shared, bits), "block long, row binary, score binary, rare_row binary, rare_log binary, own binary")
+    asked = source.select("text").mapInArrow(_asked(shared), "range int, key long")
+    # joined before repeated rows go: both need the rows of a key together; words that occur once are not looked up
+    found = asked.join(counts.filter("m > 1").select("key", "c"), "key").select("range", "key", "c").distinct()
+    answers = pieces.groupBy("range").cogroup(found.groupBy("range")).applyInArrow(_answers(shared, bits), "block long, row binary, score binary, rare_row binary, rare_c binary, own binary")
     kind = dict(source.dtypes)["doc_id"]
     return answers.groupBy("block").applyInArrow(
         _put_together(lexicon.total, lexicon.distinct),
