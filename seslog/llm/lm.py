@@ -12,9 +12,9 @@ seen gives its shorter one.
 Each block of texts sends its trigrams, sorted and packed (a few bytes each), to ranges of the middle word: the bigram and
 both contexts of a trigram have the same middle word, so a range knows all it needs. It builds one trie of the training
 n-grams, maps it, asks it for all trigrams it was sent and returns sums per text; the texts themselves move nowhere. A
-range gets about `range_tokens` tokens. A middle word of more than `hot` tokens is split by the word before it (the begin
-of a text by the word after it), and its bigram counts, summed beforehand, are sent to all its ranges. One pair of words
-is not split: the trigrams of a pair meet in one task.
+range gets about `range_tokens` tokens. A middle word of more than `hot` tokens, or of a share of 2^-8 or more at any size, is
+split by the word before it (the begin of a text by the word after it), and its bigram counts, summed beforehand, are sent to
+all its ranges. One pair of words is not split: the packed trigrams of a pair meet in one task.
 
 A trie's probabilities have codes of `bits` bits. They are exact where a level of a range has at most 2^bits different
 values; else each is the mean of a share of 2^-bits of the level's sorted values.
@@ -39,7 +39,7 @@ from seslog.llm import trie as tries
 from seslog.llm.arrowtext import Words, blocks, mix
 from seslog.llm.common import stage
 
-KNOWN_SHARE = 20
+KNOWN_SHARE, SPLIT_SHARE = 20, 8
 DISCOUNT = 0.75
 RANGE_TOKENS, HOT, BITS = 1 << 20, 1 << 19, 16
 END = np.uint64(0xE4D0F7E87)  # the end token among word hashes
@@ -161,7 +161,8 @@ def learn_words(source: DataFrame, range_tokens: int = RANGE_TOKENS, hot: int =
     words, c, m = words[order], rows["c"].to_numpy(dtype=np.int64)[order], rows["m"].to_numpy(dtype=np.int64)[order]
     ranks = np.empty(len(m), dtype=np.int64)
     ranks[np.lexsort((words, -m))] = np.arange(len(m))
-    lexicon = Lexicon(words, c, ranks, -(-m // hot), 1, max(1, -(-every // range_tokens)), facts.n or 0, facts.v)
+    parts = np.maximum(-(-m // hot), np.where((m << SPLIT_SHARE) >= every, 2, 1))
+    lexicon = Lexicon(words, c, ranks, parts, 1, max(1, -(-every // range_tokens)), facts.n or 0, facts.v)
     at, known = lexicon.find(np.array([END]))
     lexicon.begin_parts = int(lexicon.parts[at[0]]) if known[0] else 1  # as many texts begin as end
     return counts, lexicon
@@ -302,13 +303,15 @@ def _pairs_to_ranges(shared):
 
 
 # --- ranges -----------------------------------------------------------------------------------------------------------
-def learn_range(width: int, none: int, p1: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, pairs: tuple[np.ndarray, ...], bits: int = BITS) -> bytes:
-    """The trie of the training trigrams (u, v, w), one for each time they occur. Words have numbers below width; p1 are their own
+def learn_range(width: int, none: int, p1: np.ndarray, grams: tuple[np.ndarray, ...], pairs: tuple[np.ndarray, ...], bits: int = BITS) -> bytes:
+    """The trie of the training trigrams (u, v, w, c), sorted by v, u and w. Words have numbers below width; p1 are their own
     probabilities; `none` is the number before the begin of a text. pairs (v, w, c) are the bigrams of words that have others elsewhere."""
+    u, v, w, c = grams
     counted = np.bincount(pairs[0], minlength=width) > 0
     own = ~counted[v]
-    key2, c2 = np.unique(v[own] * width + w[own], return_counts=True)
-    key2, c2 = np.concatenate((key2, pairs[0] * width + pairs[1])), np.concatenate((c2, pairs[2])).astype(np.float64)
+    key2, place = np.unique(v[own] * width + w[own], return_inverse=True)
+    c2 = np.concatenate((np.bincount(place, weights=c[own], minlength=len(key2)), pairs[2]))
+    key2 = np.concatenate((key2, pairs[0] * width + pairs[1]))
     order = np.argsort(key2)
     key2, c2 = key2[order], c2[order]
     a, b = key2 // width, key2 % width
@@ -317,15 +320,13 @@ def learn_range(width: int, none: int, p1: np.ndarray, u: np.ndarray, v: np.ndar
     p2 = (c2 - DISCOUNT) / n2[a] + weight1[a] * p1[b]
 
     deep = u != none
-    contexts, place = np.unique(v[deep] * width + u[deep], return_inverse=True)
-    grams, c3 = np.unique(place * width + w[deep], return_counts=True)
-    at, last = grams // width, grams % width
+    contexts, at = np.unique(v[deep] * width + u[deep], return_inverse=True)
+    c3 = c[deep]
     n3, k3 = np.bincount(at, weights=c3, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
     weight2 = DISCOUNT * k3 / np.maximum(n3, 1)
-    middle = contexts // width
-    below = np.searchsorted(key2, middle[at] * width + last)
+    below = np.searchsorted(key2, v[deep] * width + w[deep])
     p3 = (c3 - DISCOUNT) / n3[at] + weight2[at] * p2[below] if len(at) else np.zeros(0)
-    return tries.build(width, np.log10(weight1), (a, b, np.log10(p2)), (middle, contexts % width, np.log10(weight2)), (at, below, np.log10(p3)), bits)
+    return tries.build(width, np.log10(weight1), (a, b, np.log10(p2)), (contexts // width, contexts % width, np.log10(weight2)), (at, below, np.log10(p3)), bits)
 
 
 def _answers(shared, bits: int):
@@ -352,8 +353,7 @@ def _answers(shared, bits: int):
         texts = [k for k, x in enumerate(kind) if x == TEXT]
         hot = [k for k, x in enumerate(kind) if x == PAIRS]
         joined = lambda parts, dtype=np.int64: np.concatenate([np.zeros(0, dtype=dtype), *parts])
-        middles = [placed(np.cumsum(_unpacked(column["v"][k]), dtype=np.int64), k) for k in texts]
-        v = joined(middles)
+        v = joined([placed(np.cumsum(_unpacked(column["v"][k]), dtype=np.int64), k) for k in texts])
         u = joined([numbered(column["u"][k], k) for k in texts])
         w = joined([numbered(column["w"][k], k) for k in texts])
         rows = [_unpacked(column["row"][k]).astype(np.int64) for k in texts]
@@ -365,12 +365,19 @@ def _answers(shared, bits: int):
         key = found.column("key").to_numpy().view(np.uint64)
         c1[base + np.searchsorted(words, key)] = found.column("c").to_numpy()
         p1 = (c1 + 1) / (lexicon.total + lexicon.distinct + 1)
-        with tries.mapped(learn_range(width, lexicon.begin + 1, p1, u[training], v[training], w[training], pairs, bits)) as model:
+        contexts, place = np.unique(v * width + u, return_inverse=True)
+        keys, gram = np.unique(place * width + w, return_inverse=True)
+        of = contexts[keys // width]
+        grams = of % width, of // width, keys % width, np.bincount(gram, weights=training, minlength=len(keys)).astype(np.int64)
+        seen = grams[3] > 0
+        del u, v, contexts, place, keys, of, training
+        with tries.mapped(learn_range(width, lexicon.begin + 1, p1, tuple(x[seen] for x in grams), pairs, bits)) as model:
+            every = model.log10(*grams[:3], np.log10(p1[grams[2]]))[gram]
             start, out = 0, []
-            for k, middle, row in zip(texts, middles, rows):
-                stop = start + len(middle)
+            for k, row in zip(texts, rows):
+                stop = start + len(row)
                 last = w[start:stop]
-                logs = model.log10(u[start:stop], middle, last, np.log10(p1[last]))
+                logs = every[start:stop]
                 present, inverse = np.unique(row >> 1, return_inverse=True)
                 rare = (last >= base) & (c1[last] > 0)
                 sums = np.bincount(inverse, weights=logs).astype(np.float32)

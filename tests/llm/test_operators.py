@@ -207,7 +207,8 @@ def test_probabilities_sum_to_one():
             pair, c = np.unique(v * 62 + w, return_counts=True)
             some = pair // 62 < (3 if hot else 0)
             pairs = (pair[some] // 62, pair[some] % 62, c[some])
-            model = trie.Trie(lm.learn_range(62, none, p1, u, v, w, pairs, bits))
+            (gv, gu, gw), n = np.unique(np.stack((v, u, w)), axis=1, return_counts=True)
+            model = trie.Trie(lm.learn_range(62, none, p1, (gu, gv, gw, n), pairs, bits))
             every = np.append(np.flatnonzero(c1 > 0), 59)
             for second, first in ((none, 60), (60, int(w[0])), (1, 2), (2, 2), (40, 41), (5, 59)):
                 at = np.full(len(every), second), np.full(len(every), first)
