@@ -28,8 +28,8 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def checksum_of_id(column: Column | str) -> Column:
-    """crc32 of an id written as text; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(None)).cast("string").cast("binary"))
+    """crc32 of an id written as text; null for a null id."""
+    return F.crc32((F.col(column) if isinstance(column, str) else column).cast("string").cast("binary"))
 
 
 def sha256_text(column: Column | str) -> Column:

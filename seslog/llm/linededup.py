@@ -13,7 +13,8 @@ lines; a run of n lines is named by the ranks of its first and last 2^k lines (2
 form one prefix interval. The smallest place of an interval stays, the others' lines go.
 
 Defined cases: a null text stays null, an empty one empty; lines without a word are never compared and go only where the
-lines around them go; a null id counts as the smallest; of different texts with one id the smaller digest is first; rows
+lines around them go; a null id counts as the smallest among different texts, but beside
+equal texts that have an id a row without one is a later copy; of different texts with one id the smaller digest is first; rows
 equal in id and text count as one document. An untouched text is returned unchanged. Other columns, whatever their
 names, are kept.
 """

@@ -431,3 +431,9 @@ def test_line_dedup_cases(docs, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_null_ids(spark):
+    """A row without an id is the later copy of an equal text that has one; alone it stays. Its checksum is null."""
+    text, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    df = spark.createDataFrame([(None, text), (5, text), (None, other)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in linededup.dedup_lines(df).collect()), key=str) == sorted([(None, ""), (5, text), (None, other)], key=str)
+    assert [r[0] for r in df.filter("doc_id IS NULL").select(checksum_of_id("doc_id")).collect()] == [None, None]
