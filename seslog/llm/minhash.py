@@ -1,18 +1,23 @@
-"""MinHash near-dedup with an LSH forest; links are confirmed on full shingle sets.
+"""MinHash near-dedup with an LSH forest of sorted signature orders; links are confirmed on full shingle sets.
 
 Words are runs of other than space and ASCII control blanks, A-Z lower-cased; a text's set holds its distinct shingles
 of `size` words (the whole sequence if it has fewer). Texts with equal sets are one node.
 
-The forest has 24 trees, each an order of the 96 signature values in groups of four. Nodes below the same branch at
-depth four are a region. A region of at most eight nodes gives all its pairs; in a larger one every node is a candidate
-with the region's first node. Candidates are confirmed in rounds: first one pair per node, then those whose ends are not
-connected yet. A crowded region that is one component by now is done. The others are followed down to depths 8, 16 and
-32, branch by branch, where again small branches give their pairs and large ones stars, between different components
-only: the depth adapts to how crowded a region is. Nodes of regions that are still of several components are then
-compared exactly: regions that share nodes form a group, a group is cut into blocks of about 2,048 nodes and 2^18
-shingles at most, and a task counts all common shingles between two blocks as matrix products, and returns only links
-that connect something. A task's matrices so have a bounded size, however short the texts are.
-No link that the regions hold is missed, and there is no cap on members or partners; no pairs leave a task.
+The forest has 24 trees. A tree sorts all nodes by eight of their 96 signature values, four of its own first. The orders
+are range-sorted together, by tree, values and node, so that a crowded stretch is cut like any other. Nodes that share
+the first four values are a region. Neighbours in an order whose common prefix holds four values or more are candidates;
+besides, a region is followed to the depth (four to eight) at which its branches have at most eight nodes, and there all
+pairs are candidates: the depth adapts to how crowded a region is. Candidates are confirmed in rounds: first one pair per
+node, then those whose ends are not connected yet.
+
+What the orders do not compare is then compared exactly. Nodes of regions that are over eight nodes, or cut by the border
+of a sorted part, and that are still of several components, are joined on their rarest shingles: two sets at the
+similarity share one of the first n - ceil(percent * n) + 1 shingles of each, whatever common order the shingles are put
+in, and the places of that shingle must leave room for enough common ones. The order is by rarity, counted in a table of
+2^20 places. A shingle with up to sixteen such nodes gives its pairs; nodes that share a more frequent one are compared
+in blocks of about 2,048 nodes and 2^18 shingles at most, where a task counts all common shingles between two blocks as
+matrix products, and returns only links that connect something. No link that the regions hold is missed, and there is no
+cap on members or partners.
 
 Two texts at similarity 0.8 share no region with probability (1 - 0.8^4)^24 = 3e-6, less above.
 
@@ -37,8 +42,8 @@ from seslog.llm.graph import components
 SIZE, PERCENT = 5, 80
 TREES, STEP = 24, 4
 VALUES = TREES * STEP
-SMALL = 8
-DEPTHS = (8, 16, 32)
+DEPTH, SMALL = 2 * STEP, 8
+FEW, RARITY_BITS = 16, 20
 BLOCK_SHINGLES, BLOCK_NODES, COLUMNS = 1 << 18, 2048, 4096
 
 _odd = np.random.default_rng(20240607).integers(0, 1 << 63, size=(2, VALUES), dtype=np.uint64)
@@ -101,7 +106,7 @@ def _signatures(size: int):
                 ids = batch.column(1).to_numpy().view(np.uint64)
                 slots[present] = bitmap.slots(mix(first ^ ids[present]))
                 for i, name, signature in zip(present.tolist(), _names(first, second), least):
-                    names[i], signatures[i] = name, signature.tobytes()
+                    names[i], signatures[i] = name, signature.astype(np.uint16).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n), pa.array(names, pa.string()), pa.array(slots), pa.array(signatures, pa.binary())], ["doc_id", "n", "node", "slot", "signature"]
             )
@@ -128,57 +133,95 @@ def _members(size: int, wanted):
     return run
 
 
-def _branch(signature: np.ndarray, tree: int, depth: int) -> np.ndarray:
-    """A hash of the first `depth` values in the tree's order (its own four, then the next trees')."""
-    out = np.full(len(signature), tree * 131 + depth, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(depth):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + signature[:, (tree * STEP + k) % VALUES])
-    return out
+def _packed(values: np.ndarray) -> np.ndarray:
+    """Four values of 16 bits as one number, in their order."""
+    out = np.zeros(len(values), dtype=np.uint64)
+    for k in range(STEP):
+        out = out << np.uint64(16) | values[:, k].astype(np.uint64)
+    return out.view(np.int64)
 
 
-def _trees(depths: tuple[int, ...]):
-    """(branch, node) of every tree and depth."""
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tree, high, low, node): the first four and the next four values of a node in each tree's order."""
+    for batch in batches:
+        if batch.num_rows:
+            signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
+            packed = [_packed(signature[:, k * STEP : k * STEP + STEP]) for k in range(TREES)]
+            for tree in range(TREES):
+                of = pa.array(np.full(batch.num_rows, tree, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([of, pa.array(packed[tree]), pa.array(packed[(tree + 1) % TREES]), batch.column(0)], ["tree", "high", "low", "node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, VALUES).astype(np.uint64)
-            trees = range(TREES) if batch.num_columns == 2 else None
-            for depth in depths:
-                if trees is not None:
-                    for tree in trees:
-                        yield pa.RecordBatch.from_arrays([pa.array(_branch(signature, tree, depth).view(np.int64)), batch.column(0)], ["branch", "node"])
-                else:
-                    own = batch.column(2).to_numpy()
-                    out = np.empty(len(own), dtype=np.uint64)
-                    for tree in np.unique(own):
-                        out[own == tree] = _branch(signature[own == tree], int(tree), depth)
-                    yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), batch.column(0)], ["branch", "node"])
 
-    return run
+def _prefixes(same: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """How many leading values each row of an order shares with the next one: 0 (fewer than four) or 4 to 8."""
+    apart = (low[1:] ^ low[:-1]).view(np.uint64)
+    deeper = sum((apart >> np.uint64(16 * k) == 0).astype(np.int64) for k in range(STEP))
+    return np.where(same, STEP + deeper, 0)
 
 
-def _tree_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(branch, node, tree) at the first depth."""
-    for batch in batches:
-        if batch.num_rows:
-            signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, VALUES).astype(np.uint64)
-            for tree in range(TREES):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_branch(signature, tree, STEP).view(np.int64)), batch.column(0), pa.array(np.full(batch.num_rows, tree, dtype=np.int32))], ["branch", "node", "tree"]
-                )
+def _sizes(joined: np.ndarray) -> np.ndarray:
+    """The length of the run that each row is in; joined tells which rows belong with their next one."""
+    run = np.concatenate([[0], np.cumsum(~joined)])
+    return np.bincount(run)[run]
 
 
-def _candidates(branches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All pairs of small regions; (branch, node, first) of the members of crowded ones."""
-    counted = branches.groupBy("branch").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
-    members = branches.join(counted, "branch")
-    few = members.filter(F.col("n") <= SMALL).groupBy("branch").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    left = few.select("nodes", F.posexplode("nodes").alias("i", "a"))
-    pairs = left.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-    return pairs, members.filter(F.col("n") > SMALL).drop("n")
+def _neighbours(tree: np.ndarray, high: np.ndarray, low: np.ndarray, opens: bool, closes: bool):
+    """Candidate pairs (i, j) of a sorted stretch of whole regions, and which rows need the exact comparison.
+
+    The first region may have begun before the stretch (opens), the last one may go on after it (closes).
+    """
+    n = len(tree)
+    prefix = _prefixes((tree[1:] == tree[:-1]) & (high[1:] == high[:-1]), low)
+    depth = np.full(n, STEP)
+    for d in range(STEP, DEPTH + 1):
+        depth += _sizes(prefix >= d) > SMALL
+    at, to, shared = [], [], prefix
+    for k in range(1, min(SMALL, n)):
+        if k > 1:
+            shared = np.minimum(shared[:-1], prefix[k - 1 :])
+        found = np.flatnonzero(shared >= (STEP if k == 1 else depth[: n - k]))
+        at.append(found)
+        to.append(found + k)
+    region = np.concatenate([[0], np.cumsum(prefix < STEP)])
+    exact = _sizes(prefix >= STEP) > SMALL
+    if opens:
+        exact |= region == region[0]
+    if closes:
+        exact |= region == region[-1]
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate(at or [none]), np.concatenate(to or [none]), exact
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order: (null, a, b) of candidates and (region, node, null) of rows that need the exact comparison."""
+
+    def found(rows: pa.Table, opens: bool, closes: bool) -> pa.RecordBatch:
+        tree, high, low = (rows.column(c).to_numpy() for c in ("tree", "high", "low"))
+        i, j, exact = _neighbours(tree, high, low, opens, closes)
+        node = rows.column("node").combine_chunks()
+        with np.errstate(over="ignore"):
+            region = mix(high.view(np.uint64) + mix(tree.astype(np.uint64))).view(np.int64)
+        a, b = node.take(pa.array(i)), node.take(pa.array(j))
+        regions = pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(region[exact])])
+        return pa.RecordBatch.from_arrays([regions, pa.concat_arrays([a, node.filter(pa.array(exact))]), pa.concat_arrays([b, pa.nulls(int(exact.sum()), b.type)])], ["region", "a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    opens = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, high = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        last = int(np.flatnonzero((tree != tree[-1]) | (high != high[-1]))[-1]) + 1 if tree[0] != tree[-1] or high[0] != high[-1] else 0
+        before = held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (int(tree[-1]), int(high[-1]))
+        if last or before:  # a region has begun: all before it is whole
+            whole = pa.Table.from_batches([*held, batch.slice(0, last)])
+            if whole.num_rows:
+                yield found(whole, opens, False)
+                opens = False
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield found(pa.Table.from_batches(held), opens, True)
 
 
 def _confirmed(percent: int):
@@ -247,30 +290,72 @@ def _block_links(percent: int):
     return run
 
 
-def _mixed(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of the crowded regions that hold more than one component: (branch, node, tree, root, n_members)."""
-    rooted = crowded.select("branch", "node", "tree").join(roots, "node", "left").select("branch", "node", "tree", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("branch").agg(F.count("*").alias("n_members"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return stage(rooted.join(several.select("branch", "n_members"), "branch"))
+def _mixed(grouped: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (region, node) of groups that hold more than one component: (region, node, root)."""
+    rooted = grouped.select("region", "node").join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return stage(rooted.join(several.select("region"), "region"))
+
 
+def _places(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
 
-def _deeper(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates of different components from the branches below mixed regions."""
-    rooted = mixed.select("node", "root").distinct()
-    below = mixed.select("node", "tree").join(nodes.select("node", "signature"), "node").select("node", "signature", "tree")
-    branches = below.mapInArrow(_trees(DEPTHS), "branch long, node string").join(rooted, "node")
-    several = branches.groupBy("branch").agg(F.count("*").alias("n"), F.min(F.struct("node", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    members = branches.join(several.select("branch", "n", "first"), "branch")
-    stars = members.filter(F.col("root") != F.col("first.root")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-    few = members.filter(F.col("n") <= SMALL).groupBy("branch").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("nodes"))
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, n) of the shingles of a task's sets."""
+    counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    for batch in batches:
+        for members in batch.column(0):
+            np.add.at(counts, _places(np.frombuffer(members.as_buffer(), dtype=np.uint64)), 1)
+    place = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(counts[place])], ["place", "n"])
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """A table of fixed size (1 MB): how frequent the shingles of each place are, in steps of an eighth of a doubling."""
+    found = sets.select("members").mapInArrow(_counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(1 << RARITY_BITS, dtype=np.uint8)
+    table[found["place"].to_numpy(dtype=np.int64)] = np.minimum(8 * np.log2(found["n"].to_numpy(dtype=np.float64) + 1), 255).astype(np.uint8)
+    return table
+
+
+def _rarest(percent: int, rarity):
+    """(region, node, root, n, at) of the shingles, rarest first, of which a linked set must hold one; the shingle is the region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = rarity.value
+        for batch in batches:
+            for node, root, members in zip(*(batch.column(k) for k in range(3))):
+                value = np.frombuffer(members.as_buffer(), dtype=np.uint64)
+                n = len(value)
+                first = value[np.lexsort((value, table[_places(value)]))][: n + percent * n // -100 + 1]
+                k = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first.view(np.int64)), pa.repeat(node, k), pa.repeat(root, k), pa.array(np.full(k, n, dtype=np.int64)), pa.array(np.arange(k))], ["region", "node", "root", "n", "at"]
+                )
+
+    return run
+
+
+def _by_rarest(mixed: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different components that share a rare enough shingle, and (region, node) of the more frequent ones."""
+    sets = stage(mixed.select("node", "root").distinct().join(members, "node").select("node", "root", "members"))
+    rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+    rows = stage(sets.mapInArrow(_rarest(percent, rarity), "region long, node string, root string, n long, at long"))
+    counted = rows.groupBy("region").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    shared = rows.join(counted.select("region", "many"), "region")
+    few = shared.filter(F.col("many") <= FEW).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "root", "n", "at"))).alias("nodes"))
     left = few.select("nodes", F.posexplode("nodes").alias("i", "a"))
-    pairs = left.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(SMALL))).alias("b")).filter("a.root <> b.root").select("a.node", "b.node")
-    return stars.union(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = left.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(FEW))).alias("b"))
+    room = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    enough = room * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))
+    pairs = pairs.filter(F.col("a.root") != F.col("b.root")).filter(enough).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    return pairs.distinct(), shared.filter(F.col("many") > FEW).select("region", "node")
 
 
 def _by_blocks(mixed: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """All links that connect components of mixed regions: regions that share nodes are compared as one group."""
-    tied = mixed.join(mixed.groupBy("branch").agg(F.min("node").alias("least")), "branch").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    """All links that connect components of mixed groups: groups that share nodes are compared as one."""
+    tied = mixed.join(mixed.groupBy("region").agg(F.min("node").alias("least")), "region").select(F.col("node").alias("u"), F.col("least").alias("v"))
     group = components(tied).withColumnRenamed("root", "group")
     sized = mixed.select("node", "root").distinct().join(group, "node").join(nodes.select("node", "n"), "node")
     total = sized.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).alias("blocks"))
@@ -292,27 +377,31 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.min_by(F.struct("doc_id", "slot"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("one"), F.first("signature").alias("signature"))
         .select("node", "n", "signature", F.col("one.doc_id").alias("first_id"), F.col("one.slot").alias("slot"))
     )
-    branches = nodes.select("node", "signature").mapInArrow(_tree_of, "branch long, node string, tree int")
-    pairs, crowded = _candidates(branches)
-    crowded = stage(crowded)
-    stars = crowded.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    pairs = stage(pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ordered = nodes.select("node", "signature").mapInArrow(_orders, "tree int, high long, low long, node string").repartitionByRange("tree", "high", "low", "node")
+    scanned = stage(ordered.sortWithinPartitions("tree", "high", "low", "node").mapInArrow(_scan, "region long, a string, b string"))
+    crowded = scanned.filter("region IS NOT NULL").select("region", F.col("a").alias("node"))
+    pairs = stage(scanned.filter("region IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    members = _member_sets(source, nodes, pairs, size)
+    members = _member_sets(source, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct(), size)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _confirm(first, members, percent)
     roots = stage(components(links))
-    for step in ("open", "deeper", "blocks"):
-        if step == "open":
-            found = _confirm(_apart(pairs, roots).join(first, ["a", "b"], "left_anti"), members, percent)
-        else:
-            mixed = _mixed(crowded, roots)
-            if mixed.isEmpty():
-                break
-            found = _confirm(_deeper(mixed, nodes), members, percent) if step == "deeper" else _by_blocks(mixed, nodes, members, percent)
+
+    def connect(found: DataFrame) -> None:
+        nonlocal links, roots
         if not found.isEmpty():
             links = stage(links.union(found))
             roots = stage(components(links))
+
+    connect(_confirm(_apart(pairs, roots).join(first, ["a", "b"], "left_anti"), members, percent))
+    mixed = _mixed(crowded, roots)
+    if not mixed.isEmpty():
+        rare, frequent = _by_rarest(mixed, members, percent)
+        frequent = stage(frequent)
+        connect(_confirm(rare, members, percent))
+        mixed = _mixed(frequent, roots)
+        if not mixed.isEmpty():
+            connect(_by_blocks(mixed, nodes, members, percent))
     labelled = nodes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component"))
     component = labelled.join(least, "root").select("node", "component")
@@ -329,9 +418,9 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _member_sets(source: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The full sets of all nodes in pairs, read from one row of each."""
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _member_sets(source: DataFrame, nodes: DataFrame, named: DataFrame, size: int) -> DataFrame:
+    """The full sets of the named nodes, read from one row of each."""
+    named = stage(named)
     table = bitmap.collect(nodes.join(named, "node").select("slot"))
     wanted = source.sparkSession.sparkContext.broadcast(table)
     found = source.select("id_hash", "text").mapInArrow(_members(size, wanted), "node string, members binary")

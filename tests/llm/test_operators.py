@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -364,6 +365,85 @@ def test_blocks_of_short_texts_are_bounded(spark, monkeypatch):
     assert got == {i: min(i, 6000) for i, _ in texts}
 
 
+def test_order_neighbours_and_borders():
+    """Every pair of a small branch and every neighbour is a candidate; whatever is cut or crowded is handed on."""
+    r = random.Random(5)
+    values = sorted((r.randrange(2), r.randrange(9), r.randrange(3) << 48 | r.randrange(2) << 32 | r.randrange(2) << 16 | r.randrange(3)) for _ in range(300))
+    rows = [(t, h, l, f"n{k:03d}") for k, (t, h, l) in enumerate(values)]
+    for cut in (7, 64, 300):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("tree", "high", "low", "node"), x)) for x in rows[k : k + cut]]) for k in range(0, 300, cut)]
+        typed = [b.cast(pa.schema([("tree", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("node", pa.string())])) for b in batches]
+        out = pa.Table.from_batches(list(minhash._scan(iter(typed)))).to_pylist()
+        got = {(x["a"], x["b"]) for x in out if x["region"] is None}
+        handed = {x["a"] for x in out if x["region"] is not None}
+        key = lambda x: (x[0], x[1], *(x[2] >> 16 * k & 0xFFFF for k in (3, 2, 1, 0)))
+        size = {}
+        for x in rows:
+            for d in range(2, 7):
+                size[key(x)[:d]] = size.get(key(x)[:d], 0) + 1
+        want = set()
+        for i, x in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                y = rows[j]
+                if key(x)[:2] == key(y)[:2] and (j == i + 1 or any(key(x)[:d] == key(y)[:d] and size[key(x)[:d]] <= minhash.SMALL for d in range(2, 7))):
+                    want.add((x[3], y[3]))
+        assert got == want
+        ends = {key(rows[0])[:2], key(rows[-1])[:2]}
+        assert handed == {x[3] for x in rows if size[key(x)[:2]] > minhash.SMALL or key(x)[:2] in ends}
+
+
+def test_texts_of_common_passages(spark, monkeypatch):
+    """Texts that are put together from the same passages are crowded; only those that differ by a word or two are linked."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passages = [[word() for _ in range(30)] for _ in range(10)]
+    texts = [[w for k in sorted(r.sample(range(10), 5)) for w in passages[k]] for _ in range(120)]
+    texts = [list(t) for t in sorted({tuple(t) for t in texts})]
+    for t in [x for x in texts[::3]]:
+        changed = list(t)
+        changed[r.randrange(len(t))] = word()
+        texts.append(changed)
+    r.shuffle(texts)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    top = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((top[a], top[b]))
+                top = [low if x == high else x for x in top]
+    calls = []
+    inner = minhash._by_blocks
+    monkeypatch.setattr(minhash, "_by_blocks", lambda *x: calls.append(1) or inner(*x))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {g.doc_id: g.component_id for g in minhash.near_duplicates(df).collect()} == dict(enumerate(top))
+    assert calls
+
+
+def test_rarest_shingles_hold_every_link(spark):
+    """The exact comparison alone, without any order: all links of random sets come from shared rare shingles or are handed on."""
+    r = np.random.default_rng(11)
+    base = [np.sort(r.choice(1 << 62, 60, replace=False).astype(np.uint64)) for _ in range(6)]
+    sets = []
+    for k in range(90):
+        own = base[k % 6].copy()
+        for _ in range(int(r.integers(0, 9))):
+            own[r.integers(60)] = np.uint64(r.integers(1 << 62))
+        sets.append(np.unique(own))
+    names = [f"{k:032x}" for k in range(90)]
+    members = spark.createDataFrame([(n, bytearray(x.tobytes())) for n, x in zip(names, sets)], "node string, members binary")
+    mixed = spark.createDataFrame([(1, n, n) for n in names], "region long, node string, root string")
+    rare, frequent = minhash._by_rarest(mixed, members, 80)
+    found = {(x.a, x.b) for x in rare.collect()}
+    groups = {}
+    for x in frequent.collect():
+        groups.setdefault(x.region, set()).add(x.node)
+    for a in range(90):
+        for b in range(a + 1, 90):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                assert (names[a], names[b]) in found or any(names[a] in g and names[b] in g for g in groups.values())
+
+
 # --- sharding ---------------------------------------------------------------------------------------------------------
 def test_sharding(spark, docs, none):
     got = sharding.shard(docs, 7).collect()
