@@ -38,6 +38,7 @@ from seslog.llm import bitmap
 from seslog.llm.arrowtext import Words, blocks, mix
 from seslog.llm.common import fresh_name, stage
 from seslog.llm.graph import components
+from seslog.llm.hotjoin import counted_join
 
 SIZE, PERCENT = 5, 80
 TREES, STEP = 24, 4
@@ -292,9 +293,14 @@ def _block_links(percent: int):
 
 def _mixed(grouped: DataFrame, roots: DataFrame) -> DataFrame:
     """The members (region, node) of groups that hold more than one component: (region, node, root)."""
-    rooted = grouped.select("region", "node").join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return stage(rooted.join(several.select("region"), "region"))
+    rooted = stage(grouped.select("region", "node").join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")))
+    return stage(counted_join(rooted, _several(rooted), ["region"], "many").select("region", "node", "root"))
+
+
+def _several(rooted: DataFrame) -> DataFrame:
+    """(region, many): the size of each group that holds more than one component."""
+    sized = rooted.groupBy("region").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return stage(sized.filter("low <> high").select("region", "many"))
 
 
 def _places(value: np.ndarray) -> np.ndarray:
@@ -342,8 +348,7 @@ def _by_rarest(mixed: DataFrame, members: DataFrame, percent: int) -> tuple[Data
     sets = stage(mixed.select("node", "root").distinct().join(members, "node").select("node", "root", "members"))
     rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
     rows = stage(sets.mapInArrow(_rarest(percent, rarity), "region long, node string, root string, n long, at long"))
-    counted = rows.groupBy("region").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    shared = rows.join(counted.select("region", "many"), "region")
+    shared = counted_join(rows, _several(rows), ["region"], "many")
     few = shared.filter(F.col("many") <= FEW).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "root", "n", "at"))).alias("nodes"))
     left = few.select("nodes", F.posexplode("nodes").alias("i", "a"))
     pairs = left.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(FEW))).alias("b"))
