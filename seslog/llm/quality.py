@@ -19,7 +19,7 @@ from seslog.llm.common import fresh_name, stage
 
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 LEAST_CHARS_FOR_CLASSES, LEAST_WORDS_FOR_COMMON = 200, 100
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.28, 0.285
+MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.35, 0.285
 MOST_BROADCAST_LANGUAGES = 10_000
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -35,10 +35,10 @@ CLASSES = ["lower", "upper", "digit", "blank", "symbol", "mark"]
 
 
 def _class_codes() -> tuple[str, str]:
-    """Each ASCII character but a-z, and the letter of its class."""
+    """Each ASCII character, and the letter of its class; all others are the rest."""
     codes = {**{c: "B" for c in BLANKS}, **{c: "S" for c in SYMBOLS}}
-    chars = [chr(c) for c in range(128) if not ("a" <= chr(c) <= "z")]
-    kind = [codes.get(c) or ("U" if "A" <= c <= "Z" else "D" if "0" <= c <= "9" else "M") for c in chars]
+    chars = [chr(c) for c in range(128)]
+    kind = [codes.get(c) or ("L" if "a" <= c <= "z" else "U" if "A" <= c <= "Z" else "D" if "0" <= c <= "9" else "M") for c in chars]
     return "".join(chars), "".join(kind)
 
 
@@ -63,7 +63,7 @@ def counts(df: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
         "chars",
         F.size("words").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        *[_occurrences(F.col("codes"), letter).alias(name) for name, letter in zip(CLASSES[1:], "UDBSM")],
+        *[_occurrences(F.col("codes"), letter).alias(name) for name, letter in zip(CLASSES, "LUDBSM")],
         F.filter("words", lambda w: w.isin(COMMON_WORDS)).alias("common"),
         F.transform(windows, lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))).alias("windows"),
     )
@@ -82,7 +82,7 @@ def counts(df: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
         "chars",
         "n_words",
         "n_dup_lines",
-        *CLASSES[1:],
+        *CLASSES,
         *[(F.size("common") - F.size(F.array_remove("common", w))).cast("long").alias(f"w{i}") for i, w in enumerate(COMMON_WORDS)],
         F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
@@ -105,14 +105,14 @@ def measure(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """One row per row of df with its counts, base_failed, both distances (null where too short) and kept."""
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT)
     rows = stage(counts(df, doc_id, text, lang).withColumn("base_failed", failed))
-    names = [*CLASSES[1:], *[f"w{i}" for i in range(len(COMMON_WORDS))]]
+    names = [*CLASSES, *[f"w{i}" for i in range(len(COMMON_WORDS))]]
     sums = rows.filter(~F.col("base_failed")).groupBy(F.col("lang").alias("of")).agg(*[F.sum(n).alias(n) for n in ["chars", "n_words", *names]])
     common = [f"w{i}" for i in range(len(COMMON_WORDS))]
-    references = stage(sums.select("of", _shares(CLASSES[1:], "chars").alias("ref_classes"), _shares(common, "n_words").alias("ref_words")))
+    references = stage(sums.select("of", _shares(CLASSES, "chars").alias("ref_classes"), _shares(common, "n_words").alias("ref_words")))
     if references.count() <= MOST_BROADCAST_LANGUAGES:
         references = F.broadcast(references)
     # each histogram is its own projection: null where the text is too short for it
-    own = rows.withColumn("classes", F.when(F.col("chars") >= LEAST_CHARS_FOR_CLASSES, _shares(CLASSES[1:], "chars"))).withColumn(
+    own = rows.withColumn("classes", F.when(F.col("chars") >= LEAST_CHARS_FOR_CLASSES, _shares(CLASSES, "chars"))).withColumn(
         "common", F.when(F.col("n_words") >= LEAST_WORDS_FOR_COMMON, _shares(common, "n_words"))
     )
     joined = own.join(references, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn(
