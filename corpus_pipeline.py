@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seslog.functions.staging import staging_root
+from seslog.functions.staging import stage, staging_root
 from seslog.llm import bpe, decontaminate, linededup, minhash, quality, vocabulary
 from seslog.llm.common import sha256_text, table
 
@@ -36,7 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, and the digest of the text that the ids give back."""
     path = vocabulary.default_path()
-    ids = bpe.encode(docs, path)
+    # written in between: a task that encodes and decodes has two Python workers, each with its batches, on top of an executor's heap
+    ids = stage(bpe.encode(docs, path))
     return bpe.decode(ids, path).withColumn("decoded_sha256", sha256_text("decoded")).drop("decoded")
 
 
@@ -53,8 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{staging_root(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
-    for n, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+    for n, (_, work) in enumerate(STAGES):
+        work(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
     return docs
 

@@ -143,3 +143,12 @@ def test_stages(spark, tmp_path):
     for d in want:
         assert list(done[d[0]].ids) == library.encode(d[1], add_special_tokens=False).ids
         assert done[d[0]].decoded_sha256 == hashlib.sha256(d[1].encode()).hexdigest()
+
+
+def test_a_task_encodes_or_decodes(spark):
+    """Never both: the Python workers of both at once took an executor above its memory."""
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    out = corpus_pipeline.encoding(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert sorted((r.doc_id, len(r.ids), r.decoded_sha256) for r in out.collect())[1] == (2, 0, hashlib.sha256(b"").hexdigest())
