@@ -85,14 +85,14 @@ class FMIndex:
     def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return high - low + self.twice.rank(high) - self.twice.rank(low)
 
-    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, longest: int, least: int = 2) -> np.ndarray:
-        """For each end: the longest run of words of the stream up to it, to a length of `longest`, that the index holds `least` times."""
-        lengths = np.zeros(len(ends), dtype=np.int64)
+    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, longest: int | np.ndarray, least: int = 2) -> np.ndarray:
+        """For each end: the longest run of words of the stream up to it, to a length of `longest` (of all or of each), that the index holds `least` times."""
+        lengths, longest = np.zeros(len(ends), dtype=np.int64), np.broadcast_to(longest, len(ends))
         which = np.arange(len(ends))
         low, high = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), self.upto[-1], dtype=np.int64)
-        for step in range(longest):
+        for step in range(int(longest.max(initial=0))):
             at = ends[which] - step
-            word = np.where(at >= 0, stream[np.maximum(at, 0)], 0)
+            word = np.where((at >= 0) & (longest[which] > step), stream[np.maximum(at, 0)], 0)
             inside = word > 0
             which, low, high, word = which[inside], low[inside], high[inside], word[inside]
             low, high = self.back(low, high, word)

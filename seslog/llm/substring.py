@@ -7,9 +7,9 @@ corpus hold no repeated window. Of the others each distinct text is taken once,
 and goes to the shard of its minimizer. Minimizers that occur very often go there window by window, by the hash of the
 window, so that no shard has to hold all that surrounds a common passage.
 
-A shard builds the FM-index of its segments (a wavelet matrix of word numbers) and streams them through it: backward
-search gives, for each place, the longest run of words up to it that occurs twice. Where that reaches the window, the
-window is repeated. All windows of a segment fit a mask of 64 bits, which goes back to every copy of the segment; words
+A shard builds the FM-index of its segments (a wavelet matrix of word numbers) and asks it about them: backward search
+gives, for a place, the longest run of words up to it that occurs twice. Windows inside such a run are repeated, those that
+hold it and the word before it are not; places are asked until no window of a segment is open. All windows of a segment fit a mask of 64 bits, which goes back to every copy of the segment; words
 under repeated windows are cut from the texts.
 
 Words, segments and minimizers are known by 64-bit hashes; a segment by its own and its minimizer's together.
@@ -108,6 +108,32 @@ def _segment_words(window: int):
     return run
 
 
+def repeated_masks(index: FMIndex, stream: np.ndarray, begin: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
+    """A bit for each window of the segments that begin at `begin` that occurs twice.
+
+    A window is asked for the longest run up to its end that occurs twice, as far back as windows are open: all windows inside the
+    run are repeated, and none is that holds the run and the word before it. The open windows on both sides are asked next.
+    """
+    mask = np.zeros(len(begin), dtype=np.int64)
+    of = np.flatnonzero(windows > 0)
+    low, high = np.zeros(len(of), dtype=np.int64), windows[of].astype(np.int64)
+    nth = high - 1
+    while len(of):
+        ends = begin[of] + nth + window - 1
+        run = np.concatenate([
+            index.matching_statistics(stream, ends[at : at + STREAM], (window + nth - low)[at : at + STREAM]) for at in range(0, len(of), STREAM)
+        ])
+        word = nth + window - 1 - run  # the word before the run, or the one before the first open window
+        hit = run >= window
+        first, count = word[hit] + 1, (run - window + 1)[hit]
+        np.bitwise_or.at(mask, of[hit], ((np.int64(1) << count) - 1) << first)
+        left, right = np.where(hit, word + 1, nth), np.where(hit, nth, word) + 1
+        more, rest = left > low, right < high
+        asked = np.where(hit, left - 1, np.maximum(low, word - window))
+        of, low, high, nth = (np.concatenate(x) for x in ((of[more], of[rest]), (low[more], right[rest]), (left[more], high[rest]), (asked[more], right[rest])))
+    return mask
+
+
 def _search(window: int):
     """The rows of a shard (mini, digest, copies, words) to (mini, digest, mask): its windows that occur twice."""
 
@@ -120,15 +146,7 @@ def _search(window: int):
         stream = np.zeros(len(number) + len(sizes), dtype=np.int64)
         stream[np.arange(len(number)) + np.repeat(np.arange(len(sizes)), sizes)] = number + 1
         index = FMIndex(stream, len(known) + 1, np.repeat(rows.column("copies").to_numpy() > 1, sizes + 1))
-        windows = sizes - window + 1
-        of = np.repeat(np.arange(len(sizes)), windows)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        mask = np.zeros(len(sizes), dtype=np.int64)
-        for at in range(0, len(of), STREAM):
-            some, k = of[at : at + STREAM], nth[at : at + STREAM]
-            lengths = index.matching_statistics(stream, begin[some] + k + window - 1, window)
-            hit = lengths >= window
-            np.bitwise_or.at(mask, some[hit], np.int64(1) << k[hit])
+        mask = repeated_masks(index, stream, begin, sizes - window + 1, window)
         return pa.table({"mini": rows.column("mini"), "digest": rows.column("digest"), "mask": mask}).filter(pa.array(mask != 0))
 
     return run

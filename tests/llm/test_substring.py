@@ -69,6 +69,37 @@ def test_index_finds_what_a_plain_search_finds():
             assert length == len(before)
 
 
+def test_open_windows_are_asked_until_none_is_left(monkeypatch):
+    """Equal to the count of all windows; a copy of all of a segment takes one question, not one for each window."""
+    asked = []
+    real = FMIndex.matching_statistics
+    monkeypatch.setattr(FMIndex, "matching_statistics", lambda self, stream, ends, longest: asked.append(len(ends)) or real(self, stream, ends, longest))
+    r = np.random.default_rng(11)
+    for window, size in ((1, 3), (2, 4), (4, 3), (6, 3)):
+        for _ in range(40):
+            base = r.integers(1, size, 60)
+            texts = []
+            for _ in range(int(r.integers(1, 9))):
+                text = base[int(r.integers(0, 30)) :][: int(r.integers(window, window + 24))].copy()
+                text[r.random(len(text)) < 0.1] = r.integers(1, 9)
+                texts.append(text.tolist())
+            twice = r.random(len(texts)) < 0.2
+            stream = np.array([x for t in texts for x in [*t, 0]])
+            index = FMIndex(stream, 10, np.repeat(twice, [len(t) + 1 for t in texts]))
+            begin = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+            windows = np.array([len(t) - window + 1 for t in texts])
+            seen = collections.Counter()
+            for t, more in zip(texts, twice):
+                for i in range(len(t) - window + 1):
+                    seen[tuple(t[i : i + window])] += 1 + int(more)
+            want = [sum(1 << i for i in range(len(t) - window + 1) if seen[tuple(t[i : i + window])] > 1) for t in texts]
+            assert substring.repeated_masks(index, stream, begin, windows, window).tolist() == want
+    asked.clear()
+    stream = np.array([*range(1, 59), 0])
+    index = FMIndex(stream, 59, np.ones(59, dtype=bool))
+    assert substring.repeated_masks(index, stream, np.array([0]), np.array([24]), 35).tolist() == [(1 << 24) - 1] and asked == [1]
+
+
 def test_ranks_and_suffixes():
     r = np.random.default_rng(5)
     values = r.integers(0, 77, 1000)
