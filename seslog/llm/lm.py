@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,9 +68,26 @@ class Lexicon:
         """The number of the begin of a text; the next is what stands before it, then come the rare words of a piece."""
         return len(self.words)
 
+    @cached_property
+    def _starts(self) -> tuple[np.ndarray, np.uint64]:
+        """Where the words begin that share their high bits, and by how much hashes are shifted to these."""
+        shift = 63 - len(self.words).bit_length()
+        return np.searchsorted(self.words, np.arange(1 << (64 - shift), dtype=np.uint64) << np.uint64(shift)).astype(np.int32), np.uint64(shift)
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
-        return at, (self.words[at] == hashes) if len(self.words) else np.zeros(len(hashes), dtype=bool)
+        """The place of the first word that is not below each hash (or of the last word), and whether it is that word."""
+        if not len(self.words):
+            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        starts, shift = self._starts
+        last = len(self.words) - 1
+        at = np.minimum(starts[hashes >> shift], last).astype(np.int64)
+        word = self.words[at]
+        below = np.flatnonzero(word < hashes)
+        while len(below := below[at[below] < last]):
+            at[below] += 1
+            word[below] = self.words[at[below]]
+            below = below[word[below] < hashes[below]]
+        return at, word == hashes
 
     def parts_of(self, at: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Over how many ranges words are split that were looked up by find."""
@@ -163,8 +181,7 @@ def learn_words(source: DataFrame, range_tokens: int = RANGE_TOKENS, hot: int =
     ranks[np.lexsort((words, -m))] = np.arange(len(m))
     parts = np.maximum(-(-m // hot), np.where((m << SPLIT_SHARE) >= every, 2, 1))
     lexicon = Lexicon(words, c, ranks, parts, 1, max(1, -(-every // range_tokens)), facts.n or 0, facts.v)
-    at, known = lexicon.find(np.array([END]))
-    lexicon.begin_parts = int(lexicon.parts[at[0]]) if known[0] else 1  # as many texts begin as end
+    lexicon.begin_parts = int(parts[words == END].max(initial=1))  # as many texts begin as end
     return counts, lexicon
 
 
@@ -173,8 +190,22 @@ def _packed(values: np.ndarray) -> bytes:
     """Numbers as compressed planes of bytes: the lowest byte of each, the second lowest and so on."""
     if not len(values):
         return b""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
-    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    width = values.dtype.itemsize
+    whole, planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), width), np.empty((width, len(values)), dtype=np.uint8)
+    for k in range(width):
+        planes[k] = whole[:, k]
+    return len(values).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def sorted_by(place: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The order of rows by place and number, equal ones as they stand. Where all fits 63 bits, whole keys are sorted."""
+    n, inner = len(place), int(number.max(initial=0)).bit_length()
+    least = n.bit_length()
+    if int(place.max(initial=0)).bit_length() + inner + least > 63:
+        return np.lexsort((number, place))
+    key = ((place.astype(np.int64) << inner | number) << least) | np.arange(n)
+    key.sort()
+    return key & ((1 << least) - 1)
 
 
 def _unpacked(data: bytes, dtype=np.uint32) -> np.ndarray:
@@ -209,7 +240,7 @@ def _pieces(shared):
             sums = [pa.array(np.diff(first)), pa.array(np.add.reduceat(counted.astype(np.int64), first[:-1])), pa.array(np.add.reduceat(logs, first[:-1]))]
             w, rare = lexicon.numbers(word, at, known)
             u, v = _before(w, first, lexicon.begin, lexicon.begin + 1)
-            order = np.argsort(place.astype(np.int64) << 32 | v, kind="stable")
+            order = sorted_by(place, v)
             u, v, w, row, place = (x[order] for x in (u, v, w, row, place))
             cuts = np.flatnonzero(np.diff(place, prepend=-1))
             out = []
@@ -320,7 +351,9 @@ def learn_range(width: int, none: int, p1: np.ndarray, grams: tuple[np.ndarray,
     p2 = (c2 - DISCOUNT) / n2[a] + weight1[a] * p1[b]
 
     deep = u != none
-    contexts, at = np.unique(v[deep] * width + u[deep], return_inverse=True)
+    pair = v[deep] * width + u[deep]
+    new = np.diff(pair, prepend=-1) != 0
+    contexts, at = pair[new], np.cumsum(new) - 1
     c3 = c[deep]
     n3, k3 = np.bincount(at, weights=c3, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
     weight2 = DISCOUNT * k3 / np.maximum(n3, 1)
@@ -338,7 +371,8 @@ def _answers(shared, bits: int):
         column = {name: pieces.column(name).to_pylist() for name in pieces.column_names}
         kind = column["kind"]
         rares = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in column["rare"]]
-        words = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *rares]))
+        words = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *rares]))
+        words = words[np.append(True, words[1:] != words[:-1])[: len(words)]]
         width = base + len(words)
         c1 = np.zeros(width)
         c1[lexicon.ranks] = lexicon.counts
@@ -365,12 +399,17 @@ def _answers(shared, bits: int):
         key = found.column("key").to_numpy().view(np.uint64)
         c1[base + np.searchsorted(words, key)] = found.column("c").to_numpy()
         p1 = (c1 + 1) / (lexicon.total + lexicon.distinct + 1)
-        contexts, place = np.unique(v * width + u, return_inverse=True)
-        keys, gram = np.unique(place * width + w, return_inverse=True)
-        of = contexts[keys // width]
+        if width**3 < 1 << 63:
+            keys, gram = np.unique((v * width + u) * width + w, return_inverse=True)
+            of = keys // width
+        else:
+            contexts, place = np.unique(v * width + u, return_inverse=True)
+            keys, gram = np.unique(place * width + w, return_inverse=True)
+            of = contexts[keys // width]
+            del contexts, place
         grams = of % width, of // width, keys % width, np.bincount(gram, weights=training, minlength=len(keys)).astype(np.int64)
         seen = grams[3] > 0
-        del u, v, contexts, place, keys, of, training
+        del u, v, keys, of, training
         with tries.mapped(learn_range(width, lexicon.begin + 1, p1, tuple(x[seen] for x in grams), pairs, bits)) as model:
             every = model.log10(*grams[:3], np.log10(p1[grams[2]]))[gram]
             start, out = 0, []

@@ -5,7 +5,7 @@ before it (its contexts), with the weight that each leaves to shorter contexts;
 both. A level holds the children of all nodes of the level above, node by node, as one monotone sequence of parent * width +
 child. A child of the deepest level is not a word but the place of that word among the successors of the middle word (its
 context-relative number), which is much smaller; a second sequence says where these begin. A search takes the high bits to a
-bucket of the sequence and looks for the low bits inside it.
+bucket of the sequence and looks for the low bits inside it; a large batch of searches unpacks the sequence once instead.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from contextlib import contextmanager
 import numpy as np
 
 
+MANY = 8  # a batch of more than one value for so many of a sequence unpacks it
+
+
 # --- monotone sequences -----------------------------------------------------------------------------------------------
 def pack_monotone(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """Elias-Fano: low bits one after the other, high bits in unary."""
@@ -65,6 +68,10 @@ class Monotone:
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, or -1."""
         x = values.astype(np.uint64)
+        if self.n and len(x) * MANY >= self.n:  # cheaper to unpack the sequence once
+            every = self.get(np.arange(self.n))
+            at = np.minimum(np.searchsorted(every, x), self.n - 1)
+            return np.where(every[at] == x, at, -1)
         bucket = (x >> np.uint64(self.low_bits)).astype(np.int64)
         known = bucket < self.buckets
         bucket = np.where(known, bucket, 0)
@@ -86,11 +93,17 @@ class Monotone:
 def quantise(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes and their centres: the values themselves if they are few enough, else the means of equal shares of the sorted values."""
     kind, size = np.uint8 if bits <= 8 else np.uint16, 1 << bits
-    centres = np.unique(values).astype(np.float64)
+    order = np.argsort(values)
+    ordered = values[order]
+    centres = ordered[np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]].astype(np.float64)
     if len(centres) > size:
         starts = np.arange(size, dtype=np.int64) * len(values) // size
-        centres = np.add.reduceat(np.sort(values), starts) / np.diff(np.append(starts, len(values)))
-    return np.searchsorted((centres[1:] + centres[:-1]) / 2, values).astype(kind), centres
+        centres = np.add.reduceat(ordered, starts) / np.diff(np.append(starts, len(values)))
+    # means of equal values may differ in their last bit, so borders are made to ascend
+    above = np.searchsorted(ordered, np.maximum.accumulate((centres[1:] + centres[:-1]) / 2), side="right")
+    codes = np.empty(len(values), dtype=kind)
+    codes[order] = np.repeat(np.arange(len(above) + 1), np.diff(above, prepend=0, append=len(values)))
+    return codes, centres
 
 
 # --- the trie ---------------------------------------------------------------------------------------------------------

@@ -174,6 +174,42 @@ def test_monotone_sequences():
         assert seq.find(probe).tolist() == [place.get(int(x), -1) for x in probe]
 
 
+def test_large_batches_of_a_sequence_are_merged():
+    """With as many values as it holds the sequence is unpacked once; no bucket is searched."""
+    r = np.random.default_rng(6)
+    values = np.unique(r.integers(0, 10**7, 4000))
+    seq = trie.Monotone(**trie.pack_monotone(values, 10**7))
+    probe = np.concatenate((r.permutation(values), r.integers(0, 10**7, 300), [0, 10**7 + 9]))
+    few = [int(seq.find(probe[i : i + 1])[0]) for i in range(0, len(probe), 7)]
+    seq.begin = None
+    found = seq.find(probe)
+    place = {int(v): i for i, v in enumerate(values)}
+    assert found.tolist() == [place.get(int(x), -1) for x in probe] and few == found[::7].tolist()
+
+
+def test_frequent_words_are_found_by_their_high_bits():
+    r = np.random.default_rng(4)
+    high = np.uint64((1 << 64) - 1)
+    for n in (0, 1, 2, 700):
+        words = np.unique(np.append(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2), [np.uint64(0), high][: min(n, 2)]).astype(np.uint64))
+        words = np.unique(np.append(words, words[: n // 3] + np.uint64(1)))  # neighbours share all high bits
+        lexicon = lm.Lexicon(words, *[np.zeros(len(words), dtype=np.int64)] * 3, 1, 1, 1, 1)
+        probe = np.concatenate((words, words + np.uint64(1), words - np.uint64(1), r.integers(0, 1 << 63, 50, dtype=np.uint64), [np.uint64(0), high])).astype(np.uint64)
+        at, known = lexicon.find(probe)
+        assert known.tolist() == np.isin(probe, words).tolist()
+        assert at.tolist() == np.minimum(np.searchsorted(words, probe), max(len(words) - 1, 0)).tolist()
+        if n:
+            assert len(lexicon._starts[0]) > len(words)
+
+
+def test_rows_are_sorted_as_whole_keys():
+    r = np.random.default_rng(9)
+    for most in (1, 50, 1 << 40, 1 << 60):
+        place, number = r.integers(0, 40, 3000).astype(np.int32), r.integers(0, most, 3000)
+        assert lm.sorted_by(place, number).tolist() == np.lexsort((number, place)).tolist()
+    assert len(lm.sorted_by(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))) == 0
+
+
 def test_scores(spark, docs, none):
     held = checksum_of_id("doc_id") % 7 == 2
     got = lm.score(docs, held).collect()
@@ -224,6 +260,10 @@ def test_quantised_values():
     assert np.abs(centre[code] - values).max() <= max(order[k + 40] - order[k] for k in range(len(order) - 40))
     code, centre = trie.quantise(values[:200], 8)
     assert (centre[code] == values[:200]).all()
+    # many equal values, whose means differ in their last bit
+    values = np.repeat(np.log10(np.arange(3, 40) / 7), 200)
+    code, centre = trie.quantise(np.append(values, np.linspace(2, 3, 300)), 8)
+    assert np.abs(centre[code][: len(values)] - values).max() < 0.04
 
 
 def test_scores_do_not_depend_on_ranges(spark, docs, none):
