@@ -362,6 +362,16 @@ def learn_range(width: int, none: int, p1: np.ndarray, grams: tuple[np.ndarray,
     return tries.build(width, np.log10(weight1), (a, b, np.log10(p2)), (contexts // width, contexts % width, np.log10(weight2)), (at, below, np.log10(p3)), bits)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and the place of each value among them."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.append(True, values[1:] != values[:-1])[: len(values)]
+    place = np.empty(len(values), dtype=np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return values[new], place
+
+
 def _answers(shared, bits: int):
     """Of one range: per block the sums of log10 p by row, and the known rare words of each row."""
 
@@ -377,7 +387,7 @@ def _answers(shared, bits: int):
         c1 = np.zeros(width)
         c1[lexicon.ranks] = lexicon.counts
         def numbered(data: bytes, k: int) -> np.ndarray:
-            return placed(_unpacked(data).astype(np.int64), k)
+            return placed(_unpacked(data).astype(np.int32), k)
 
         def placed(numbers: np.ndarray, k: int) -> np.ndarray:
             rare = numbers >= base
@@ -387,31 +397,46 @@ def _answers(shared, bits: int):
         texts = [k for k, x in enumerate(kind) if x == TEXT]
         hot = [k for k, x in enumerate(kind) if x == PAIRS]
         joined = lambda parts, dtype=np.int64: np.concatenate([np.zeros(0, dtype=dtype), *parts])
-        v = joined([placed(np.cumsum(_unpacked(column["v"][k]), dtype=np.int64), k) for k in texts])
-        u = joined([numbered(column["u"][k], k) for k in texts])
-        w = joined([numbered(column["w"][k], k) for k in texts])
-        rows = [_unpacked(column["row"][k]).astype(np.int64) for k in texts]
-        training = (joined(rows) & 1).astype(bool)
         linked = [np.full(len(_unpacked(column["w"][k])), _unpacked(column["v"][k])[0], dtype=np.int64) for k in hot]
         pairs = (joined(linked), joined([numbered(column["w"][k], k) for k in hot]), joined([_unpacked(column["extra"][k], np.uint64).astype(np.int64) for k in hot]))
+        # a range may hold many tokens: columns are let go once they are unpacked, and of rows only what is asked for later stays
+        rows = [_unpacked(column["row"][k]) for k in texts]
+        training = joined([(x & np.uint32(1)).astype(bool) for x in rows], bool)
+        key = joined([placed(np.cumsum(_unpacked(column["v"][k]), dtype=np.int64), k) for k in texts])
+        key *= width
+        key += joined([numbered(column["u"][k], k) for k in texts], np.int32)
+        w = joined([numbered(column["w"][k], k) for k in texts], np.int32)
+        for name in ("row", "v", "u", "w"):
+            del column[name]
         # a rare word that was not looked up occurs once: in training, if that is here
         c1[w[training & (w >= base)]] = 1
-        key = found.column("key").to_numpy().view(np.uint64)
-        c1[base + np.searchsorted(words, key)] = found.column("c").to_numpy()
+        looked_up = found.column("key").to_numpy().view(np.uint64)
+        c1[base + np.searchsorted(words, looked_up)] = found.column("c").to_numpy()
         p1 = (c1 + 1) / (lexicon.total + lexicon.distinct + 1)
-        if width**3 < 1 << 63:
-            keys, gram = np.unique((v * width + u) * width + w, return_inverse=True)
-            of = keys // width
-        else:
-            contexts, place = np.unique(v * width + u, return_inverse=True)
-            keys, gram = np.unique(place * width + w, return_inverse=True)
-            of = contexts[keys // width]
-            del contexts, place
-        grams = of % width, of // width, keys % width, np.bincount(gram, weights=training, minlength=len(keys)).astype(np.int64)
-        seen = grams[3] > 0
-        del u, v, keys, of, training
-        with tries.mapped(learn_range(width, lexicon.begin + 1, p1, tuple(x[seen] for x in grams), pairs, bits)) as model:
-            every = model.log10(*grams[:3], np.log10(p1[grams[2]]))[gram]
+        contexts = None
+        if width**3 >= 1 << 63:
+            contexts, key = distinct(key)
+            key = key.astype(np.int64)
+        key *= width
+        key += w
+        keys, gram = distinct(key)
+        del key
+
+        def words_of(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+            of = keys // width if contexts is None else contexts[keys // width]
+            return of % width, of // width, keys % width
+
+        counted = np.bincount(gram, weights=training, minlength=len(keys)).astype(np.int64)
+        seen = counted > 0
+        grams = *words_of(keys[seen]), counted[seen]
+        del training, counted, seen
+        data = learn_range(width, lexicon.begin + 1, p1, grams, pairs, bits)
+        del grams
+        with tries.mapped(data) as model:
+            del data
+            u, v, last = words_of(keys)
+            every = model.log10(u, v, last, np.log10(p1[last]))[gram]
+            del u, v, keys, gram
             start, out = 0, []
             for k, row in zip(texts, rows):
                 stop = start + len(row)
