@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seslog.functions.staging import stage
@@ -22,11 +22,11 @@ DAY_MS = 86_400_000
 
 @dataclass(frozen=True)
 class Running:
-    """partial: value of one block; local/carry: window over rows or blocks; join: both combined."""
+    """partial: value of one block; local/carry: window over rows or blocks, in order and backwards; join: both combined."""
 
     partial: Callable[[Column], Column]
-    local: Callable[[Sequence[Column]], Column]
-    carry: Callable[[Column, Sequence[Column]], Column]
+    local: Callable[[WindowSpec, WindowSpec], Column]
+    carry: Callable[[Column, WindowSpec, WindowSpec], Column]
     join: Callable[[Column, Column], Column]
 
 
@@ -37,8 +37,8 @@ def _frame(window, before: bool):
 def _forward(aggregate, combine, expr: Column, before: bool) -> Running:
     return Running(
         partial=lambda order: aggregate(expr),
-        local=lambda w: aggregate(expr).over(_frame(w, before)),
-        carry=lambda part, w: aggregate(part).over(_frame(w, True)),
+        local=lambda w, back: aggregate(expr).over(_frame(w, before)),
+        carry=lambda part, w, back: aggregate(part).over(_frame(w, True)),
         join=combine,
     )
 
@@ -60,19 +60,22 @@ def last_value(expr: Column, before: bool = False) -> Running:
     """Latest non-null value up to this row (before=True: without it)."""
     return Running(
         partial=lambda order: F.max_by(expr, F.when(expr.isNotNull(), order)),
-        local=lambda w: F.last(expr, ignorenulls=True).over(_frame(w, before)),
-        carry=lambda part, w: F.last(part, ignorenulls=True).over(_frame(w, True)),
+        local=lambda w, back: F.last(expr, ignorenulls=True).over(_frame(w, before)),
+        carry=lambda part, w, back: F.last(part, ignorenulls=True).over(_frame(w, True)),
         join=lambda a, b: F.coalesce(a, b),
     )
 
 
 def next_value(expr: Column, after: bool = True) -> Running:
-    """Next non-null value after this row (after=False: from this row on)."""
-    start = 1 if after else 0
+    """Next non-null value after this row (after=False: from this row on).
+
+    It is the latest value of a window that runs backwards: a frame that ends at the last row is computed anew for each
+    row, which is quadratic in a block.
+    """
     return Running(
         partial=lambda order: F.min_by(expr, F.when(expr.isNotNull(), order)),
-        local=lambda w: F.first(expr, ignorenulls=True).over(w.rowsBetween(start, Window.unboundedFollowing)),
-        carry=lambda part, w: F.first(part, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        local=lambda w, back: F.last(expr, ignorenulls=True).over(_frame(back, after)),
+        carry=lambda part, w, back: F.last(part, ignorenulls=True).over(_frame(back, True)),
         join=lambda a, b: F.coalesce(a, b),
     )
 
@@ -102,13 +105,15 @@ def ordered_scan(
     scope = [*keys, "__block"]
     order_key = F.struct(*[F.col(c) for c in order])
     inside = Window.partitionBy(*scope).orderBy(*order)
+    inside_back = Window.partitionBy(*scope).orderBy(*[F.desc(c) for c in order])
     over_blocks = Window.partitionBy(*keys).orderBy("__block")
+    over_blocks_back = Window.partitionBy(*keys).orderBy(F.desc("__block"))
 
     summary = rows.groupBy(*scope).agg(*[spec.partial(order_key).alias(f"__p_{name}") for name, spec in outputs.items()])
     carried = summary.select(
-        *scope, *[spec.carry(F.col(f"__p_{name}"), over_blocks).alias(f"__c_{name}") for name, spec in outputs.items()]
+        *scope, *[spec.carry(F.col(f"__p_{name}"), over_blocks, over_blocks_back).alias(f"__c_{name}") for name, spec in outputs.items()]
     )
-    local = rows.select("*", *[spec.local(inside).alias(f"__l_{name}") for name, spec in outputs.items()])
+    local = rows.select("*", *[spec.local(inside, inside_back).alias(f"__l_{name}") for name, spec in outputs.items()])
     joined = local.join(carried, scope)
     results = {name: spec.join(F.col(f"__l_{name}"), F.col(f"__c_{name}")) for name, spec in outputs.items()}
     kept = [c for c in df.columns if c not in results]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seslog.functions.ordered import DAY_MS, last_value, next_value, ordered_scan, running_max, running_min, running_sum, time_block
+from seslog.functions.staging import stage
 
 FAR_PAST, FAR_FUTURE = -(2**61), 2**61
 
@@ -29,15 +30,20 @@ def first_covering(
     spans = intervals.select(
         *keys, "ord", "interval_id", F.coalesce("start_ms", F.lit(FAR_PAST)).alias("s"), F.coalesce("end_ms", F.lit(FAR_FUTURE)).alias("e")
     )
-    scanned = ordered_scan(
+    # Read by several branches: both are written once.
+    scanned = stage(ordered_scan(
         spans, keys, F.floor(F.col("ord") / 65_536), ["ord"],
         reach=running_max(F.col("e"), before=True), latest=running_max(F.col("s"), before=True),
-    )
-    unordered = scanned.filter("s < latest").select(*keys).distinct()
-    steps = scanned.filter("reach IS NULL OR e > reach").join(unordered, keys, "left_anti")
+    ))
+    unordered = stage(scanned.filter("s < latest").select(*keys).distinct())
+    some = not unordered.isEmpty()
+    steps = scanned.filter("reach IS NULL OR e > reach")
+    ahead = points
+    if some:
+        steps, ahead = steps.join(unordered, keys, "left_anti"), points.join(unordered, keys, "left_anti")
     cells = [c for c in points.columns if c not in keys]
-    line = points.select(*keys, F.col("t").alias("__t"), F.lit(0).alias("__side"), F.struct(*cells).alias("__p"),
-                         F.lit(None).cast(_step_type(spans)).alias("__step")).join(unordered, keys, "left_anti")
+    line = ahead.select(*keys, F.col("t").alias("__t"), F.lit(0).alias("__side"), F.struct(*cells).alias("__p"),
+                        F.lit(None).cast(_step_type(spans)).alias("__step"))
     ends = steps.select(*keys, F.col("e").alias("__t"), F.lit(1).alias("__side"),
                         F.lit(None).cast(line.schema["__p"].dataType).alias("__p"), F.struct("interval_id", "s").alias("__step"))
     # Points without a time sort to the front and are answered separately.
@@ -46,13 +52,14 @@ def first_covering(
         hit=next_value(F.col("__step"), after=False),
     ).filter("__side = 0")
     found = both.select(*keys, "__p.*", F.when(F.col("hit.s") <= F.col("__t"), F.col("hit.interval_id")).alias("interval_id"))
+    blank = ahead.filter("t IS NULL").select(*keys, *cells, F.lit(None).cast(intervals.schema["interval_id"].dataType).alias("interval_id"))
+    placed = found.unionByName(blank)
+    if not some:
+        return placed
     rest = points.join(unordered, keys, "left_semi")
     times = rest.select(*keys, "t").filter("t IS NOT NULL").distinct()
-    answers = _first_by_cells(times, spans.join(unordered, keys, "left_semi"), keys)
-    placed = rest.join(answers, [*keys, "t"], "left").select(*keys, *cells, "interval_id")
-    blank = points.filter("t IS NULL").join(unordered, keys, "left_anti").select(
-        *keys, *cells, F.lit(None).cast(intervals.schema["interval_id"].dataType).alias("interval_id"))
-    return found.unionByName(placed).unionByName(blank)
+    answers = _first_by_cells(times, scanned.select(*spans.columns).join(unordered, keys, "left_semi"), keys)
+    return placed.unionByName(rest.join(answers, [*keys, "t"], "left").select(*keys, *cells, "interval_id"))
 
 
 def _first_by_cells(times: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:

@@ -41,3 +41,14 @@ def test_position(spark):
     got = with_position(df, ["k"], event_block("i", 10), ["i"], "p")
     want = df.withColumn("p", F.row_number().over(Window.partitionBy("k").orderBy("i")) - 1)
     assert sorted(map(tuple, got.select("k", "i", "p").collect())) == sorted(map(tuple, want.select("k", "i", "p").collect()))
+
+
+def test_no_frame_ends_at_the_last_row(spark):
+    """Such a frame is computed anew for each row, so a block would take the square of its rows."""
+    df = spark.range(3_000).select(F.lit("hot").alias("k"), F.col("id").alias("i"), F.when(F.col("id") % 1_000 == 0, F.col("id")).alias("v"))
+    got = ordered_scan(df, ["k"], event_block("i"), ["i"], nxt=next_value(F.col("v")), here=next_value(F.col("v"), after=False), foll=following_row(F.col("v")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "window" in plan and "unboundedfollowing" not in plan
+    assert got.filter("here IS DISTINCT FROM CASE WHEN i <= 2000 THEN CAST(ceil(i / 1000) AS BIGINT) * 1000 END").count() == 0
+    assert got.filter("nxt IS DISTINCT FROM CASE WHEN i < 2000 THEN CAST(floor(i / 1000) + 1 AS BIGINT) * 1000 END").count() == 0
+    assert got.filter("foll IS DISTINCT FROM CASE WHEN i < 2000 AND (i + 1) % 1000 = 0 THEN i + 1 END").count() == 0
