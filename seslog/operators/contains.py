@@ -1,9 +1,11 @@
-"""Which names a text holds, by an inverted index over grams: an equi-join, not texts times names.
-
-A name is looked up by one gram of it, its first `GRAM` characters or fewer, where it is longer the one that the fewest
-texts of its group hold. Texts give their grams of the lengths that names of their group have. Candidates are confirmed
-on the whole name, so a name of up to `GRAM` characters has no false candidates, and what is joined grows with the
-characters of the texts and the true matches.
+"""Which names a text holds: groups of few names are tried, crowded ones have an inverted index over grams.
+
+Where a group has at most `FEW` names of at most `FEW_CHARS` characters in all, each of its texts is compared with all of them
+in one join on the group: a bounded number of tests a text, and only true matches come out. In a crowded group texts times
+names would grow with the square of the group. There a name is looked up by one gram of it, its first `GRAM` characters or
+fewer, where it is longer the one that the fewest texts of its group hold. Texts give their grams of the lengths that names of
+their group have. Candidates are confirmed on the whole name, so a name of up to `GRAM` characters has no false candidates,
+and what is joined grows with the characters of the texts and the true matches.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seslog.functions.staging import stage
+
 GRAM = 12
+FEW, FEW_CHARS = 256, 1 << 20
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -22,10 +27,24 @@ def _grams(text: Column, size: Column) -> Column:
 
 def contained_names(texts: DataFrame, names: DataFrame, group: str, keys: list[str], text: str = "text", name: str = "name") -> DataFrame:
     """(group, keys, name): the distinct names of a group that the text of its row `keys` holds. Empty names hold nowhere."""
-    size = F.least(F.length("__name"), F.lit(GRAM))
-    known = names.select(group, F.col(name).alias("__name")).filter("__name <> ''").distinct().withColumn("__size", size)
+    known = stage(names.select(group, F.col(name).alias("__name")).filter((F.col("__name") != "") & F.col(group).isNotNull()).distinct())
+    sizes = known.groupBy(group).agg(F.count("*").alias("__n"), F.sum(F.length("__name")).alias("__chars"))
+    crowded = stage(sizes.filter((F.col("__n") > FEW) | (F.col("__chars") > FEW_CHARS)).select(group))
+    rows = texts.select(group, *keys, F.col(text).alias("__text")).dropna(subset=[group, *keys])
+    held = F.contains("__text", F.col("__name"))
+    if crowded.isEmpty():
+        found = rows.join(known, group).filter(held).select(group, *keys, "__name")
+    else:
+        rows = stage(rows)
+        few = rows.join(known.join(crowded, group, "left_anti"), group).filter(held).select(group, *keys, "__name")
+        found = few.unionByName(_indexed(rows.join(crowded, group, "left_semi"), known.join(crowded, group, "left_semi"), group, keys))
+    return found.distinct().withColumnRenamed("__name", name)
+
+
+def _indexed(rows: DataFrame, known: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """(group, keys, __name) by grams; a row may come more than once."""
+    known = known.withColumn("__size", F.least(F.length("__name"), F.lit(GRAM)))
     lengths = known.groupBy(group).agg(F.collect_set("__size").alias("__sizes"))  # at most GRAM numbers a group
-    rows = texts.select(group, *keys, F.col(text).alias("__text"))
     held = rows.join(lengths, group).select(group, *keys, "__text", F.explode("__sizes").alias("__size")).select(
         group, *keys, "__size", F.explode(_grams(F.col("__text"), F.col("__size"))).alias("__gram"))
     asked = known.select(group, "__name", "__size", F.explode(_grams(F.col("__name"), F.col("__size"))).alias("__gram"))
@@ -34,4 +53,4 @@ def contained_names(texts: DataFrame, names: DataFrame, group: str, keys: list[s
     rarest = asked.join(often, [group, "__size", "__gram"], "left").groupBy(group, "__name", "__size").agg(
         F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"), F.bool_and(F.col("__n").isNotNull()).alias("__all")).filter("__all").drop("__all")
     found = held.join(rarest, [group, "__size", "__gram"]).select(group, *keys, "__name")
-    return found.join(rows, [group, *keys]).filter(F.contains("__text", F.col("__name"))).select(group, *keys, F.col("__name").alias(name)).distinct()
+    return found.join(rows, [group, *keys]).filter(F.contains("__text", F.col("__name"))).select(group, *keys, "__name")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seslog.functions.js import text_at
 from seslog.functions.ordered import DAY_MS, ordered_scan, running_sum, time_block
+from seslog.functions.staging import stage
 from seslog.functions.text import first_line, nonempty, trim_space
 from seslog.operators.contains import contained_names
 
@@ -102,15 +103,17 @@ def spawn_matches(calls: DataFrame, children: DataFrame) -> DataFrame:
     child order that no earlier call has taken. ``calls``: session_id, event_index, ts_ms, name, arguments;
     ``children``: session_id, child_id, child_order, nickname, role, title.
     """
-    spawns = calls.filter("name = 'spawn_agent'").withColumn("__named", _named_ids(F.col("arguments")))
-    known = children.select("session_id", F.col("child_id").alias("__named"), F.lit(True).alias("__known"))
-    tagged = spawns.join(known, ["session_id", "__named"], "left")
+    named_id = _named_ids(F.col("arguments"))
+    message = F.coalesce(nonempty(F.get_json_object("arguments", "$.message")), F.get_json_object("arguments", "$.prompt"), F.lit(""))
+    known = children.select("session_id", F.col("child_id").alias("__named"), F.lit(True).alias("__known")).distinct()
+    spawns = calls.filter("name = 'spawn_agent'").select("session_id", "event_index", "ts_ms", named_id.alias("__named"), message.alias("__message"))
+    # read by several branches: arguments are parsed once
+    tagged = stage(spawns.join(known, ["session_id", "__named"], "left"))
     explicit = tagged.filter("__known").groupBy("session_id", F.col("__named").alias("child_id")).agg(
         F.max("event_index").alias("event_index"), F.max_by("ts_ms", "event_index").alias("ts_ms"))
-    message = F.coalesce(nonempty(F.get_json_object("arguments", "$.message")), F.get_json_object("arguments", "$.prompt"), F.lit(""))
-    loose = tagged.filter("__known IS NULL").select("session_id", "event_index", "ts_ms", message.alias("__message"))
+    loose = tagged.filter("__known IS NULL").select("session_id", "event_index", "ts_ms", "__message")
     named = children.select("session_id", "child_id", "child_order", F.explode(F.array_distinct(F.array_compact(F.array("nickname", "role", "title")))).alias("name")).filter("name <> ''")
-    told = contained_names(loose, named, "session_id", ["event_index"], "__message")
+    told = contained_names(loose.filter("__message <> ''"), named, "session_id", ["event_index"], "__message")
     guessed = _one_child_per_call(told.join(loose.drop("__message"), ["session_id", "event_index"]), named, explicit_early(tagged))
     rest = guessed.join(explicit.select("session_id", "child_id"), ["session_id", "child_id"], "left_anti")
     return explicit.withColumn("explicit", F.lit(True)).unionByName(rest.withColumn("explicit", F.lit(False)))
@@ -127,32 +130,52 @@ def _one_child_per_call(told: DataFrame, named: DataFrame, taken: DataFrame) ->
     told: session_id, event_index, ts_ms, name (a name that the call's text holds); named: session_id, child_id,
     child_order, name. Which child is free depends on all earlier calls, so a session is folded in order, but over names,
     not over pairs: a name keeps its children in a queue whose taken ones are passed for good, so the fold takes as many
-    steps as there are rows, also where every call and every child share a name.
+    steps as there are rows, also where every call and every child share a name. Sorted rows of many sessions come in one
+    batch, as a call into Python for each session would cost more than its rows.
     """
-    queues = named.join(taken, ["session_id", "child_id"], "left").select(F.col("session_id").alias("owner"), "child_id", F.col("child_order").cast("long").alias("child_order"), "name", F.col("__taken").cast("double").alias("taken"))
-    fields = told.schema
-    schema = StructType([fields["session_id"], queues.schema["child_id"], fields["event_index"], fields["ts_ms"]])
-
-    def fold(calls, children):
-        ordered = children.sort_values(["child_order", "child_id"])
-        queue = {name: list(zip(g["child_order"], g["child_id"], g["taken"])) for name, g in ordered.groupby("name", sort=False)}
-        at, used, out = dict.fromkeys(queue, 0), set(), []
-        for row in calls.sort_values("event_index").groupby("event_index", sort=False):
-            event, group = row
-            best = None
-            for name in group["name"]:
-                waiting = queue.get(name, ())
-                while at.get(name, 0) < len(waiting) and (waiting[at[name]][1] in used or waiting[at[name]][2] < event):
-                    at[name] += 1
-                if at.get(name, 0) < len(waiting) and (best is None or waiting[at[name]][:2] < best):
-                    best = waiting[at[name]][:2]
-            if best is not None:
-                used.add(best[1])
-                out.append((calls["session_id"].iloc[0], best[1], event, group["ts_ms"].iloc[0]))
-        return pd.DataFrame(out, columns=["session_id", "child_id", "event_index", "ts_ms"])
-
-    narrow = told.select("session_id", "event_index", "ts_ms", "name")
-    return narrow.groupBy("session_id").cogroup(queues.groupBy("owner")).applyInPandas(fold, schema)
+    queues = named.join(taken, ["session_id", "child_id"], "left").select("session_id", F.lit(0).alias("side"), "name", F.col("child_order").cast("long").alias("child_order"), "child_id", "__taken")
+    lines = told.select("session_id", F.lit(1).alias("side"), "name", "event_index", "ts_ms").unionByName(queues, allowMissingColumns=True)
+    last = F.asc_nulls_last
+    ordered = lines.repartition("session_id").sortWithinPartitions("session_id", "side", "event_index", last("child_order"), last("child_id")).select(
+        "session_id", "name", "event_index", "ts_ms", "child_order", "child_id", "__taken")
+    fields = lines.schema
+    schema = StructType([fields[c] for c in ("session_id", "child_id", "event_index", "ts_ms")])
+
+    def fold(batches):
+        """Sessions one after another: the queues of a session, then its calls."""
+        session, queue, at, used, event, best, ts = None, {}, {}, set(), None, None, None
+        out = []
+        for batch in batches:
+            for key, name, index, time, order, child, taken in zip(*[column.to_pylist() for column in batch.columns]):
+                if best is not None and (key != session or index != event):
+                    used.add(best[1])
+                    out.append((session, best[1], event, ts))
+                    best = None
+                if key != session:
+                    session, queue, at, used, event = key, {}, {}, set(), None
+                if index is None:
+                    queue.setdefault(name, []).append(((order is None, order or 0, child is None, 0 if child is None else child), child, taken))
+                    continue
+                if index != event:
+                    event, ts = index, time
+                waiting, n = queue.get(name, ()), at.get(name, 0)
+                while n < len(waiting) and (waiting[n][1] in used or (waiting[n][2] is not None and waiting[n][2] < event)):
+                    n += 1
+                at[name] = n
+                if n < len(waiting) and (best is None or waiting[n][0] < best[0]):
+                    best = waiting[n]
+            types = [(c, batch.schema.field(c).type) for c in schema.names]
+            if out:
+                yield _record_batch(out, types)
+                out = []
+        if best is not None:
+            yield _record_batch([(session, best[1], event, ts)], types)
+
+    return ordered.mapInArrow(fold, schema)
+
+
+def _record_batch(rows: list[tuple], types: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(zip(*rows), types)], names=[name for name, _ in types])
 
 
 # The keys under which a notification names its agent.
@@ -163,14 +186,13 @@ def notification_payload(text: Column) -> Column:
     """The notification object of a text: bare JSON or inside its tag; NULL for other texts."""
     trimmed = trim_space(F.coalesce(text, F.lit("")))
     wrapped = trim_space(F.regexp_extract(trimmed, r"(?is)<subagent_notification>\s*(.*?)\s*</subagent_notification>", 1))
-    candidates = F.array(trimmed, wrapped)
+    parsed = F.transform(F.array(trimmed, wrapped), lambda t: F.struct(t.alias("text"), F.try_parse_json(F.when(t.startswith("{"), t)).alias("doc")))
 
-    def usable(t: Column) -> Column:
-        doc = F.try_parse_json(F.when(t.startswith("{"), t))
+    def usable(doc: Column) -> Column:
         named = F.coalesce(*[nonempty(text_at(doc, k)) for k in NOTICE_KEYS]).isNotNull()
         return F.coalesce(doc.isNotNull() & (named | (text_at(doc, "type") == "subagent_notification")), F.lit(False))
 
-    return F.get(F.filter(candidates, usable), 0)
+    return F.get(F.filter(parsed, lambda x: usable(x["doc"])), 0)["text"]
 
 
 def notification_matches(events: DataFrame, children: DataFrame) -> DataFrame:
@@ -179,14 +201,15 @@ def notification_matches(events: DataFrame, children: DataFrame) -> DataFrame:
     ``events``: session_id, event_index, ts_ms, text, record (preview and payload as text).
     """
     payload = F.coalesce(notification_payload(F.col("text")), notification_payload(F.col("record")))
-    doc = F.try_parse_json("__payload")
-    ids = F.array_distinct(F.array_compact(F.array(*[nonempty(trim_space(text_at(doc, k))) for k in NOTICE_KEYS])))
-    rows = events.withColumn("__payload", payload).withColumn("__ids", F.coalesce(ids, F.array().cast("array<string>")))
-    by_id = rows.select("session_id", "event_index", "ts_ms", F.explode("__ids").alias("child_id")).join(
-        children.select("session_id", "child_id"), ["session_id", "child_id"])
-    loose = rows.filter(F.col("record").rlike("(?i)subagent_notification|agent_path")).join(
-        by_id.select("session_id", "event_index").distinct(), ["session_id", "event_index"], "left_anti")
-    found = contained_names(loose, children, "session_id", ["event_index"], "record", "child_id")
+    ids = F.array_distinct(F.array_compact(F.array(*[nonempty(trim_space(text_at(F.col("__doc"), k))) for k in NOTICE_KEYS])))
+    told = F.when(F.col("record").rlike("(?i)subagent_notification|agent_path"), F.col("record"))
+    # Read by several branches, which would each repeat the large expressions: records are parsed once.
+    rows = stage(events.select("session_id", "event_index", "ts_ms", "record", F.try_parse_json(payload).alias("__doc")).select(
+        "session_id", "event_index", "ts_ms", told.alias("__told"), F.coalesce(ids, F.array().cast("array<string>")).alias("__ids")))
+    by_id = stage(rows.select("session_id", "event_index", "ts_ms", F.explode("__ids").alias("child_id")).join(
+        children.select("session_id", "child_id"), ["session_id", "child_id"]))
+    loose = rows.filter("__told IS NOT NULL").join(by_id.select("session_id", "event_index").distinct(), ["session_id", "event_index"], "left_anti")
+    found = contained_names(loose, children, "session_id", ["event_index"], "__told", "child_id")
     by_text = found.join(loose.select("session_id", "event_index", "ts_ms"), ["session_id", "event_index"]).select("session_id", "event_index", "ts_ms", "child_id")
     return by_id.select("session_id", "event_index", "ts_ms", "child_id").unionByName(by_text).groupBy("session_id", "child_id").agg(
         F.max("event_index").alias("event_index"), F.max_by("ts_ms", "event_index").alias("ts_ms"))

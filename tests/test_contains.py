@@ -73,3 +73,26 @@ def test_a_crowded_session_stays_linear(spark):
     assert got.count() == n and got.filter("child_id <> concat('id', event_index)").count() == 0
     texts = calls.select("session_id", "event_index", "arguments")
     assert contains.contained_names(texts, kids.select("session_id", F.explode(F.array("nickname", "role")).alias("name")), "session_id", ["event_index"], "arguments").count() == 2 * n
+
+
+def test_crowded_groups_are_indexed_and_others_tried(spark, monkeypatch):
+    """Groups of few names and crowded ones side by side; repeated and null keys."""
+    monkeypatch.setattr(contains, "FEW", 20)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abé ") for _ in range(n))
+    names = [("few", word(r.randint(1, 20))) for _ in range(10)] + [("many", word(r.randint(1, 20))) for _ in range(60)] + [(None, "a"), ("few", "")]
+    texts = [(g, i % 30, word(r.randint(0, 40)) + r.choice(names)[1]) for g in ("few", "many") for i in range(40)] + [("few", None, names[0][1]), (None, 1, "a"), ("many", None, names[20][1])]
+    got = contains.contained_names(spark.createDataFrame(texts, "g string, i int, text string"), spark.createDataFrame(names, "g string, name string"), "g", ["i"])
+    want = {(g, i, n) for g, i, t in texts for h, n in names if g is not None and i is not None and g == h and n and n in t}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_small_sessions_share_a_call_into_python(spark):
+    calls = spark.range(600).select((F.col("id") % 200).alias("session_id"), F.col("id").alias("event_index"), F.col("id").alias("ts_ms"), F.lit("spawn_agent").alias("name"),
+                                    F.lit('{"message": "ask the worker"}').alias("arguments"))
+    kids = spark.range(400).select((F.col("id") % 200).alias("session_id"), F.col("id").alias("child_id"), F.lit(None).cast("int").alias("child_order"),
+                                   F.lit("worker").alias("nickname"), F.lit(None).cast("string").alias("role"), F.lit("").alias("title"))
+    got = trace.spawn_matches(calls, kids)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan
+    assert sorted((x.session_id, x.child_id, x.event_index) for x in got.collect()) == sorted((i % 200, i, i) for i in range(400))
