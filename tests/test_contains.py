@@ -96,3 +96,15 @@ def test_small_sessions_share_a_call_into_python(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan
     assert sorted((x.session_id, x.child_id, x.event_index) for x in got.collect()) == sorted((i % 200, i, i) for i in range(400))
+
+
+def test_notifications_are_parsed_once(spark):
+    """The branches read what was parsed; none repeats the parsing."""
+    note = '<subagent_notification>{"agent_path": " kid1 ", "status": "done"}</subagent_notification>'
+    events = [("s", 1, 1, note, "x"), ("s", 2, 2, "see below", "subagent_notification about kid2"), ("s", 3, 3, "{}", "kid2 is not told of"),
+              ("s", 4, 4, "x", '{"type": "subagent_notification"} kid1'), ("s", 5, 5, '{"agentId": "kid3", "thread_id": "kid2"}', None), ("s", 6, 6, '{"agent_id": "kid9"}', "agent_path kid1"), (None, 7, 7, note, "x"), ("s", None, 8, "x", "agent_path kid4")]
+    kids = [("s", f"kid{i}") for i in (1, 2, 3, 4)] + [("s", "kid1"), ("t", "kid1"), (None, "kid1"), ("s", None)]
+    got = trace.notification_matches(spark.createDataFrame(events, "session_id string, event_index long, ts_ms long, text string, record string"), spark.createDataFrame(kids, "session_id string, child_id string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "parse_json" not in plan and "parsejson" not in plan and "variantexpressionevalutils" not in plan
+    assert sorted(map(tuple, got.collect())) == [("s", "kid1", 6, 6), ("s", "kid2", 5, 5), ("s", "kid3", 5, 5)]
