@@ -260,16 +260,17 @@ def entry_targets(entries: DataFrame, items: DataFrame) -> DataFrame:
     wanted = (
         F.when(role == "user", "user-message").when(role == "assistant", "assistant-message").when((role == "tool") | toolish, "tool-call")
         .when(kind.rlike("reasoning"), "reasoning"))
-    base = entries.filter("target_turn IS NOT NULL").select(
+    # Entries, items and the matches by id are read by several branches, which would each repeat their expressions.
+    base = stage(entries.filter("target_turn IS NOT NULL").select(
         *key, F.col("target_turn").alias("turn_index"), role.alias("__role"), wanted.alias("__wanted"), F.col("message_id").alias("__mid"), F.col("call_id").alias("__cid"),
-        F.lower(normalize_text(F.col("preview"))).alias("__preview"), F.unix_millis(F.col("timestamp").try_cast("timestamp")).alias("__ts"))
+        F.lower(normalize_text(F.col("preview"))).alias("__preview"), F.unix_millis(F.col("timestamp").try_cast("timestamp")).alias("__ts")))
     text = F.lower(F.concat_ws(" ", *[nonempty(F.col(c)) for c in ("text", "arguments", "output", "name", "call_id", "message_id")]))
-    slim = items.select(*TURN, "item_index", F.col("type").alias("item_type"), "message_id", "call_id", "ts_ms", text.alias("__text"))
+    slim = stage(items.select(*TURN, "item_index", F.col("type").alias("item_type"), "message_id", "call_id", "ts_ms", text.alias("__text")))
     own_id = F.concat(F.lit("item-"), F.col("item_index").cast("string"))
     by_id = lambda column, wanted_id, rank: base.join(
         slim.withColumn("__key", F.coalesce(column, own_id)).groupBy(*TURN, "__key").agg(F.min("item_index").alias("item_index")).withColumnRenamed("__key", wanted_id),
         [*TURN, wanted_id]).select(*key, "turn_index", "item_index", F.lit(rank).alias("rank"), F.lit(0).cast("long").alias("pos"))
-    first = by_id(F.col("message_id"), "__mid", 0).unionByName(by_id(F.col("call_id"), "__cid", 1))
+    first = stage(by_id(F.col("message_id"), "__mid", 0).unionByName(by_id(F.col("call_id"), "__cid", 1)))
     open_entries = base.join(first.select(*key).distinct(), key, "left_anti")
     second = _fitting_items(open_entries, slim.filter(F.col("item_type").isin(*TARGET_TYPES)), key)
     best = first.groupBy(*key, "turn_index").agg(F.min_by("item_index", "rank").alias("item_index"))
@@ -281,19 +282,19 @@ def _fitting_items(entries: DataFrame, items: DataFrame, key: list[str], width_m
 
     Texts are matched by the name index in both directions, once for every distinct preview; the last item not later
     than an entry comes from one time line of both. Entries without a type look among all items: these are counted as
-    items of the type `any`, too.
+    items of the type `any`, too. Items are staged by the caller.
     """
     group = F.concat_ws(":", F.col("session_id").cast("string"), F.col("turn_index").cast("string"))
-    typed = stage(items.withColumns({"__group": group, "__type": F.explode(F.array("item_type", F.lit("any")))}))
+    texts = items.withColumn("__group", group)
+    typed = texts.withColumn("__type", F.explode(F.array("item_type", F.lit("any"))))
     asked = stage(entries.withColumns({"__group": group, "__type": F.coalesce("__wanted", F.lit("any"))}))
-    texts = typed.filter("__type = 'any'")
     previews = asked.select("__group", "__preview").filter("__preview <> ''").distinct()
     inside = contained_names(texts, previews, "__group", ["item_index"], "__text", "__preview")
-    heads = typed.select("__group", F.substring("__text", 1, SAME_BEGIN).alias("__head"), "__type", "item_index").groupBy("__group", "__head", "__type").agg(F.min("item_index").alias("item_index"))
+    heads = stage(typed.select("__group", F.substring("__text", 1, SAME_BEGIN).alias("__head"), "__type", "item_index").groupBy("__group", "__head", "__type").agg(F.min("item_index").alias("item_index")))
     around = contained_names(previews.withColumn("__p", F.col("__preview")), heads, "__group", ["__p"], "__preview", "__head").withColumnRenamed("__p", "__preview")
     # an item without any text is held by every preview
     blank = heads.filter("__head = ''").join(previews, "__group").select("__group", "__preview", "__type", "item_index")
-    held = (
+    held = stage(
         inside.join(typed.select("__group", "item_index", "__type"), ["__group", "item_index"]).select("__group", "__preview", "__type", "item_index")
         .unionByName(around.join(heads, ["__group", "__head"]).select("__group", "__preview", "__type", "item_index")).unionByName(blank)
         .groupBy("__group", "__preview", "__type").agg(F.min("item_index").alias("held")))
@@ -311,8 +312,8 @@ def owners(items: DataFrame, block_size: int = EVENTS_PER_BLOCK) -> DataFrame:
     """The message each item belongs to: itself, the previous answer, else the next one."""
     spoken = (F.col("type") == "assistant-message") & (normalize_text(F.col("text")) != "")
     rows = ordered_scan(
-        items.select(*TURN, "item_index", "type", "text"), TURN, event_block("item_index", block_size), ["item_index"],
-        __prev=last_value(F.when(spoken, F.col("item_index"))), __next=next_value(F.when(spoken, F.col("item_index"))))
+        items.select(*TURN, "item_index", "type", F.when(spoken, F.col("item_index")).alias("__at")), TURN, event_block("item_index", block_size), ["item_index"],
+        __prev=last_value(F.col("__at")), __next=next_value(F.col("__at")))
     own = F.when(F.col("type").isin("user-message", "assistant-message"), F.col("item_index"))
     return rows.select(*TURN, "item_index", F.coalesce(own, "__prev", "__next").alias("owner_index"))
 

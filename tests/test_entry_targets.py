@@ -59,3 +59,28 @@ def test_a_crowded_turn_stays_linear(spark):
                                     F.lit(None).cast("array<string>").alias("content_kinds"), none.alias("message_id"), none.alias("call_id"), preview.alias("preview"), none.alias("timestamp"))
     got = rd.entry_targets(entries, items)
     assert got.filter("item_index <> CASE WHEN entry_index % 2 = 0 THEN entry_index ELSE 0 END").count() == 0 and got.count() == n
+
+
+def _entries_and_items(spark):
+    none = F.lit(None).cast("string")
+    items = spark.range(6).select(F.lit("s").alias("session_id"), F.lit(0).cast("long").alias("turn_index"), F.col("id").alias("item_index"), F.when(F.col("id") % 2 == 0, "user-message").otherwise("assistant-message").alias("type"),
+                                  F.concat(F.lit("says  <"), F.col("id").cast("string"), F.lit(">")).alias("text"), *[none.alias(c) for c in ("name", "call_id", "arguments", "output", "message_id")], F.col("id").alias("ts_ms"))
+    entries = items.select("session_id", F.lit(0).cast("long").alias("compact_event"), F.col("item_index").alias("entry_index"), F.col("turn_index").alias("target_turn"), F.substring_index("type", "-", 1).alias("role"), F.lit("message").alias("type"),
+                           F.lit(None).cast("array<string>").alias("content_kinds"), none.alias("message_id"), none.alias("call_id"), F.concat(F.lit("Says <"), F.col("item_index").cast("string")).alias("preview"), none.alias("timestamp"))
+    return entries, items.withColumn("text", F.regexp_replace("text", "  ", " "))
+
+
+def test_the_plan_of_targets_repeats_nothing(spark):
+    """Each branch once held all that came before it, so the driver held a plan many times as large as the query."""
+    entries, items = _entries_and_items(spark)
+    got = rd.entry_targets(entries, items)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_replace" not in plan and plan.count("join ") <= 6
+    assert sorted((x.entry_index, x.item_index) for x in got.collect()) == [(i, i) for i in range(6)]
+
+
+def test_references_are_joined_to_staged_targets(spark):
+    entries, items = _entries_and_items(spark)
+    got = rd.compression_references(rd.entry_targets(entries, items), rd.owners(items))
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("join ") <= 9
+    assert sorted((x.entry_index, x.owner_index) for x in got.collect()) == [(i, i) for i in range(6)]
