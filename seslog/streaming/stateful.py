@@ -93,6 +93,10 @@ def latest_status(changes: DataFrame) -> DataFrame:
 
 
 # --- deltas ---------------------------------------------------------------------------------------------------------------
+# Chunk numbers of a message are kept as bits, so many: a call to the state for each block of them, not for each chunk.
+SEEN_BITS = 1024
+
+
 class NewChunks(StatefulProcessor):
     """Passes on the chunks of a message that were not passed on since the message was last idle."""
 
@@ -101,26 +105,35 @@ class NewChunks(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "event_index long", "ts_ms long")
+        self.blocks = handle.getMapState("blocks", "block long", "bits binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        newest, held, changed = None, {}, set()
         for batch in rows:
-            batch = batch.drop_duplicates("event_index")
-            fresh = [not self.seen.containsKey((int(i),)) for i in batch["event_index"]]
+            fresh = []
+            for index in batch["event_index"]:
+                block, place = divmod(int(index), SEEN_BITS)
+                if block not in held:
+                    known = self.blocks.getValue((block,))
+                    held[block] = 0 if known is None else int.from_bytes(known[0], "little")
+                new = not held[block] >> place & 1
+                fresh.append(new)
+                if new:
+                    held[block] |= 1 << place
+                    changed.add(block)
             new = batch[fresh]
-            for index, ts in zip(new["event_index"], new["ts_ms"]):
-                self.seen.updateValue((int(index),), (int(ts),))
             if len(new):
                 newest = max(newest or 0, int(new["ts_ms"].max()))
                 yield new[CHUNK_COLUMNS]
+        for block in changed:
+            self.blocks.updateValue((block,), (held[block].to_bytes(SEEN_BITS // 8, "little"),))
         if newest is not None:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(newest + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        self.blocks.clear()
         return iter(())
 
     def close(self) -> None:

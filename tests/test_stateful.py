@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,36 @@ def test_status_stops_after_half_an_hour_of_event_time(spark, tmp_path):
     (tmp_path / "again").mkdir()
     stopped = play(spark, tmp_path / "again", STATUS, st.live_status, batches[:3] + [[row("f", 0, "user_message", 70)], [row("f", 1, "user_message", 71)]], "update")
     assert {r.session_id for r in stopped if r.status == "stopped"} == {"a", "d"}
+
+
+class CountedState:
+    """A map state and its timers in memory; counts the calls."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = {}, set(), 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {
+                "getMapState": lambda *_: self, "getValue": lambda k: self.rows.get(k), "containsKey": lambda k: k in self.rows, "updateValue": lambda k, v: self.rows.update({k: v}),
+                "clear": self.rows.clear, "listTimers": lambda: list(self.timers), "deleteTimer": self.timers.discard, "registerTimer": self.timers.add}[name](*args)
+        return call
+
+
+def test_chunks_cost_a_state_call_a_block():
+    state = CountedState()
+    work = st.NewChunks(1000)
+    work.init(state)
+    frame = lambda indexes: pd.DataFrame({"session_id": "s", "message_id": "m", "role": "r", "kind": "k", "event_index": indexes, "ts_ms": indexes, "text": "t"})
+    passed = lambda *batches: [i for out in work.handleInputRows(("s",), iter([frame(b) for b in batches]), None) for i in out["event_index"]]
+    r = random.Random(2)
+    seen = set()
+    for _ in range(5):
+        batches = [[r.randint(0, 5_000) for _ in range(400)] for _ in range(2)]
+        want = [i for i in dict.fromkeys(i for b in batches for i in b) if i not in seen]
+        seen.update(want)
+        state.calls = 0
+        assert passed(*batches) == want and state.calls <= 2 * 5 + 3
+    list(work.handleExpiredTimer(("s",), None, None))
+    assert passed([7, 7]) == [7]
